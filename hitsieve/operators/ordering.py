@@ -89,9 +89,12 @@ def ranked(df: DataFrame, by: Sequence[str], order: str, out: str = "rank", desc
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
-                    lo: Column | float | None = None, hi: Column | float | None = None) -> DataFrame:
+                    lo: Column | float | None = None, hi: Column | float | None = None,
+                    bounds: bool = False) -> DataFrame:
     """Quantiles with linear interpolation, one column `q<i>` per probability, plus `n`; NULLs are skipped.
 
+    `bounds` also returns the two order statistics around each quantile as `low<i>` and `high<i>`.
+
     Values are counted per distinct value first; only the cells that hold a wanted rank reach the last step.
     """
     by = list(by)
@@ -113,10 +116,10 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
     aggs = [F.max("c_total").alias("n")]
     for i, p in spots:
         low, high = F.floor(pos(p)), F.ceil(pos(p))
-        aggs.append(F.max(F.when(holds(F.col("c_before"), F.col("c"), low), F.col(value))).alias(f"_l{i}"))
-        aggs.append(F.max(F.when(holds(F.col("c_before"), F.col("c"), high), F.col(value))).alias(f"_h{i}"))
+        aggs.append(F.max(F.when(holds(F.col("c_before"), F.col("c"), low), F.col(value))).alias(f"low{i}"))
+        aggs.append(F.max(F.when(holds(F.col("c_before"), F.col("c"), high), F.col(value))).alias(f"high{i}"))
     out = rows.groupBy(*by).agg(*aggs)
     for i, p in spots:
         frac = F.lit(p) * (F.col("n") - 1) - F.floor(F.lit(p) * (F.col("n") - 1))
-        out = out.withColumn(f"q{i}", F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * frac)
-    return out.drop(*[f"_l{i}" for i, _ in spots], *[f"_h{i}" for i, _ in spots])
+        out = out.withColumn(f"q{i}", F.col(f"low{i}") + (F.col(f"high{i}") - F.col(f"low{i}")) * frac)
+    return out if bounds else out.drop(*[f"low{i}" for i, _ in spots], *[f"high{i}" for i, _ in spots])
