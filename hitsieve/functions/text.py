@@ -31,12 +31,25 @@ def count_of(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
+def bind(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once per row.
+
+    The optimizer copies a projected expression into every filter and lambda that mentions it, which repeats
+    costly array work. A generator over a one-element array gives the same row and is never copied.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def largest_fragment(text: Column, separator: str = r"\.") -> Column:
     """Longest piece between separators, blanks squeezed, lower case; the first of equals; NULL when empty."""
-    parts = F.transform(F.split(text, separator), lambda x: F.lower(squeeze(x)))
-    longest = F.array_max(F.transform(parts, F.length))
-    best = F.element_at(F.filter(parts, lambda x: F.length(x) == longest), 1)
-    return F.when(longest > 0, best)
+    sized = F.transform(F.split(text, separator), lambda x, i: _sized(F.lower(squeeze(x)), i))
+    best = F.array_max(sized)
+    return F.nullif(best["text"], F.lit(""))
+
+
+def _sized(piece: Column, i: Column) -> Column:
+    return F.struct(F.length(piece).alias("size"), (-i).alias("place"), piece.alias("text"))
 
 
 # Named descriptors over a row that carries `text`, `_norm` (blanks squeezed) and `_tok` (tokens).
@@ -66,9 +79,8 @@ def register_descriptor(name: str, build: Callable[[], Column]) -> None:
 
 
 def with_tokens(df: DataFrame, text: str = "text") -> DataFrame:
-    return (df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-            .withColumn("_tok", tokens(F.col("_text")))
-            .withColumn("_norm", F.array_join("_tok", " ")))
+    text_ = F.coalesce(F.col(text), F.lit(""))
+    return bind(bind(df, _text=text_, _tok=tokens(text_)), _norm=F.array_join("_tok", " "))
 
 
 def with_descriptors(df: DataFrame, names: Sequence[str], text: str = "text", keep_tokens: bool = False) -> DataFrame:
@@ -99,8 +111,8 @@ def set_bits(tok: Column, radius: int = 2, n_bits: int = FP_BITS) -> Column:
 def with_fingerprint(df: DataFrame, text: str = "text", out: str = "bits", radius: int = 2,
                      n_bits: int = FP_BITS) -> DataFrame:
     """Fingerprint column; rows without text get no bits, so they can be kept (training) or dropped (library)."""
-    return (df.withColumn("_tk", F.transform(tokens(F.col(text)), F.lower))
-            .withColumn(out, set_bits(F.col("_tk"), radius, n_bits)).drop("_tk"))
+    low = bind(df, _tk=F.transform(tokens(F.col(text)), F.lower))
+    return bind(low, **{out: set_bits(F.col("_tk"), radius, n_bits)}).drop("_tk")
 
 
 def template_key(text: Column, n: int = 3) -> Column:
@@ -111,7 +123,7 @@ def template_key(text: Column, n: int = 3) -> Column:
 
 
 def rule_filter(rules: Sequence[Rule]) -> Column:
-    """Conjunction of closed ranges; a NULL value fails."""
+    """Conjunction of closed ranges as a filter: plain comparisons, so they reach a Parquet scan; NULL fails."""
     cond = F.lit(True)
     for r in rules:
         c = F.col(r.column)
@@ -119,7 +131,11 @@ def rule_filter(rules: Sequence[Rule]) -> Column:
             cond = cond & (c >= F.lit(r.lo))
         if r.hi is not None:
             cond = cond & (c <= F.lit(r.hi))
-    return F.coalesce(cond, F.lit(False))
+    return cond
+
+
+def rule_flag(rules: Sequence[Rule]) -> Column:
+    return F.coalesce(rule_filter(rules), F.lit(False))
 
 
 def symbols_allowed(symbols: Column, allowed: Sequence[str]) -> Column:

@@ -75,11 +75,15 @@ def safe_corr(x: str, y: str) -> Column:
         lo, hi = F.min(c), F.max(c)
         return hi - lo <= F.lit(1e-8) + F.lit(1e-5) * F.abs(lo)
 
-    return F.when(F.count(F.lit(1)) == 0, None).when(flat(x) | flat(y), 0.0).otherwise(F.corr(x, y))
+    return F.when(F.count(F.lit(1)) == 0, None).when(flat(x) | flat(y), 0.0).otherwise(
+        F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
 def trend_line(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
+    """Least-squares line; NULL for a constant x."""
+    slope = F.try_divide(F.regr_sxy(y, x), F.regr_sxx(y, x))
+    return df.groupBy(*by).agg(slope.alias("slope"),
+                               (F.regr_avgy(y, x) - slope * F.regr_avgx(y, x)).alias("intercept"))
 
 
 def cluster_rates(df: DataFrame, cluster: str, label: str) -> DataFrame:

@@ -25,10 +25,10 @@ def value_range(df: DataFrame, order: str) -> tuple[Column, Column]:
 
 def prefix_sums(df: DataFrame, by: Sequence[str], order: str, sums: Sequence[str],
                 lo: Column | float | None = None, hi: Column | float | None = None,
-                descending: bool = False, keep: Column | None = None) -> DataFrame:
+                descending: bool = False, keep: Column | None = None, ties: Sequence[str] = ()) -> DataFrame:
     """Adds `<s>_before` (sum over the rows ahead) and `<s>_total` (sum over the group) for each column of `sums`.
 
-    `df` holds at most one row per (by, order). `keep` may prune fine cells: it sees `<s>_off` (sum ahead of the
+    `df` holds at most one row per (by, order, ties). `keep` may prune fine cells: it sees `<s>_off` (sum ahead of the
     cell), `<s>_cell` and `<s>_total`; rows of dropped cells are not returned.
     """
     by = list(by)
@@ -63,7 +63,7 @@ def prefix_sums(df: DataFrame, by: Sequence[str], order: str, sums: Sequence[str
     if keep is not None:
         fine = fine.where(keep)
     way = F.col(order).desc() if descending else F.col(order).asc()
-    ahead = W.partitionBy(*by, "_fine").orderBy(way).rowsBetween(W.unboundedPreceding, -1)
+    ahead = W.partitionBy(*by, "_fine").orderBy(way, *ties).rowsBetween(W.unboundedPreceding, -1)
     return (_same(rows, fine, [*by, "_fine"])
             .withColumns({f"{s}_before": F.col(f"{s}_off") + F.coalesce(F.sum(s).over(ahead), F.lit(0))
                           for s in sums})
@@ -81,10 +81,11 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def ranked(df: DataFrame, by: Sequence[str], order: str, out: str = "rank", descending: bool = False,
-           lo: Column | float | None = None, hi: Column | float | None = None) -> DataFrame:
-    """0-based position of every row; `order` is unique within a group."""
+           lo: Column | float | None = None, hi: Column | float | None = None,
+           ties: Sequence[str] = ()) -> DataFrame:
+    """0-based position of every row; `order` with `ties` is unique within a group."""
     one = df.withColumn("_one", F.lit(1).cast("bigint"))
-    return (prefix_sums(one, by, order, ["_one"], lo, hi, descending)
+    return (prefix_sums(one, by, order, ["_one"], lo, hi, descending, ties=ties)
             .withColumnsRenamed({"_one_before": out, "_one_total": f"{out}_of"}).drop("_one"))
 
 

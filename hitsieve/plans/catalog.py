@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from hitsieve.plans import q_basic, q_metrics  # noqa: F401
+from hitsieve.plans import q_basic, q_features, q_metrics  # noqa: F401
 from hitsieve.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
