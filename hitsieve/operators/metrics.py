@@ -7,6 +7,7 @@ the running sums start; the running sums themselves are cell-wise (see `ordering
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -14,6 +15,18 @@ from hitsieve.operators.ordering import exact_quantiles, prefix_sums, ranked
 from hitsieve.schemas import METRICS
 
 
+def grouped(fn):
+    """Lets an operator that joins on its groups run without any: all rows form one constant group."""
+
+    @wraps(fn)
+    def run(df: DataFrame, by: Sequence[str], *args, **kw) -> DataFrame:
+        if by:
+            return fn(df, by, *args, **kw)
+        return fn(df.withColumn("_all", F.lit(0)), ["_all"], *args, **kw).drop("_all")
+
+    return run
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b in double; 0 when b is 0."""
     return F.when(b == 0, F.lit(0.0)).otherwise(a.cast("double") / b.cast("double"))
@@ -114,6 +127,7 @@ def enrichment(df: DataFrame, by: Sequence[str], fractions: Sequence[float] = (0
     return top.withColumns({"ef": ef, "nef": F.try_divide(ef, best)})
 
 
+@grouped
 def evaluate(df: DataFrame, by: Sequence[str], threshold: float = 0.5, id_col: str = "id") -> DataFrame:
     """The eleven report metrics per group; ranking metrics are NULL when a class is missing."""
     by = list(by)
@@ -137,6 +151,7 @@ def grid(points: int, kind: str = "float") -> Column:
     return v.cast(kind)
 
 
+@grouped
 def sweep(df: DataFrame, by: Sequence[str], points: int = 501, kind: str = "float") -> DataFrame:
     """Counts and metrics at every grid threshold; one pass over the rows and at most `points` rows per group.
 
@@ -172,6 +187,7 @@ def sweep(df: DataFrame, by: Sequence[str], points: int = 501, kind: str = "floa
                     "youden_j"))
 
 
+@grouped
 def best_thresholds(df: DataFrame, by: Sequence[str], rule: str = "max_f1", points: int = 501) -> DataFrame:
     """Five optimal thresholds per group and the one locked by `rule`, with its metrics on the rows.
 
@@ -227,6 +243,7 @@ def threshold_curve(df: DataFrame, by: Sequence[str], points: int = 501,
     return rows.join(selected.select(*keys, "selected_threshold"), keys, "left")
 
 
+@grouped
 def best_candidate(df: DataFrame, by: Sequence[str], candidates: Sequence[float], metric: str = "mcc") -> DataFrame:
     """Best threshold of a short list; the first of the list wins ties. One pass, counts per candidate."""
     y, p = F.col("y_true"), F.col("y_prob")
@@ -248,6 +265,7 @@ def brier(df: DataFrame, by: Sequence[str], fold: str = "fold") -> DataFrame:
     return one.groupBy(*by).agg(F.avg("b").alias("brier"), F.count("*").alias("folds"))
 
 
+@grouped
 def reliability(df: DataFrame, by: Sequence[str], bins: int = 10) -> DataFrame:
     """Reliability curve over quantile bins; empty bins are left out, bins are numbered as they appear."""
     by = list(by)
@@ -271,6 +289,7 @@ def r_squared(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.groupBy(*by).agg((1.0 - F.try_divide(res, F.when(F.count("*") > 1, tot))).alias("r2"))
 
 
+@grouped
 def resampled_curves(df: DataFrame, by: Sequence[str], points: int = 400) -> DataFrame:
     """ROC and PR curves of every group on an even grid: `kind`, `i`, `x`, `y`.
 

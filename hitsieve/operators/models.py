@@ -299,6 +299,7 @@ def final_models(dev: DataFrame, external: DataFrame, label: str, bits: str, n_b
 def run_seed(df: DataFrame, label: str, group: str, bits: str, n_bits: int, descriptors: Sequence[str],
              config: TrainConfig, seed: int, params: dict[str, dict] | None = None, id_col: str = "id") -> dict[str, DataFrame]:
     """One seed: hold-out, out-of-fold predictions, locked thresholds, final fits, external report."""
+    df = df.drop("role", "fold")
     if config.split_method == "group":
         split = group_holdout(df, group, label, config.test_size, seed)
     else:
