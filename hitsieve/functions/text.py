@@ -102,22 +102,33 @@ def shingles(tok: Column, radius: int = 2) -> Column:
     return F.concat(tok, *[runs(k) for k in range(2, radius + 2)])
 
 
-def set_bits(tok: Column, radius: int = 2, n_bits: int = FP_BITS) -> Column:
-    """Hashed presence fingerprint as the sorted positions of the set bits."""
+def set_bits(tok: Column, radius: int = 2, n_bits: int = FP_BITS, portable: bool = True) -> Column:
+    """Hashed presence fingerprint as the sorted positions of the set bits.
+
+    The portable hash (md5) gives the same bits on every engine; the other one (xxhash64) is several times cheaper.
+    Training and scoring must use the same.
+    """
     pieces = F.array_distinct(shingles(tok, radius))
-    return F.sort_array(F.array_distinct(F.transform(pieces, lambda s: F.pmod(hash32(s), F.lit(n_bits)).cast("int"))))
+    hashed = hash32 if portable else F.xxhash64
+    return F.sort_array(F.array_distinct(F.transform(pieces, lambda s: F.pmod(hashed(s), F.lit(n_bits)).cast("int"))))
 
 
 def with_fingerprint(df: DataFrame, text: str = "text", out: str = "bits", radius: int = 2,
-                     n_bits: int = FP_BITS) -> DataFrame:
-    """Fingerprint column; rows without text get no bits, so they can be kept (training) or dropped (library)."""
-    low = bind(df, _tk=F.transform(tokens(F.col(text)), F.lower))
-    return bind(low, **{out: set_bits(F.col("_tk"), radius, n_bits)}).drop("_tk")
+                     n_bits: int = FP_BITS, tok: str | None = None, portable: bool = True) -> DataFrame:
+    """Fingerprint column; rows without text get no bits, so they can be kept (training) or dropped (library).
+
+    `tok` names a column with the tokens of the text, where they are already there.
+    """
+    words = F.col(tok) if tok else tokens(F.col(text))
+    low = bind(df, _tk=F.transform(words, F.lower))
+    return bind(low, **{out: set_bits(F.col("_tk"), radius, n_bits, portable)}).drop("_tk")
 
 
 def template_key(text: Column, n: int = 3) -> Column:
     """Structural key: first n tokens, lower case, digits masked; '' for missing text."""
-    head = F.slice(tokens(text), 1, n)
+    # only the head of the text is cut into tokens; it may start with one empty piece
+    pieces = F.slice(F.split(text, BLANKS, n + 2), 1, n + 1)
+    head = F.slice(F.filter(pieces, lambda t: t != ""), 1, n)
     return F.coalesce(F.array_join(F.transform(head, lambda t: F.regexp_replace(F.lower(t), "[0-9]+", "#")), " "),
                       F.lit(""))
 

@@ -59,12 +59,14 @@ def scale_arrays(df: DataFrame, fit_on: DataFrame, col: str, out: str | None = N
 
 def bit_variances(df: DataFrame, bits: str, n_bits: int, threshold: float = 0.05) -> DataFrame:
     """(bit, variance, kept): population variance of every bit; with none above the threshold the top one is kept."""
-    total = df.agg(F.count("*")).scalar()
-    counts = df.select(F.explode_outer(bits).alias("bit")).groupBy("bit").agg(F.count("*").alias("c"))
-    frame = df.sparkSession.range(n_bits).select(F.col("id").cast("int").alias("bit"))
-    p = F.try_divide(F.coalesce(F.col("c"), F.lit(0)).cast("double"), F.col("_n"))
-    table = (frame.join(counts, "bit", "left").withColumn("_n", total).withColumn("p", p)
-             .withColumn("variance", F.col("p") * (1 - F.col("p"))))
+    # one pass: the first position of a row also counts the row
+    spread = df.select(F.posexplode_outer(bits).alias("pos", "bit"))
+    counts = spread.groupBy("bit").agg(F.count("*").alias("c"), F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("first"))
+    frame = df.sparkSession.range(-1, n_bits).select(F.col("id").cast("int").alias("bit"))
+    table = (frame.join(counts.withColumn("bit", F.coalesce("bit", F.lit(-1))), "bit", "left")
+             .withColumn("_n", F.sum("first").over(W.partitionBy(F.lit(0)))).where(F.col("bit") >= 0)
+             .withColumn("p", F.try_divide(F.coalesce(F.col("c"), F.lit(0)).cast("double"), F.col("_n")))
+             .withColumn("variance", F.coalesce(F.col("p") * (1 - F.col("p")), F.lit(0.0))))
     # n_bits rows in all
     best = W.partitionBy(F.lit(0))
     passing = F.max((F.col("variance") >= threshold).cast("int")).over(best)

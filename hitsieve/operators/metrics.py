@@ -11,7 +11,7 @@ from functools import wraps
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from hitsieve.operators.ordering import exact_quantiles, prefix_sums, ranked
+from hitsieve.operators.ordering import exact_quantiles, prefix_sums, ranked, value_range
 from hitsieve.schemas import METRICS
 
 
@@ -110,7 +110,8 @@ def top_hits(df: DataFrame, by: Sequence[str], fractions: Sequence[float], id_co
         F.sum(sure).alias("sure"))
     edge = scored.where(mixed).select(*by, "fraction", "y_prob", (F.col("k") - F.col("start")).alias("room"))
     tied = df.select(*by, "y_prob", "y_true", id_col).join(edge, [*by, "y_prob"])
-    inside = (ranked(tied, [*by, "fraction"], id_col, "place").where(F.col("place") < F.col("room"))
+    lo, hi = value_range(df, id_col)
+    inside = (ranked(tied, [*by, "fraction"], id_col, "place", lo=lo, hi=hi).where(F.col("place") < F.col("room"))
               .groupBy(*by, "fraction").agg(F.count_if(F.col("y_true") == 1).alias("tie_hits")))
     return (base.join(inside, [*by, "fraction"], "left")
             .withColumn("hits", F.col("sure") + F.coalesce(F.col("tie_hits"), F.lit(0)))
@@ -131,18 +132,25 @@ def enrichment(df: DataFrame, by: Sequence[str], fractions: Sequence[float] = (0
 def evaluate(df: DataFrame, by: Sequence[str], threshold: float = 0.5, id_col: str = "id") -> DataFrame:
     """The eleven report metrics per group; ranking metrics are NULL when a class is missing."""
     by = list(by)
-    conf = (confusion_at(df, by, threshold)
-            .withColumn("accuracy", ratio(F.col("tp") + F.col("tn"), F.col("tp") + F.col("fp") + F.col("tn")
-                                          + F.col("fn"))))
     cum = cumulative(df, by)
-    rank = cum.groupBy(*by).agg(_auc().alias("roc_auc"), _average_precision().alias("pr_auc"))
+    high = F.col("y_prob") >= F.lit(float(threshold))
+
+    def rows(c: str, side: Column) -> Column:
+        return F.sum(F.when(side, F.col(c)).otherwise(0))
+
+    rank = cum.groupBy(*by).agg(
+        _auc().alias("roc_auc"), _average_precision().alias("pr_auc"), rows("pos", high).alias("tp"),
+        rows("neg", high).alias("fp"), rows("neg", ~high).alias("tn"), rows("pos", ~high).alias("fn"))
+    counts = [F.col(c) for c in ("tp", "fp", "tn", "fn")]
+    rank = rank.withColumns(confusion_columns(*counts)).withColumn(
+        "accuracy", ratio(F.col("tp") + F.col("tn"), F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")))
     ef = enrichment(df, by, (0.01, 0.05, 0.10), id_col, cum)
     both = F.col("positives") < F.col("n")
     wide = ef.groupBy(*by).agg(
         *[F.max(F.when(both & (F.abs(F.col("fraction") - f) < 1e-9), F.col("ef"))).alias(name)
           for name, f in (("ef1", 0.01), ("ef5", 0.05), ("ef10", 0.10))],
         F.max(F.when(both & (F.abs(F.col("fraction") - 0.10) < 1e-9), F.col("nef"))).alias("nef10"))
-    return conf.join(rank, by, "left").join(wide, by, "left").select(*by, *METRICS)
+    return rank.join(wide, by, "left").select(*by, *METRICS)
 
 
 def grid(points: int, kind: str = "float") -> Column:
@@ -151,54 +159,72 @@ def grid(points: int, kind: str = "float") -> Column:
     return v.cast(kind)
 
 
-@grouped
-def sweep(df: DataFrame, by: Sequence[str], points: int = 501, kind: str = "float") -> DataFrame:
-    """Counts and metrics at every grid threshold; one pass over the rows and at most `points` rows per group.
+def _bucket(p: Column, points: int, kind: str) -> Column:
+    """Highest grid position whose value does not exceed the score; -1 below the grid.
 
-    A row belongs to the highest grid position whose value does not exceed its score. Scaling finds it up to
-    one step; comparing with the neighbouring grid values in the same float width settles it.
+    Scaling finds it up to one step; comparing with the neighbouring grid values settles it.
     """
-    by = list(by)
-    p = F.col("y_prob").cast(kind)
     guess = F.greatest(F.lit(0), F.least(F.lit(points - 1), F.floor(p.cast("double") * (points - 1)))).cast("int")
-    rows = df.where(F.col("y_prob").isNotNull() & ~F.isnan("y_prob")).withColumn("b", guess)
-    here = grid(points, kind)
-    after = (F.when(F.col("b") + 1 >= points - 1, F.lit(1.0))
-             .otherwise((F.col("b") + 1) * F.lit(1.0 / (points - 1)))).cast(kind)
-    exact = (F.when(here > p, F.col("b") - 1)
-             .when((F.col("b") < points - 1) & (after <= p), F.col("b") + 1).otherwise(F.col("b")))
-    counts = rows.withColumn("b", exact).groupBy(*by, "b").agg(
-        F.count_if(F.col("y_true") == 1).alias("p"), F.count_if(F.col("y_true") == 0).alias("q"))
-    frame = (counts.groupBy(*by).agg(F.lit(1).alias("_x")).drop("_x")
+    here, after = (_grid(guess + i, points, kind) for i in (0, 1))
+    return (F.when(here > p, guess - 1).when((guess < points - 1) & (after <= p), guess + 1).otherwise(guess))
+
+
+def _grid(i: Column, points: int, kind: str) -> Column:
+    """Value of a grid position: an even grid on [0, 1] in the given float width."""
+    return F.when(i >= points - 1, F.lit(1.0)).otherwise(i * F.lit(1.0 / (points - 1))).cast(kind)
+
+
+def _from_buckets(counts: DataFrame, by: list[str], b: str, points: int, kind: str) -> DataFrame:
+    """Counts and metrics at every grid threshold from rows counted per bucket; `points` rows per group."""
+    counts = counts.groupBy(*by, F.col(b).alias("b")).agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    frame = (counts.select(*by).distinct()
              .select(*by, F.explode(F.sequence(F.lit(-1), F.lit(points - 1))).alias("b")))
     full = frame.join(counts, [*by, "b"], "left")
     up = W.partitionBy(*by).orderBy(F.desc("b"))
     run = up.rowsBetween(W.unboundedPreceding, 0)
     every = up.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     zero = F.lit(0).cast("bigint")
-    tp = F.coalesce(F.sum("p").over(run), zero)
-    fp = F.coalesce(F.sum("q").over(run), zero)
-    pos, neg = F.coalesce(F.sum("p").over(every), zero), F.coalesce(F.sum("q").over(every), zero)
+    tp, fp = (F.coalesce(F.sum(c).over(run), zero) for c in ("p", "q"))
+    pos, neg = (F.coalesce(F.sum(c).over(every), zero) for c in ("p", "q"))
     cum = (full.withColumns({"tp": tp, "fp": fp, "fn": pos - tp, "tn": neg - fp}).where(F.col("b") >= 0)
-           .withColumn("threshold", grid(points, kind)))
+           .withColumn("threshold", _grid(F.col("b"), points, kind)))
     cols = confusion_columns(*(F.col(c) for c in ("tp", "fp", "tn", "fn")))
     return (cum.withColumns(cols).withColumn("youden_j", F.col("recall") - F.col("fpr"))
             .select(*by, "threshold", "tp", "fp", "tn", "fn", "precision", "recall", "f1", "mcc", "tpr", "fpr",
                     "youden_j"))
 
 
+def _bucket_counts(df: DataFrame, by: list[str], points: int, kind: str) -> DataFrame:
+    """Rows per bucket, by the score in the width of the grid (`b`) and in double (`b64`)."""
+    p = F.col("y_prob")
+    rows = df.where(p.isNotNull() & ~F.isnan("y_prob")).withColumns(
+        {"b": _bucket(p.cast(kind), points, kind), "b64": _bucket(p.cast("double"), points, kind)})
+    return rows.groupBy(*by, "b", "b64").agg(
+        F.count_if(F.col("y_true") == 1).alias("p"), F.count_if(F.col("y_true") == 0).alias("q"))
+
+
+@grouped
+def sweep(df: DataFrame, by: Sequence[str], points: int = 501, kind: str = "float") -> DataFrame:
+    """Counts and metrics at every grid threshold; one pass over the rows and at most `points` rows per group."""
+    by = list(by)
+    return _from_buckets(_bucket_counts(df, by, points, kind), by, "b", points, kind)
+
+
 @grouped
 def best_thresholds(df: DataFrame, by: Sequence[str], rule: str = "max_f1", points: int = 501) -> DataFrame:
     """Five optimal thresholds per group and the one locked by `rule`, with its metrics on the rows.
 
     The lowest threshold wins ties; groups with fewer than two classes give no row; rows without score are skipped.
+    The optima compare scores in the float width of the grid, the locked metrics in double, as a user of the
+    threshold would; both come from one pass over the rows.
     """
     by = list(by)
-    table = sweep(df, by, points)
+    counts = _bucket_counts(df, by, points, "float")
+    table = _from_buckets(counts, by, "b", points, "float")
 
     def best(metric: str) -> Column:
         # comparing rounded metrics keeps ties ties when sums differ in the last bit
-        return F.max_by("threshold", F.struct(F.round(F.col(metric), 12), -F.col("threshold"))).cast("double")
+        return F.max_by("threshold", F.struct(F.round(F.col(metric), 12), -F.col("threshold")))
 
     picks = table.groupBy(*by).agg(
         best("f1").alias("max_f1_threshold"), best("mcc").alias("max_mcc_threshold"),
@@ -211,11 +237,11 @@ def best_thresholds(df: DataFrame, by: Sequence[str], rule: str = "max_f1", poin
         column, rule = "max_f1_threshold", "max_f1"
     picks = (picks.where((F.col("_p") > 0) & (F.col("_n") > 0)).drop("_p", "_n")
              .withColumns({"selection_rule": F.lit(rule), "selected_threshold": F.col(column)}))
-    rows = df.where(F.col("y_prob").isNotNull()).join(picks.select(*by, "selected_threshold"), by)
-    at = confusion_at(rows, by, "selected_threshold").select(
-        *by, F.col("f1").alias("selected_f1"), F.col("mcc").alias("selected_mcc"),
-        F.col("precision").alias("selected_precision"), F.col("recall").alias("selected_recall"))
-    return picks.join(at, by)
+    exact = _from_buckets(counts, by, "b64", points, "float").select(
+        *by, F.col("threshold").alias("selected_threshold"),
+        *[F.col(c).alias(f"selected_{c}") for c in ("f1", "mcc", "precision", "recall")])
+    out = picks.join(exact, [*by, "selected_threshold"])
+    return out.withColumns({c: F.col(c).cast("double") for c in out.columns if c.endswith("_threshold")})
 
 
 def exact_thresholds(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -269,15 +295,14 @@ def brier(df: DataFrame, by: Sequence[str], fold: str = "fold") -> DataFrame:
 def reliability(df: DataFrame, by: Sequence[str], bins: int = 10) -> DataFrame:
     """Reliability curve over quantile bins; empty bins are left out, bins are numbered as they appear."""
     by = list(by)
-    edges = exact_quantiles(df, by, "y_prob", [i / bins for i in range(bins + 1)], 0.0, 1.0)
+    # counted per score first, so a shared score is searched once
+    scores = score_counts(df, by).withColumn("n", F.col("pos") + F.col("neg"))
+    edges = exact_quantiles(scores, by, "y_prob", [i / bins for i in range(bins + 1)], 0.0, 1.0, weight="n")
     inner = edges.select(*by, F.array(*[f"q{i}" for i in range(1, bins)]).alias("edges"))
-    rows = df.where(F.col("y_prob").isNotNull()).join(inner, by)
-    # pre-aggregated per score, so a shared score is searched once
-    per = (rows.groupBy(*by, "y_prob", "edges").agg(F.sum("y_true").alias("p"), F.count("*").alias("n"))
-           .withColumn("raw", F.size(F.filter("edges", lambda e: e < F.col("y_prob")))))
+    per = scores.join(inner, by).withColumn("raw", F.size(F.filter("edges", lambda e: e < F.col("y_prob"))))
     table = per.groupBy(*by, "raw").agg(
         (F.sum(F.col("y_prob") * F.col("n")) / F.sum("n")).alias("mean_pred"),
-        (F.sum("p") / F.sum("n")).alias("frac_pos"), F.sum("n").alias("n"))
+        (F.sum("pos") / F.sum("n")).alias("frac_pos"), F.sum("n").alias("n"))
     number = F.row_number().over(W.partitionBy(*by).orderBy("raw")) - 1
     return table.withColumn("bin", number).select(*by, "bin", "mean_pred", "frac_pos", "n")
 

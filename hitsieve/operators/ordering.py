@@ -91,16 +91,18 @@ def ranked(df: DataFrame, by: Sequence[str], order: str, out: str = "rank", desc
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
                     lo: Column | float | None = None, hi: Column | float | None = None,
-                    bounds: bool = False) -> DataFrame:
+                    bounds: bool = False, weight: str | None = None) -> DataFrame:
     """Quantiles with linear interpolation, one column `q<i>` per probability, plus `n`; NULLs are skipped.
 
-    `bounds` also returns the two order statistics around each quantile as `low<i>` and `high<i>`.
+    `bounds` also returns the two order statistics around each quantile as `low<i>` and `high<i>`; `weight`
+    is a column with the number of times a row counts.
 
     Values are counted per distinct value first; only the cells that hold a wanted rank reach the last step.
     """
     by = list(by)
     probs = [min(max(float(p), 0.0), 1.0) for p in probs]
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(
+        (F.sum(weight) if weight else F.count("*")).alias("c"))
     spots = [(i, p) for i, p in enumerate(probs)]
 
     def pos(p: float) -> Column:

@@ -191,12 +191,13 @@ def group_holdout(df: DataFrame, key: str, label: str, test_size: float, seed: i
     inside = part.where("room < 0").select("key").unionByName(
         part.where("room >= 0").select("key", "n", "h", "cell", "room").groupBy("cell").applyInPandas(pick, "key string"))
     roles = groups.select("key").join(inside.withColumn("role", F.lit("external")), "key", "left")
-    return _attach(df, key, roles.withColumn("role", F.coalesce("role", F.lit("dev"))))
+    return _attach(df, key, roles.withColumn("role", F.coalesce("role", F.lit("dev"))), groups)
 
 
-def _attach(df: DataFrame, key: str, roles: DataFrame) -> DataFrame:
+def _attach(df: DataFrame, key: str, roles: DataFrame, groups: DataFrame) -> DataFrame:
     keyed = df.withColumn("_key", F.coalesce(F.col(key), F.lit("")))
-    return skew_safe_join(keyed, roles.withColumnRenamed("key", "_key"), "_key").drop("_key")
+    sizes = groups.select(F.col("key").alias("_key"), "n")
+    return skew_safe_join(keyed, roles.withColumnRenamed("key", "_key"), "_key", sizes=sizes).drop("_key")
 
 
 # ---- grouped folds ---------------------------------------------------------------------------------------------
@@ -264,7 +265,7 @@ def grouped_folds(df: DataFrame, key: str, label: str, k: int, seed: int) -> Dat
     check = folds.groupBy("fold").agg(F.sum("pos").alias("p"), F.sum("n").alias("n")).collect()
     if len(check) < k or any(r["p"] == 0 or r["p"] == r["n"] for r in check):
         folds = cut_lineage(assign_folds(groups, k, seed, stratify=False))
-    return _attach(df, key, folds.select("key", "fold"))
+    return _attach(df, key, folds.select("key", "fold"), groups)
 
 
 def tuning_folds(df: DataFrame, key: str, label: str, k: int, seed: int) -> DataFrame | None:

@@ -125,8 +125,8 @@ def feature_export(spark, d):
 def column_names(spark, d):
     li = table(spark, d, "lineitem").select(
         F.col("l_returnflag").alias("Standard Type"), F.col("l_linestatus").alias("Standard Units"),
-        F.col("l_extendedprice").alias("Standard Value"), F.col("l_partkey").alias("ChEMBL ID"))
-    named = S.snake_names(li, {"chembl_id": "molecule_id"})
+        F.col("l_extendedprice").alias("Standard Value"), F.col("l_partkey").alias("Compound ID"))
+    named = S.snake_names(li, {"compound_id": "molecule_id"})
     return named.groupBy("standard_type", "standard_units").agg(
         r(F.avg("standard_value"), 4).alias("standard_value"), F.count("molecule_id").alias("molecule_id"))
 

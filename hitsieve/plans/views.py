@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from hitsieve.functions import text as X
 from hitsieve.functions.scalar import hash32
 from hitsieve.schemas import Rule
+from hitsieve.session import scratch_path
+from hitsieve.sources.sinks import write_parquet
 from hitsieve.sources.tables import read_library, read_table
 
 DESCRIPTOR_NAMES = ["n_chars", "n_tokens", "n_unique", "unique_ratio", "mean_token", "digit_ratio", "upper_ratio",
@@ -54,9 +56,16 @@ def sigmoid(z):
 
 
 def predictions(spark: SparkSession, d: str) -> DataFrame:
+    """Prediction rows as a stored table: metric queries read it more than once, the text only once."""
+    path = scratch_path(spark, "predictions")
+    write_parquet(_predictions(spark, d), path)
+    return spark.read.schema("id bigint, source string, y_true int, y_prob double, model string, seed int, fold int").parquet(path)
+
+
+def _predictions(spark: SparkSession, d: str) -> DataFrame:
     names = sorted({n for c in MODELS.values() for n in c if n != "bias"})
     labels = table(spark, d, "labels").select("doc_id", F.col("quality").alias("y_true"))
-    docs = read_library(spark, f"{d}/documents.parquet", ("doc_id", "text", "source"), spread_rows=False)
+    docs = read_library(spark, f"{d}/documents.parquet", ("doc_id", "text", "source"))
     rows = X.with_descriptors(docs.join(labels, "doc_id"), names)
     runs = F.explode(F.array(*[
         F.struct(F.lit(m).alias("model"), F.lit(s).alias("seed"),
