@@ -1,7 +1,7 @@
 """Ordered work without one big task: prefix sums, ranks, top-k and exact quantiles.
 
 A running sum over all rows of a group would put that group in one task. Here the value range is cut into
-2^24 fine cells that belong to 2^12 coarse ones. Sums run over the coarse cells of a group (at most 4096
+2^24 fine cells that belong to 2^12 coarse ones; without a given range the cells follow the data. Sums run over the coarse cells of a group (at most 4096
 rows), then over the fine cells of one coarse cell (at most 4096 rows), and only then over the rows of one fine
 cell. Rows are expected to be aggregated per distinct value first, so that equal values are one row.
 """
@@ -25,24 +25,22 @@ def value_range(df: DataFrame, order: str) -> tuple[Column, Column]:
 
 def prefix_sums(df: DataFrame, by: Sequence[str], order: str, sums: Sequence[str],
                 lo: Column | float | None = None, hi: Column | float | None = None,
-                descending: bool = False, keep: Column | None = None, ties: Sequence[str] = ()) -> DataFrame:
+                descending: bool = False, keep: Column | None = None, ties: Sequence[str] = (),
+                levels: int = 2) -> DataFrame:
     """Adds `<s>_before` (sum over the rows ahead) and `<s>_total` (sum over the group) for each column of `sums`.
 
     `df` holds at most one row per (by, order, ties). `keep` may prune fine cells: it sees `<s>_off` (sum ahead of the
     cell), `<s>_cell` and `<s>_total`; rows of dropped cells are not returned.
     """
     by = list(by)
-    if lo is None or hi is None:
-        lo, hi = value_range(df, order)
-    lo = lo if isinstance(lo, Column) else F.lit(float(lo))
-    hi = hi if isinstance(hi, Column) else F.lit(float(hi))
     x = F.col(order).cast("double")
-    share = F.coalesce(F.try_divide(x - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-    cell = F.floor(share * FINE).cast("int")
-    cell = F.greatest(F.lit(0), F.least(F.lit(FINE - 1), cell))
+    if lo is None or hi is None:
+        rows = _even_cells(df, x, order, levels)
+    else:
+        lo, hi = (v if isinstance(v, Column) else F.lit(float(v)) for v in (lo, hi))
+        rows = df.withColumn("_fine", _slot(x, lo, hi, F.lit(FINE)))
     if descending:
-        cell = F.lit(FINE - 1) - cell
-    rows = (df.withColumns({"_lo": lo, "_hi": hi}).withColumn("_fine", cell).drop("_lo", "_hi"))
+        rows = rows.withColumn("_fine", F.lit(FINE - 1) - F.col("_fine"))
 
     fine = (rows.groupBy(*by, "_fine").agg(*[F.sum(s).alias(f"{s}_cell") for s in sums])
             .withColumn("_coarse", F.floor(F.col("_fine") / FAN).cast("int")))
@@ -70,6 +68,43 @@ def prefix_sums(df: DataFrame, by: Sequence[str], order: str, sums: Sequence[str
             .drop("_fine", *[f"{s}_off" for s in sums], *[f"{s}_cell" for s in sums]))
 
 
+def _slot(x: Column, lo: Column, hi: Column, parts: Column) -> Column:
+    """Position of x among equal parts of [lo, hi]; monotone in x."""
+    share = F.coalesce(F.try_divide(x - lo, hi - lo), F.lit(0.0))
+    return F.greatest(F.lit(0), F.least(parts - 1, F.floor(share * parts))).cast("int")
+
+
+def _even_cells(df: DataFrame, x: Column, order: str, levels: int) -> DataFrame:
+    """Fine cells that follow the data: a coarse cell gets fine ones in proportion to its rows, over its own range.
+
+    Values that crowd into small parts of the range (ids in a few dense runs, prices beside far outliers) still
+    spread over many cells; the second level does the same inside the first. A table of coarse cells has 4096 rows
+    and reaches the rows as a scalar subquery.
+    """
+    lo, hi = value_range(df, order)
+    rows = df.withColumns({"_lo": lo, "_hi": hi}).withColumn(
+        "_c", _slot(x, F.col("_lo"), F.col("_hi"), F.lit(FAN))).drop("_lo", "_hi")
+    for _ in range(levels):
+        rows = rows.withColumn("_e", F.get(_cell_table(rows, x), F.col("_c")))
+        fine = F.col("_e.base") + _slot(x, F.col("_e.lo"), F.col("_e.hi"), F.col("_e.width"))
+        rows = rows.withColumn("_fine", fine).withColumn("_c", F.floor(F.col("_fine") / FAN).cast("int")).drop("_e")
+    return rows.drop("_c")
+
+
+def _cell_table(rows: DataFrame, x: Column) -> Column:
+    """Array over the coarse cells `_c`: first fine cell, number of fine cells, value range."""
+    hist = rows.groupBy(F.col("_c").alias("c")).agg(F.count("*").alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+    full = (rows.sparkSession.range(FAN).select(F.col("id").cast("int").alias("c")).join(hist, "c", "left")
+            .withColumn("n", F.coalesce("n", F.lit(0))))
+    every = W.partitionBy(F.lit(0))
+    share = F.try_divide(F.col("n").cast("double"), F.sum("n").over(every))
+    width = F.coalesce((1 + F.floor(share * (FINE - 2 * FAN))).cast("int"), F.lit(1))
+    ahead = every.orderBy("c").rowsBetween(W.unboundedPreceding, -1)
+    return (full.withColumn("width", width)
+            .withColumn("base", F.coalesce(F.sum("width").over(ahead), F.lit(0)).cast("int"))
+            .agg(F.sort_array(F.collect_list(F.struct("c", "base", "width", "lo", "hi"))).alias("t")).scalar())
+
+
 def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join where NULL keys meet NULL keys."""
     names = {k: f"_r{i}" for i, k in enumerate(keys)}
@@ -115,7 +150,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
     for _, p in spots:
         wanted = wanted | holds(F.col("c_off"), F.col("c_cell"), F.floor(pos(p))) \
             | holds(F.col("c_off"), F.col("c_cell"), F.ceil(pos(p)))
-    rows = prefix_sums(counts, by, value, ["c"], lo, hi, keep=wanted)
+    rows = prefix_sums(counts, by, value, ["c"], lo, hi, keep=wanted, levels=1)
     aggs = [F.max("c_total").alias("n")]
     for i, p in spots:
         low, high = F.floor(pos(p)), F.ceil(pos(p))
