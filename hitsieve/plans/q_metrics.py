@@ -211,14 +211,14 @@ SQL_REL = {
 
 
 @query("agg22_reliability_curve", on_predictions(
-    f"SELECT model, seed, bin::BIGINT AS bin, {sql_rs(['mean_pred', 'frac_pos'])}, n::BIGINT AS n FROM rel",
+    f"SELECT model, seed, bin::BIGINT AS bin, {sql_rs(['mean_pred', 'frac_pos'], 12)}, n::BIGINT AS n FROM rel",
     extra=SQL_REL))
 def reliability(spark, d):
-    return rounded(M.reliability(predictions(spark, d), BY), BY, ["mean_pred", "frac_pos"], ["bin", "n"])
+    return rounded(M.reliability(predictions(spark, d), BY), BY, ["mean_pred", "frac_pos"], ["bin", "n"], digits=12)
 
 
 @query("jn11_reliability_side_by_side", on_predictions(
-    f"""SELECT seed, bin::BIGINT AS bin, {sql_rs(['mean_a', 'frac_a', 'mean_b', 'frac_b'])} FROM
+    f"""SELECT seed, bin::BIGINT AS bin, {sql_rs(['mean_a', 'frac_a', 'mean_b', 'frac_b'], 12)} FROM
     (SELECT seed, bin, mean_pred AS mean_a, frac_pos AS frac_a FROM rel WHERE model = 'LIN_A') FULL JOIN
     (SELECT seed, bin, mean_pred AS mean_b, frac_pos AS frac_b FROM rel WHERE model = 'LIN_B' AND bin < 8)
     USING (seed, bin)""", extra=SQL_REL))
@@ -229,7 +229,7 @@ def side_by_side(spark, d):
     b = rel.where("model = 'LIN_B' AND bin < 8").select("seed", "bin", F.col("mean_pred").alias("mean_b"),
                                                         F.col("frac_pos").alias("frac_b"))
     return rounded(a.join(b, ["seed", "bin"], "full_outer"), ["seed"], ["mean_a", "frac_a", "mean_b", "frac_b"],
-                   ["bin"])
+                   ["bin"], digits=12)
 
 
 # curves on the grid: interpolation in plain SQL over all curve points
