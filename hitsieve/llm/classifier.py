@@ -93,19 +93,26 @@ def fit(sample: DataFrame, epochs: int = 12, rate: float = 1.0, seed: int = 1) -
     The rate of a step is normalised by the mean squared share of the document's buckets, so that long and short
     documents move their average by the same amount.
     """
-    got = sample.orderBy("_order").toArrow().to_pydict()
-    y = np.array(got["_label"], np.int64)
+    got = sample.toArrow().combine_chunks().sort_by("_order")
+    y = got.column("_label").to_numpy()
     if len(set(y.tolist())) < 2:
         return None
-    rows = [(np.array(i, np.int64), np.array(c, np.float32) / max(1, sum(c))) for i, c in zip(got["ids"], got["counts"])]
+    ids, counts, ends = [], [], [0]
+    for chunk_ids, chunk_counts in zip(got.column("ids").chunks, got.column("counts").chunks):
+        ids.append(chunk_ids.flatten().to_numpy())
+        counts.append(chunk_counts.flatten().to_numpy())
+        ends += (ends[-1] + np.cumsum(chunk_ids.value_lengths().to_numpy())).tolist()
+    ids, counts = np.concatenate(ids), np.concatenate(counts)
+    del got
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, ((1 + len(GRAMS)) << BITS, DIM)).astype(np.float32)
     weights = rng.normal(0, 1, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     for epoch in range(epochs):
         pace = rate * (1 - epoch / epochs)
-        for k in rng.permutation(len(rows)):
-            at, share = rows[k]
+        for k in rng.permutation(len(y)):
+            at, share = ids[ends[k]:ends[k + 1]], counts[ends[k]:ends[k + 1]].astype(np.float32)
+            share /= max(1, share.sum())
             hidden = share @ vectors[at] if len(at) else np.zeros(DIM, np.float32)
             z = hidden @ weights + bias
             p = np.exp(z - z.max())
