@@ -124,13 +124,18 @@ def with_fingerprint(df: DataFrame, text: str = "text", out: str = "bits", radiu
     return bind(low, **{out: set_bits(F.col("_tk"), radius, n_bits, portable)}).drop("_tk")
 
 
-def template_key(text: Column, n: int = 3) -> Column:
-    """Structural key: first n tokens, lower case, digits masked; '' for missing text."""
-    # only the head of the text is cut into tokens; it may start with one empty piece
-    pieces = F.slice(F.split(text, BLANKS, n + 2), 1, n + 1)
-    head = F.slice(F.filter(pieces, lambda t: t != ""), 1, n)
-    return F.coalesce(F.array_join(F.transform(head, lambda t: F.regexp_replace(F.lower(t), "[0-9]+", "#")), " "),
-                      F.lit(""))
+def with_template_key(df: DataFrame, text: str = "text", out: str = "key", n: int = 3) -> DataFrame:
+    """Structural key of the whole text: the smallest md5 over its runs of n tokens, lower case, digits masked.
+
+    Copies share their key, and near copies share it as often as they share runs, wherever they differ; texts with a
+    common start do not. Missing and blank texts have the key ''; a text of fewer tokens is one run.
+    """
+    masked = F.transform(tokens(F.col(text)), lambda t: F.regexp_replace(F.lower(t), "[0-9]+", "#"))
+    low = bind(df, _tk=masked)
+    last = F.greatest(F.size("_tk") - n, F.lit(0))
+    runs = F.transform(F.sequence(F.lit(0), last), lambda i: F.md5(F.array_join(F.slice("_tk", i + 1, n), " ").cast("binary")))
+    key = F.when(F.size("_tk") > 0, F.array_min(runs)).otherwise(F.lit(""))
+    return low.withColumn(out, key).drop("_tk")
 
 
 def rule_filter(rules: Sequence[Rule]) -> Column:

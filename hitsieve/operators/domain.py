@@ -63,8 +63,13 @@ def shrunk_covariance(train: DataFrame, col: str) -> tuple[np.ndarray, np.ndarra
 
 
 def mahalanobis(df: DataFrame, col: str, mean: np.ndarray, cov: np.ndarray, out: str = "mahalanobis") -> DataFrame:
-    """Distance of every row; the d x d whitening matrix is a constant of the task."""
-    whiten = np.linalg.cholesky(np.linalg.pinv(cov))
+    """Distance of every row; the d x d whitening matrix is a constant of the task.
+
+    Directions without variance are left out, as the pseudo-inverse does, so a singular covariance has distances too.
+    """
+    value, side = np.linalg.eigh(cov)
+    live = value > value.max(initial=0.0) * len(value) * np.finfo(float).eps
+    whiten = side[:, live] / np.sqrt(value[live])
 
     @pandas_udf("double")
     def dist(v: pd.Series) -> pd.Series:

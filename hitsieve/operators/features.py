@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import asdict, dataclass
 
 import numpy as np
 from pyspark.ml.feature import CountVectorizerModel, PCA, VectorAssembler
@@ -86,7 +87,7 @@ def as_vector(df: DataFrame, bits: str, kept: Sequence[int], out: str) -> DataFr
 def correlated_pairs(df: DataFrame, bits: str, candidates: Sequence[int], threshold: float = 0.9) -> list[tuple]:
     """(i, j, |r|) with i < j above the threshold, from one distributed pass over the rows.
 
-    The matrix has at most 1500 x 1500 cells: callers skip the step beyond that many candidates.
+    The driver holds one number per pair of candidates: 32 MB for the 2,048 bits of a fingerprint.
     """
     kept = list(candidates)
     if len(kept) < 2:
@@ -116,25 +117,79 @@ def prune_correlated(variances: dict[int, float], pairs: Sequence[tuple]) -> lis
 
 
 def fit_mask(df: DataFrame, bits: str, n_bits: int, variance: float = 0.05, correlation: float = 0.9,
-             max_bits: int = 1500) -> list[int]:
-    """Kept bit positions: variance filter, then correlation pruning unless more than `max_bits` are left."""
+             max_bits: int | None = None) -> list[int]:
+    """Kept bit positions: variance filter, then correlation pruning at any number of bits.
+
+    `max_bits` restores a rule that skips the pruning when more bits than that are left.
+    """
     table = bit_variances(df, bits, n_bits, variance).where("kept").collect()
     var = {r["bit"]: r["variance"] for r in table}
-    if len(var) > max_bits:
+    if max_bits is not None and len(var) > max_bits:
         return sorted(var)
     return prune_correlated(var, correlated_pairs(df, bits, sorted(var), correlation))
 
 
+@dataclass(frozen=True)
+class Processor:
+    """Everything fitted that turns rows into features: kept bits, missing policy, moments. Saved with a model.
+
+    `names` are the descriptors and, under `nan_indicator`, one indicator for each that had missing values in training.
+    """
+
+    bits: str
+    n_bits: int
+    kept: list[int]
+    descriptors: list[str]
+    names: list[str]
+    means: list[float]
+    sigmas: list[float]
+    strategy: str
+    impute_value: float
+    suffix: str
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Adds `features_raw` and `features_scaled`; needs no training rows."""
+        policy = MissingPolicy(self.strategy, self.impute_value, self.suffix)
+        filled, _ = fill_missing(df, self.descriptors, policy)
+        out = as_vector(filled, self.bits, self.kept, "_bits")
+        out = out.withColumns({f"{n}__z": (F.col(n) - F.lit(m)) / F.lit(s) for n, m, s in zip(self.names, self.means, self.sigmas)})
+        for target, names in (("features_raw", self.names), ("features_scaled", [f"{n}__z" for n in self.names])):
+            out = VectorAssembler(inputCols=["_bits", *names], outputCol=target, handleInvalid="error").transform(out)
+        extra = [f"{n}{self.suffix}" for n in self.descriptors if policy.strategy == "nan_indicator" and f"{n}{self.suffix}" not in df.columns]
+        return out.drop("_bits", *extra, *[f"{n}__z" for n in self.names])
+
+    def contract(self) -> list[tuple[int, str, str]]:
+        """(position, name, type) of the features."""
+        out = [(i, f"bit_{b}", "bit") for i, b in enumerate(self.kept)]
+        return out + [(len(self.kept) + i, n, "descriptor") for i, n in enumerate(self.names)]
+
+    def saved(self) -> dict:
+        return asdict(self)
+
+    @staticmethod
+    def loaded(state: dict) -> "Processor":
+        return Processor(**state)
+
+
+def fit_processor(train: DataFrame, bits: str, n_bits: int, descriptors: Sequence[str], kept: Sequence[int],
+                  missing: MissingPolicy = MissingPolicy()) -> Processor:
+    """Moments and missing-value indicators of the training rows, in one pass; a constant column has sigma 1."""
+    filled, names = fill_missing(train, descriptors, missing)
+    parts = []
+    for n in names:
+        parts += [F.avg(n).alias(f"{n}|mu"), F.stddev_pop(n).alias(f"{n}|sd")]
+    got = filled.agg(*parts).first()
+    flags = [n for n in names if n not in descriptors]
+    names = [*descriptors, *[n for n in flags if (got[f"{n}|mu"] or 0.0) > 0]]
+    return Processor(bits, n_bits, list(kept), list(descriptors), names, [float(got[f"{n}|mu"] or 0.0) for n in names],
+                     [float(got[f"{n}|sd"] or 0.0) or 1.0 for n in names], missing.strategy, float(missing.impute_value), missing.suffix)
+
+
 def assemble(df: DataFrame, fit_on: DataFrame, bits: str, kept: Sequence[int], descriptors: Sequence[str],
              ) -> tuple[DataFrame, list[tuple[int, str, str]]]:
     """`features_scaled` and `features_raw` (kept bits, then descriptors) and the (position, name, type) contract."""
-    out = as_vector(df, bits, kept, "_bits")
-    out = scale_columns(out, fit_on, descriptors, "__z")
-    for target, names in (("features_raw", list(descriptors)), ("features_scaled", [f"{n}__z" for n in descriptors])):
-        out = VectorAssembler(inputCols=["_bits", *names], outputCol=target, handleInvalid="error").transform(out)
-    contract = [(i, f"bit_{b}", "bit") for i, b in enumerate(kept)]
-    contract += [(len(kept) + i, n, "descriptor") for i, n in enumerate(descriptors)]
-    return out.drop("_bits", *[f"{n}__z" for n in descriptors]), contract
+    fitted = fit_processor(fit_on, bits, 0, descriptors, kept)
+    return fitted.transform(df), fitted.contract()
 
 
 def fit_pca(df: DataFrame, col: str, components: int | float) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +207,13 @@ def fit_pca(df: DataFrame, col: str, components: int | float) -> tuple[np.ndarra
 
 
 def project(df: DataFrame, col: str, loadings: np.ndarray, out: str = "pc") -> DataFrame:
-    """Array column times fixed loadings, as native expressions."""
-    rows = [[float(v) for v in c] for c in loadings.T]
-    parts = [F.aggregate(F.zip_with(col, F.lit(c), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) for c in rows]
-    return df.withColumn(out, F.array(*parts))
+    """Array column times fixed loadings, one matrix product per Arrow batch."""
+    held = df.sparkSession.sparkContext.broadcast(np.asarray(loadings, dtype=np.float64))  # d x k numbers
+
+    @F.pandas_udf("array<double>")
+    def times(v):
+        m = held.value
+        x = np.array([np.asarray(r, dtype=np.float64) for r in v]).reshape(len(v), len(m))
+        return type(v)(list(x @ m), index=v.index, dtype=object)
+
+    return df.withColumn(out, times(F.col(col)))

@@ -1,7 +1,7 @@
 """Metrics over prediction rows (`y_true`, `y_prob`, group columns): confusion, ranking, thresholds, curves.
 
 Ranking metrics count rows per distinct score first, so a score shared by a third of the rows is one row when
-the running sums start; the running sums themselves are cell-wise (see `ordering`).
+the running sums start; the running sums themselves go by range partitions (see `ordering`).
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from functools import wraps
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from hitsieve.operators.ordering import exact_quantiles, prefix_sums, ranked, value_range
+from hitsieve.operators.ordering import exact_quantiles, prefix_sums, ranked
 from hitsieve.schemas import METRICS
 
 
@@ -62,7 +62,7 @@ def score_counts(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def cumulative(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Per distinct score: positives and negatives at it, above it (`_before`) and in the group (`_total`)."""
-    return prefix_sums(score_counts(df, by), by, "y_prob", ["pos", "neg"], 0.0, 1.0, descending=True)
+    return prefix_sums(score_counts(df, by), by, "y_prob", ["pos", "neg"], descending=True)
 
 
 def _auc() -> Column:
@@ -110,8 +110,7 @@ def top_hits(df: DataFrame, by: Sequence[str], fractions: Sequence[float], id_co
         F.sum(sure).alias("sure"))
     edge = scored.where(mixed).select(*by, "fraction", "y_prob", (F.col("k") - F.col("start")).alias("room"))
     tied = df.select(*by, "y_prob", "y_true", id_col).join(edge, [*by, "y_prob"])
-    lo, hi = value_range(df, id_col)
-    inside = (ranked(tied, [*by, "fraction"], id_col, "place", lo=lo, hi=hi).where(F.col("place") < F.col("room"))
+    inside = (ranked(tied, [*by, "fraction"], id_col, "place").where(F.col("place") < F.col("room"))
               .groupBy(*by, "fraction").agg(F.count_if(F.col("y_true") == 1).alias("tie_hits")))
     return (base.join(inside, [*by, "fraction"], "left")
             .withColumn("hits", F.col("sure") + F.coalesce(F.col("tie_hits"), F.lit(0)))
@@ -129,11 +128,18 @@ def enrichment(df: DataFrame, by: Sequence[str], fractions: Sequence[float] = (0
 
 
 @grouped
-def evaluate(df: DataFrame, by: Sequence[str], threshold: float = 0.5, id_col: str = "id") -> DataFrame:
-    """The eleven report metrics per group; ranking metrics are NULL when a class is missing."""
+def evaluate(df: DataFrame, by: Sequence[str], threshold: float | str = 0.5, id_col: str = "id") -> DataFrame:
+    """The eleven report metrics per group; ranking metrics are NULL when a class is missing.
+
+    `threshold` is a number or a column that is constant within a group, such as the locked threshold of its model.
+    """
     by = list(by)
+    named = isinstance(threshold, str)
     cum = cumulative(df, by)
-    high = F.col("y_prob") >= F.lit(float(threshold))
+    if named:
+        locked = df.groupBy(*by).agg(F.max(threshold).alias("_locked"))
+        cum = cum.join(locked, by)
+    high = F.col("y_prob") >= (F.col("_locked") if named else F.lit(float(threshold)))
 
     def rows(c: str, side: Column) -> Column:
         return F.sum(F.when(side, F.col(c)).otherwise(0))
@@ -297,7 +303,7 @@ def reliability(df: DataFrame, by: Sequence[str], bins: int = 10) -> DataFrame:
     by = list(by)
     # counted per score first, so a shared score is searched once
     scores = score_counts(df, by).withColumn("n", F.col("pos") + F.col("neg"))
-    edges = exact_quantiles(scores, by, "y_prob", [i / bins for i in range(bins + 1)], 0.0, 1.0, weight="n")
+    edges = exact_quantiles(scores, by, "y_prob", [i / bins for i in range(bins + 1)], weight="n")
     inner = edges.select(*by, F.array(*[f"q{i}" for i in range(1, bins)]).alias("edges"))
     per = scores.join(inner, by).withColumn("raw", F.size(F.filter("edges", lambda e: e < F.col("y_prob"))))
     table = per.groupBy(*by, "raw").agg(

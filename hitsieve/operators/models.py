@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import itertools
+import json
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
 from pyspark import keyword_only
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
@@ -18,6 +20,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -25,9 +28,9 @@ from pyspark.sql.functions import pandas_udf
 
 from hitsieve.operators import features as FE, metrics as M
 from hitsieve.operators.clean import safe_corr
-from hitsieve.operators.splits import augment, grouped_folds, group_holdout, permuted_labels, stratified_holdout
+from hitsieve.operators.splits import augment, grouped_folds, group_holdout, permuted_labels, stratified_holdout, tuning_folds
 from hitsieve.schemas import SCALED_MODELS, TrainConfig
-from hitsieve.session import cut_lineage
+from hitsieve.session import cut_lineage, scratch_path
 from hitsieve.sources.sinks import read_contract, write_contract
 
 # Search spaces per family, as far as the Spark estimators have the parameter.
@@ -95,9 +98,11 @@ class RandomFourier(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadabl
 
 def _forest(p: dict, seed: int, features: str, extra: bool) -> Estimator:
     depth = p.get("max_depth")
+    if depth is not None and depth > DEEPEST:
+        raise ValueError(f"trees are at most {DEEPEST} deep")
     pick = p.get("max_features", "sqrt")
     return RandomForestClassifier(
-        featuresCol=features, numTrees=int(p.get("n_estimators", 200)), maxDepth=min(DEEPEST, depth or DEEPEST),
+        featuresCol=features, numTrees=int(p.get("n_estimators", 200)), maxDepth=depth or DEEPEST,
         minInstancesPerNode=int(p.get("min_samples_leaf", 1)), featureSubsetStrategy=str(pick), seed=seed,
         bootstrap=not extra, maxBins=8 if extra else 32)
 
@@ -118,8 +123,7 @@ def estimator(family: str, p: dict, seed: int, features: str, rows: int, width:
     if family == "MLP":
         hidden = [int(h) for h in p.get("hidden_layer_sizes", (256, 128))]
         return MultilayerPerceptronClassifier(featuresCol=features, layers=[width, *hidden, 2], seed=seed,
-                                              maxIter=int(p.get("max_iter", 500)),
-                                              stepSize=float(p.get("learning_rate_init", 1e-3)))
+                                              maxIter=int(p.get("max_iter", 500)))
     if family == "SVC":
         return KernelSVC(p, seed, features, rows, width)
     raise ValueError(f"unknown family: {family}")
@@ -135,8 +139,10 @@ class KernelSVC(Estimator):
     def _fit(self, dataset: DataFrame) -> PipelineModel:
         gamma = self.p.get("gamma", "scale")
         if gamma == "scale":
-            flat = dataset.select(F.explode(vector_to_array(self.features)).alias("v"))
-            var = flat.agg(F.var_pop("v")).first()[0] or 1.0
+            got = dataset.select(Summarizer.metrics("mean", "variance", "count").summary(F.col(self.features)).alias("s")).first()["s"]
+            mean, n = got["mean"].toArray(), got["count"]
+            inner = got["variance"].toArray() * (n - 1) / n
+            var = float((inner + mean ** 2).mean() - mean.mean() ** 2) or 1.0  # of all entries, without unfolding them
             gamma = 1.0 / (self.width * var)
         lift = RandomFourier(inputCol=self.features, outputCol="_rff", gamma=float(gamma), width=self.width,
                              size=int(self.p.get("size", 256)), seed=self.seed)
@@ -203,6 +209,8 @@ class ScoreEvaluator(Evaluator):
 def search_space(family: str, kind: str, n_iter: int, seed: int, space: dict | None = None) -> list[dict]:
     """All combinations, or a seeded subset of `n_iter` of them."""
     space = space or (GRID_SPACES if kind == "grid" else RANDOM_SPACES)[family]
+    # the network's solver has no learning rate: candidates that differ in it alone would be one model
+    space = {k: v for k, v in space.items() if (family, k) != ("MLP", "learning_rate_init")}
     every = [dict(zip(space, v)) for v in itertools.product(*space.values())]
     if kind == "grid" or len(every) <= n_iter:
         return every
@@ -237,8 +245,10 @@ def tune(train: DataFrame, family: str, label: str, fold: str, kind: str = "rand
                         evaluator=ScoreEvaluator(scoring), numFolds=k, foldCol="_fold", parallelism=parallelism)
     try:
         found = cv.fit(rows)
-    except Exception as exc:  # a search that fails must not lose the run
-        return fit_family(train, family, label, None, seed), {"model": family, "failed": str(exc)[:200]}
+    except (IllegalArgumentException, ValueError, ZeroDivisionError) as exc:  # candidates that the estimator refuses
+        return fit_family(train, family, label, None, seed), {
+            "model": family, "failed": str(exc)[:200], "best_score": None, "best_params": {}, "cv_folds": k,
+            "n_iter": len(candidates), "search_type": kind}
     best = int(np.argmax(found.avgMetrics))
     return found.bestModel, {"model": family, "best_score": float(found.avgMetrics[best]), "best_params": candidates[best],
                              "cv_folds": k, "n_iter": len(candidates), "search_type": kind}
@@ -246,59 +256,101 @@ def tune(train: DataFrame, family: str, label: str, fold: str, kind: str = "rand
 
 # ---- cross-validation and final fits ---------------------------------------------------------------------------
 
-def prepared(train: DataFrame, other: DataFrame, bits: str, n_bits: int, descriptors: Sequence[str], config: TrainConfig,
-             seed: int, phase: int, text: str | None = None, id_col: str = "id",
-             recompute: Callable[[DataFrame], DataFrame] | None = None):
-    """Train and other rows with features; augmentation, mask and scaling come from the train rows only."""
-    if text and config.n_augments:
+def fitted(train: DataFrame, bits: str, n_bits: int, descriptors: Sequence[str], config: TrainConfig, seed: int, phase: int,
+           text: str | None = None, id_col: str = "id", recompute: Callable[[DataFrame], DataFrame] | None = None,
+           ) -> tuple[DataFrame, FE.Processor]:
+    """Training rows as the config wants them (augmented, features assembled) and the processor fitted on them."""
+    if config.n_augments:
+        if text is None:
+            raise ValueError("augmentation needs the text column")
+        if config.descriptor_mode == "recompute" and recompute is None:
+            raise ValueError("recomputed descriptors need a function")
         train = augment(train, id_col, text, config.n_augments, seed, phase,
                         recompute if config.descriptor_mode == "recompute" else None)
     kept = FE.fit_mask(train, bits, n_bits, config.variance_threshold, config.correlation_threshold,
                        config.max_correlation_bits)
-    a, contract = FE.assemble(train, train, bits, kept, descriptors)
-    b, _ = FE.assemble(other, train, bits, kept, descriptors)
-    return a, b, contract
+    processor = FE.fit_processor(train, bits, n_bits, descriptors, kept, config.missing)
+    return processor.transform(train), processor
+
+
+def prepared(train: DataFrame, other: DataFrame, bits: str, n_bits: int, descriptors: Sequence[str], config: TrainConfig,
+             seed: int, phase: int, **options):
+    """Train and other rows with features; augmentation, mask and scaling come from the train rows only."""
+    rows, processor = fitted(train, bits, n_bits, descriptors, config, seed, phase, **options)
+    return rows, processor.transform(other), processor.contract()
+
+
+def chosen_model(train: DataFrame, family: str, label: str, config: TrainConfig, seed: int, params: dict | None, group: str | None,
+                 stage: str, fold: int | None, log: list[dict] | None) -> Model:
+    """The family fitted with given parameters, or with those a search finds where the config asks for one.
+
+    Each search adds a row to `log`. Too few rows of a class or too few groups for two folds skip the search.
+    """
+    if config.search == "none" or params is not None:
+        return fit_family(train, family, label, params, seed)
+    folds = tuning_folds(train.drop("fold"), group, label, config.search_folds, seed) if group else None
+    if folds is None:
+        return fit_family(train, family, label, None, seed)
+    model, info = tune(cut_lineage(folds), family, label, "fold", config.search, config.search_iterations, config.search_scoring, seed)
+    if log is not None:
+        log.append({"split_seed": seed, "stage": stage, "fold": fold, "model": family, "best_score": info["best_score"],
+                    "cv_type": info["search_type"], "cv_folds": int(info["cv_folds"]), "n_iter": int(info["n_iter"]),
+                    "classification_threshold": config.classification_threshold, "best_params_json": json.dumps(info["best_params"])})
+    return model
+
+
+TUNING_TABLE = ("split_seed int, stage string, fold int, model string, best_score double, cv_type string, cv_folds int, n_iter int, "
+                "classification_threshold double, best_params_json string")
 
 
 def out_of_fold(df: DataFrame, label: str, fold: str, bits: str, n_bits: int, descriptors: Sequence[str],
-                config: TrainConfig, seed: int, params: dict[str, dict] | None = None, id_col: str = "id") -> DataFrame:
-    """Predictions for every row from models that never saw its fold."""
+                config: TrainConfig, seed: int, params: dict[str, dict] | None = None, id_col: str = "id",
+                group: str | None = None, with_train: bool = False, log: list[dict] | None = None, **options) -> DataFrame:
+    """Predictions for every row from models that never saw its fold.
+
+    `with_train` adds the predictions of each model for its own training rows and a column `split` (`val`, `train`).
+    """
     params = params or {}
     parts = None
     for f in sorted(r[0] for r in df.select(fold).distinct().collect()):
-        train, val, _ = prepared(df.where(F.col(fold) != f), df.where(F.col(fold) == f), bits, n_bits, descriptors,
-                                 config, seed, f, id_col=id_col)
-        train = cut_lineage(train.select(id_col, label, "features_raw", "features_scaled"))
+        train, processor = fitted(df.where(F.col(fold) != f), bits, n_bits, descriptors, config, seed, f, id_col=id_col, **options)
+        train = cut_lineage(train.select(id_col, label, *([group] if group else []), "features_raw", "features_scaled"))
+        val = processor.transform(df.where(F.col(fold) == f))
+        threshold = config.classification_threshold if config.thresholding else 0.5
         for family in config.models:
-            model = fit_family(train, family, label, params.get(family), seed)
-            threshold = config.classification_threshold if config.thresholding else 0.5
-            out = with_probability(model.transform(val), threshold).select(
-                F.col(id_col).alias("id"), F.col(label).cast("int").alias("y_true"), "y_pred", "y_prob",
-                F.lit(family).alias("model"), F.lit(seed).alias("seed"), F.col(fold).cast("int").alias("fold"))
-            parts = out if parts is None else parts.unionByName(out)
+            model = chosen_model(train, family, label, config, seed, params.get(family), group, "cv", int(f), log)
+            for split, rows in (("val", val), ("train", train)) if with_train else (("val", val),):
+                out = with_probability(model.transform(rows), threshold).select(
+                    F.col(id_col).alias("id"), F.col(label).cast("int").alias("y_true"), "y_pred", "y_prob",
+                    F.lit(family).alias("model"), F.lit(seed).alias("seed"), F.lit(int(f)).alias("fold"), F.lit(split).alias("split"))
+                out = out if with_train else out.drop("split")
+                parts = out if parts is None else parts.unionByName(out)
     return parts
 
 
 def final_models(dev: DataFrame, external: DataFrame, label: str, bits: str, n_bits: int, descriptors: Sequence[str],
                  config: TrainConfig, seed: int, thresholds: dict[str, float], params: dict[str, dict] | None = None,
-                 id_col: str = "id") -> tuple[dict[str, Model], DataFrame, list]:
-    """Fits on all development rows; external predictions at the locked thresholds; the feature contract."""
+                 id_col: str = "id", group: str | None = None, log: list[dict] | None = None, **options,
+                 ) -> tuple[dict[str, Model], DataFrame, FE.Processor]:
+    """Fits on all development rows; external predictions at the locked thresholds (`threshold`); the processor."""
     params = params or {}
-    train, ext, contract = prepared(dev, external, bits, n_bits, descriptors, config, seed, 99, id_col=id_col)
-    train = cut_lineage(train.select(id_col, label, "features_raw", "features_scaled"))
+    train, processor = fitted(dev, bits, n_bits, descriptors, config, seed, 99, id_col=id_col, **options)
+    train = cut_lineage(train.select(id_col, label, *([group] if group else []), "features_raw", "features_scaled"))
+    ext = processor.transform(external)
     models, parts = {}, None
     for family in config.models:
-        models[family] = fit_family(train, family, label, params.get(family), seed)
-        out = with_probability(models[family].transform(ext), thresholds.get(family, 0.5)).select(
+        models[family] = chosen_model(train, family, label, config, seed, params.get(family), group, "final", None, log)
+        at = float(thresholds.get(family, 0.5))
+        out = with_probability(models[family].transform(ext), at).select(
             F.col(id_col).alias("id"), F.col(label).cast("int").alias("y_true"), "y_pred", "y_prob",
-            F.lit(family).alias("model"), F.lit(seed).alias("seed"))
+            F.lit(family).alias("model"), F.lit(seed).alias("seed"), F.lit(at).alias("threshold"))
         parts = out if parts is None else parts.unionByName(out)
-    return models, parts, contract
+    return models, parts, processor
 
 
-def run_seed(df: DataFrame, label: str, group: str, bits: str, n_bits: int, descriptors: Sequence[str],
-             config: TrainConfig, seed: int, params: dict[str, dict] | None = None, id_col: str = "id") -> dict[str, DataFrame]:
-    """One seed: hold-out, out-of-fold predictions, locked thresholds, final fits, external report."""
+def run_seed(df: DataFrame, label: str, group: str, bits: str, n_bits: int, descriptors: Sequence[str], config: TrainConfig,
+             seed: int, params: dict[str, dict] | None = None, id_col: str = "id", **options) -> dict[str, DataFrame]:
+    """One seed: hold-out, out-of-fold predictions, locked thresholds, final fits, external report, tuning table."""
     df = df.drop("role", "fold")
     if config.split_method == "group":
         split = group_holdout(df, group, label, config.test_size, seed)
@@ -308,14 +360,18 @@ def run_seed(df: DataFrame, label: str, group: str, bits: str, n_bits: int, desc
     split = cut_lineage(split)
     dev, external = split.where("role = 'dev'"), split.where("role = 'external'")
     folds = cut_lineage(grouped_folds(dev, group, label, config.cv_folds, seed))
-    oof = cut_lineage(out_of_fold(folds, label, "fold", bits, n_bits, descriptors, config, seed, params, id_col))
+    log: list[dict] = []
+    every = cut_lineage(out_of_fold(folds, label, "fold", bits, n_bits, descriptors, config, seed, params, id_col, group, True, log, **options))
+    oof = every.where("split = 'val'").drop("split")
     locked = cut_lineage(M.best_thresholds(oof, ["model", "seed"], config.selection_rule, config.sweep_points))
     chosen = {r["model"]: r["selected_threshold"] for r in locked.collect()}
-    _, ext, _ = final_models(dev, external, label, bits, n_bits, descriptors, config, seed, chosen, params, id_col)
+    _, ext, _ = final_models(dev, external, label, bits, n_bits, descriptors, config, seed, chosen, params, id_col, group, log, **options)
     ext = cut_lineage(ext)
-    report = M.evaluate(oof, ["model", "seed", "fold"])
-    return {"oof": oof, "thresholds": locked, "external": ext, "fold_metrics": report,
-            "external_report": M.evaluate(ext, ["model", "seed"]),
+    at = config.classification_threshold if config.thresholding else 0.5
+    tuned = dev.sparkSession.createDataFrame([tuple(row.values()) for row in log], TUNING_TABLE)
+    return {"oof": oof, "thresholds": locked, "external": ext, "tuning": tuned,
+            "fold_metrics": M.evaluate(every, ["model", "seed", "fold", "split"], at),
+            "external_report": M.evaluate(ext, ["model", "seed"], "threshold"),
             "curves": M.threshold_curve(oof.withColumn("dataset", F.lit("oof")), ["model", "seed", "dataset"],
                                         config.curve_points, locked)}
 
@@ -335,15 +391,18 @@ def calibrate(df: DataFrame, label: str, fold: str, method: str, fit: Callable[[
               out: str = "y_cal") -> DataFrame:
     """Calibrated probability of every row: the mean over folds of refitted model plus calibrator.
 
-    Per fold the model is fitted on the other folds and the calibrator on its scores of the fold. `isotonic` and
-    `sigmoid` calibrators see the model's probability.
+    Per fold the model is fitted on the other folds and the calibrator on its scores of the fold. A sigmoid calibrator
+    sees the model's margin where it has one, an isotonic one the probability.
     """
     folds = sorted(r[0] for r in df.select(fold).distinct().collect())
     parts = None
     for f in folds:
         model = fit(df.where(F.col(fold) != f))
-        scores = with_probability(model.transform(df)).select(
-            id_col, label, F.col(fold).alias("_fold"), "y_prob", array_to_vector(F.array("y_prob")).alias("_s"))
+        seen = with_probability(model.transform(df))
+        # Platt's sigmoid is meant for margins; isotonic steps are the same on either scale
+        margin = F.get(vector_to_array("rawPrediction"), F.lit(1)) if "rawPrediction" in seen.columns else F.col("y_prob")
+        shown = margin if method == "sigmoid" else F.col("y_prob")
+        scores = seen.select(id_col, label, F.col(fold).alias("_fold"), "y_prob", array_to_vector(F.array(shown)).alias("_s"))
         held = scores.where(F.col("_fold") == f)
         if method == "isotonic":
             iso = IsotonicRegression(featuresCol="_s", labelCol=label, predictionCol="_c").fit(
@@ -374,7 +433,9 @@ def permutation_scores(dev: DataFrame, external: DataFrame, label: str, fit: Cal
 
     Labels are permuted for all runs in one plan; fits run side by side from a few driver threads.
     """
-    runs = cut_lineage(permuted_labels(dev, id_col, label, permutations, seed))
+    path = scratch_path(dev.sparkSession, "permutations")  # a folder for each run, so that a fit reads its own labels only
+    permuted_labels(dev, id_col, label, permutations, seed).write.partitionBy("permutation").parquet(path)
+    runs = dev.sparkSession.read.parquet(path)
     corr = {r[0]: r[1] for r in runs.groupBy("permutation").agg(safe_corr(label, "permuted")).collect()}
 
     def score(model: Model) -> float | None:
@@ -411,8 +472,10 @@ def assign_clusters(df: DataFrame, features: str, k: int = 8, seed: int = 42) ->
     return model.transform(df).withColumn("cluster_id", F.col("_c") + 1).drop("_c")
 
 
-def save_model(spark: SparkSession, model: Model, path: str, contract: dict) -> None:
-    """Model with its feature contract beside it."""
+def save_model(spark: SparkSession, model: Model, path: str, contract: dict, processor: FE.Processor | None = None) -> None:
+    """Model with its feature contract beside it; a processor makes the saved model able to build its own features."""
+    if processor is not None:
+        contract = {**contract, "processor": processor.saved()}
     whole = model if isinstance(model, PipelineModel) else PipelineModel(stages=[model])
     whole.write().overwrite().save(f"{path}/model")
     write_contract(spark, f"{path}/contract", contract)
@@ -420,3 +483,10 @@ def save_model(spark: SparkSession, model: Model, path: str, contract: dict) ->
 
 def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
     return PipelineModel.load(f"{path}/model"), read_contract(spark, f"{path}/contract")
+
+
+def score_library(spark: SparkSession, library: DataFrame, path: str, id_col: str) -> DataFrame:
+    """(id, y_prob, y_pred) of a batch or streaming library by a saved model, its processor and its threshold."""
+    model, contract = load_model(spark, path)
+    rows = FE.Processor.loaded(contract["processor"]).transform(library)
+    return with_probability(model.transform(rows), float(contract.get("threshold", 0.5))).select(id_col, "y_prob", "y_pred")

@@ -14,7 +14,7 @@ without a shuffle. Beyond the bound both sides are cut into blocks:
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -25,7 +25,7 @@ from hitsieve.session import cut_lineage
 
 BROADCAST_BYTES = 64 << 20
 MAX_PIVOTS = 128
-SLACK = 1e-9
+ROUNDING = 8 * np.finfo(np.float64).eps
 
 
 @dataclass(frozen=True)
@@ -34,10 +34,12 @@ class Metric:
 
     name: str
     width: int
+    center: tuple[float, ...] | None = None
 
     def matrix(self, rows) -> np.ndarray:
         if self.name == "euclidean":
-            return np.array([np.asarray(r, dtype=np.float64) for r in rows]).reshape(len(rows), self.width)
+            x = np.array([np.asarray(r, dtype=np.float64) for r in rows]).reshape(len(rows), self.width)
+            return x if self.center is None else x - np.array(self.center)
         out = np.zeros((len(rows), self.width), dtype=np.float32)
         for i, r in enumerate(rows):
             out[i, np.asarray(r, dtype=np.int64)] = 1.0
@@ -51,36 +53,60 @@ class Metric:
         union = q.sum(1)[:, None] + r.sum(1)[None, :] - both
         return 1.0 - both / np.where(union == 0, 1.0, union)
 
+    def error(self, q: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """Bound on the rounding error of the squared Euclidean distances of each query to any row; 0 for sets."""
+        if self.name != "euclidean" or not len(r):
+            return np.zeros(len(q))
+        return ROUNDING * (self.width + 8) * ((q * q).sum(1) + (r * r).sum(1).max())
+
     def smallest(self, q: np.ndarray, r: np.ndarray, copies: np.ndarray, k: int) -> np.ndarray:
         """The k smallest distances per query (rows sorted, padded with inf), counting copies of a reference row.
 
-        Euclidean candidates are taken a few ranks deeper and measured again from the differences.
+        Products of matrices lose digits where norms are large against distances. So both sides are centred on the
+        mean of the rows, every row within the error bound of the k-th is a candidate, however many there are, and
+        candidates are measured again from the differences.
         """
         out = np.full((len(q), k), np.inf)
         if not len(r):
             return out
+        euclid, few = self.name == "euclidean", min(len(r), k)
+        if euclid:
+            middle = r.mean(axis=0)
+            q, r = q - middle, r - middle
         step = max(1, (8 << 20) // max(len(r), 1))
-        deep = min(len(r), k + 8 if self.name == "euclidean" else k)
         for s in range(0, len(q), step):
             part = q[s:s + step]
             d = self.distances(part, r)
-            at = np.argpartition(d, deep - 1, axis=1)[:, :deep] if deep < len(r) else np.tile(np.arange(len(r)),
-                                                                                              (len(part), 1))
-            if self.name == "euclidean":
-                best = np.sqrt(((part[:, None, :] - r[at]) ** 2).sum(2))
-            else:
-                best = np.take_along_axis(d, at, 1)
-            order = np.argsort(best, axis=1, kind="stable")
-            best, times = np.take_along_axis(best, order, 1), np.minimum(copies[np.take_along_axis(at, order, 1)], k)
-            if times.max() == 1:
-                m = min(k, best.shape[1])
-                out[s:s + step, :m] = best[:, :m]
+            if euclid:
+                square = d * d
+                kth = np.partition(square, few - 1, axis=1)[:, few - 1]
+                slack = 2 * self.error(part, r) + ROUNDING * kth
+                number = (square <= (kth + slack)[:, None]).sum(axis=1)
             else:
-                for i in range(len(part)):
-                    row = np.repeat(best[i], times[i])[:k]
-                    out[s + i, :len(row)] = row
+                number = np.full(len(part), few)
+            for deep in np.unique(number):
+                rows = np.flatnonzero(number == deep)
+                chunk = max(1, (4 << 20) // max(1, deep * (self.width if euclid else 1)))
+                for i in range(0, len(rows), chunk):
+                    self._nearest_of(out, s, d, part, rows[i:i + chunk], int(deep), r, copies, k)
         return out
 
+    def _nearest_of(self, out, begin, d, part, rows, deep, r, copies, k) -> None:
+        """Fills `out` for queries that all have `deep` candidates."""
+        d, part = d[rows], part[rows]
+        s = begin + rows
+        at = np.argpartition(d, deep - 1, axis=1)[:, :deep] if deep < len(r) else np.tile(np.arange(len(r)), (len(part), 1))
+        best = np.sqrt(((part[:, None, :] - r[at]) ** 2).sum(2)) if self.name == "euclidean" else np.take_along_axis(d, at, 1)
+        order = np.argsort(best, axis=1, kind="stable")
+        best, times = np.take_along_axis(best, order, 1), np.minimum(copies[np.take_along_axis(at, order, 1)], k)
+        if times.max() == 1:
+            m = min(k, best.shape[1])
+            out[s, :m] = best[:, :m]
+        else:
+            for i, row in enumerate(s):
+                found = np.repeat(best[i], times[i])[:k]
+                out[row, :len(found)] = found
+
 
 def _series(found: np.ndarray) -> pd.Series:
     return pd.Series([row[np.isfinite(row)].tolist() for row in found])
@@ -118,6 +144,9 @@ def _block_join(queries, refs, col, id_col, k, metric, out, block_rows):
     total = distinct.count()
     n_pivots = min(MAX_PIVOTS, max(2, math.isqrt(max(1, total // block)) * 2))
     pivots = metric.matrix([r["v"] for r in distinct.orderBy(F.xxhash64("v"), F.col("v")).limit(n_pivots).collect()])
+    if metric.name == "euclidean" and len(pivots):
+        metric = replace(metric, center=tuple(pivots.mean(axis=0)))
+        pivots = pivots - np.array(metric.center)
     held = spark.sparkContext.broadcast(pivots)
 
     @pandas_udf("cell int, gap double")
@@ -135,17 +164,23 @@ def _block_join(queries, refs, col, id_col, k, metric, out, block_rows):
     cells = np.array([s["cell"] for s in stats])
     blocks = np.array([max(1, math.ceil(s["n"] / block)) for s in stats])
     lo, hi = np.array([s["lo"] for s in stats]), np.array([s["hi"] for s in stats])
+    # error bound of the reference rows' own distances: their norms are at most a pivot's norm and the largest radius
+    norms = np.sqrt((pivots * pivots).sum(1)).max(initial=0.0) + (hi.max() if len(hi) else 0.0)
+    far = ROUNDING * (metric.width + 8) * 2 * norms ** 2 if metric.name == "euclidean" else 0.0
     inner = [np.repeat([g["gap"] for g in s["near"]], [g["c"] for g in s["near"]])[:k] for s in stats]
     owner = np.repeat(np.arange(len(stats)), [len(x) for x in inner])
     inner = np.concatenate(inner) if inner else np.zeros(0)
 
     @pandas_udf("array<int>")
     def visits(v: pd.Series) -> pd.Series:
-        d = metric.distances(metric.matrix(v.tolist()), held.value)[:, cells]
+        x = metric.matrix(v.tolist())
+        d = metric.distances(x, held.value)[:, cells]
+        # three distances, each wrong by at most the root of its error; radii of cells are those of reference rows
+        wrong = 4 * np.sqrt(metric.error(x, held.value) + far) + ROUNDING
         reach = d[:, owner] + inner[None, :]
         top = np.sort(reach, axis=1)[:, k - 1] if reach.shape[1] >= k else np.full(len(d), np.inf)
         floor = np.maximum(np.maximum(d - hi[None, :], lo[None, :] - d), 0.0)
-        ok = floor <= top[:, None] + SLACK * (1.0 + np.where(np.isfinite(top), top, 0.0))[:, None]
+        ok = floor <= (top + wrong + ROUNDING * np.where(np.isfinite(top), top, 0.0))[:, None]
         return pd.Series([cells[row].astype("int32").tolist() for row in ok])
 
     n_blocks = F.element_at(F.create_map(*[F.lit(int(x)) for pair in zip(cells, blocks) for x in pair]), F.col("cell"))

@@ -1,9 +1,9 @@
 """Ordered work without one big task: prefix sums, ranks, top-k and exact quantiles.
 
-A running sum over all rows of a group would put that group in one task. Here the value range is cut into
-2^24 fine cells that belong to 2^12 coarse ones; without a given range the cells follow the data. Sums run over the coarse cells of a group (at most 4096
-rows), then over the fine cells of one coarse cell (at most 4096 rows), and only then over the rows of one fine
-cell. Rows are expected to be aggregated per distinct value first, so that equal values are one row.
+A running sum over all rows of a group would put that group in one task. Here the rows are range-partitioned by the
+order itself, whatever its type, so a hot range is cut like any other. Sums run over the partitions of a group (one row
+for each partition that the group touches), and then over the rows of one partition. Rows are expected to be aggregated
+per distinct value first, so that equal values are one row.
 """
 
 from __future__ import annotations
@@ -12,97 +12,39 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-FINE = 1 << 24
-FAN = 1 << 12
+from hitsieve.session import cut_lineage
 
 
-def value_range(df: DataFrame, order: str) -> tuple[Column, Column]:
-    """Smallest and largest value as scalar subqueries."""
-    s = df.agg(F.struct(F.min(order).cast("double").alias("lo"), F.max(order).cast("double").alias("hi"))
-               .alias("s")).scalar()
-    return s["lo"], s["hi"]
-
-
-def prefix_sums(df: DataFrame, by: Sequence[str], order: str, sums: Sequence[str],
-                lo: Column | float | None = None, hi: Column | float | None = None,
-                descending: bool = False, keep: Column | None = None, ties: Sequence[str] = (),
-                levels: int = 2) -> DataFrame:
+def prefix_sums(df: DataFrame, by: Sequence[str], order: str, sums: Sequence[str], descending: bool = False,
+                keep: Column | None = None, ties: Sequence[str] = ()) -> DataFrame:
     """Adds `<s>_before` (sum over the rows ahead) and `<s>_total` (sum over the group) for each column of `sums`.
 
-    `df` holds at most one row per (by, order, ties). `keep` may prune fine cells: it sees `<s>_off` (sum ahead of the
-    cell), `<s>_cell` and `<s>_total`; rows of dropped cells are not returned.
+    `df` holds at most one row per (by, order, ties). `keep` may prune partitions of a group: it sees `<s>_off` (sum
+    ahead of the partition), `<s>_cell` (sum in it) and `<s>_total`; rows of dropped partitions are not returned.
+
+    The partitioned rows are written once (a reliable checkpoint), because two evaluations of a range partitioning
+    could cut at different places.
     """
     by = list(by)
-    x = F.col(order).cast("double")
-    if lo is None or hi is None:
-        rows = _even_cells(df, x, order, levels)
-    else:
-        lo, hi = (v if isinstance(v, Column) else F.lit(float(v)) for v in (lo, hi))
-        rows = df.withColumn("_fine", _slot(x, lo, hi, F.lit(FINE)))
-    if descending:
-        rows = rows.withColumn("_fine", F.lit(FINE - 1) - F.col("_fine"))
-
-    fine = (rows.groupBy(*by, "_fine").agg(*[F.sum(s).alias(f"{s}_cell") for s in sums])
-            .withColumn("_coarse", F.floor(F.col("_fine") / FAN).cast("int")))
-    coarse = fine.groupBy(*by, "_coarse").agg(*[F.sum(f"{s}_cell").alias(f"{s}_sum") for s in sums])
-    key = by if by else [F.lit(0)]
-    ahead = W.partitionBy(*key).orderBy("_coarse").rowsBetween(W.unboundedPreceding, -1)
-    every = W.partitionBy(*key)
+    way = F.col(order).desc() if descending else F.col(order).asc()
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = df.repartitionByRange(parts, *[F.col(c) for c in by], way, *[F.col(t) for t in ties])
+    rows = cut_lineage(cut.withColumn("_part", F.spark_partition_id()))
+    cells = rows.groupBy(*by, "_part").agg(*[F.sum(s).alias(f"{s}_cell") for s in sums])
+    every = W.partitionBy(*(by if by else [F.lit(0)]))
+    ahead = every.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     cols = {}
     for s in sums:
-        cols[f"{s}_coff"] = F.coalesce(F.sum(f"{s}_sum").over(ahead), F.lit(0))
-        cols[f"{s}_total"] = F.sum(f"{s}_sum").over(every)
-    coarse = coarse.withColumns(cols).drop(*[f"{s}_sum" for s in sums])
-    ahead = W.partitionBy(*by, "_coarse").orderBy("_fine").rowsBetween(W.unboundedPreceding, -1)
-    fine = (_same(fine, coarse, [*by, "_coarse"])
-            .withColumns({f"{s}_off": F.col(f"{s}_coff") + F.coalesce(F.sum(f"{s}_cell").over(ahead), F.lit(0))
-                          for s in sums})
-            .drop("_coarse", *[f"{s}_coff" for s in sums]))
+        cols[f"{s}_off"] = F.coalesce(F.sum(f"{s}_cell").over(ahead), F.lit(0))
+        cols[f"{s}_total"] = F.sum(f"{s}_cell").over(every)
+    cells = cells.withColumns(cols)
     if keep is not None:
-        fine = fine.where(keep)
-    way = F.col(order).desc() if descending else F.col(order).asc()
-    ahead = W.partitionBy(*by, "_fine").orderBy(way, *ties).rowsBetween(W.unboundedPreceding, -1)
-    return (_same(rows, fine, [*by, "_fine"])
-            .withColumns({f"{s}_before": F.col(f"{s}_off") + F.coalesce(F.sum(s).over(ahead), F.lit(0))
+        cells = cells.where(keep)
+    inside = W.partitionBy(*by, "_part").orderBy(way, *ties).rowsBetween(W.unboundedPreceding, -1)
+    return (_same(rows, cells, [*by, "_part"])
+            .withColumns({f"{s}_before": F.col(f"{s}_off") + F.coalesce(F.sum(s).over(inside), F.lit(0))
                           for s in sums})
-            .drop("_fine", *[f"{s}_off" for s in sums], *[f"{s}_cell" for s in sums]))
-
-
-def _slot(x: Column, lo: Column, hi: Column, parts: Column) -> Column:
-    """Position of x among equal parts of [lo, hi]; monotone in x."""
-    share = F.coalesce(F.try_divide(x - lo, hi - lo), F.lit(0.0))
-    return F.greatest(F.lit(0), F.least(parts - 1, F.floor(share * parts))).cast("int")
-
-
-def _even_cells(df: DataFrame, x: Column, order: str, levels: int) -> DataFrame:
-    """Fine cells that follow the data: a coarse cell gets fine ones in proportion to its rows, over its own range.
-
-    Values that crowd into small parts of the range (ids in a few dense runs, prices beside far outliers) still
-    spread over many cells; the second level does the same inside the first. A table of coarse cells has 4096 rows
-    and reaches the rows as a scalar subquery.
-    """
-    lo, hi = value_range(df, order)
-    rows = df.withColumns({"_lo": lo, "_hi": hi}).withColumn(
-        "_c", _slot(x, F.col("_lo"), F.col("_hi"), F.lit(FAN))).drop("_lo", "_hi")
-    for _ in range(levels):
-        rows = rows.withColumn("_e", F.get(_cell_table(rows, x), F.col("_c")))
-        fine = F.col("_e.base") + _slot(x, F.col("_e.lo"), F.col("_e.hi"), F.col("_e.width"))
-        rows = rows.withColumn("_fine", fine).withColumn("_c", F.floor(F.col("_fine") / FAN).cast("int")).drop("_e")
-    return rows.drop("_c")
-
-
-def _cell_table(rows: DataFrame, x: Column) -> Column:
-    """Array over the coarse cells `_c`: first fine cell, number of fine cells, value range."""
-    hist = rows.groupBy(F.col("_c").alias("c")).agg(F.count("*").alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
-    full = (rows.sparkSession.range(FAN).select(F.col("id").cast("int").alias("c")).join(hist, "c", "left")
-            .withColumn("n", F.coalesce("n", F.lit(0))))
-    every = W.partitionBy(F.lit(0))
-    share = F.try_divide(F.col("n").cast("double"), F.sum("n").over(every))
-    width = F.coalesce((1 + F.floor(share * (FINE - 2 * FAN))).cast("int"), F.lit(1))
-    ahead = every.orderBy("c").rowsBetween(W.unboundedPreceding, -1)
-    return (full.withColumn("width", width)
-            .withColumn("base", F.coalesce(F.sum("width").over(ahead), F.lit(0)).cast("int"))
-            .agg(F.sort_array(F.collect_list(F.struct("c", "base", "width", "lo", "hi"))).alias("t")).scalar())
+            .drop("_part", *[f"{s}_off" for s in sums], *[f"{s}_cell" for s in sums]))
 
 
 def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -116,23 +58,21 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def ranked(df: DataFrame, by: Sequence[str], order: str, out: str = "rank", descending: bool = False,
-           lo: Column | float | None = None, hi: Column | float | None = None,
            ties: Sequence[str] = ()) -> DataFrame:
     """0-based position of every row; `order` with `ties` is unique within a group."""
     one = df.withColumn("_one", F.lit(1).cast("bigint"))
-    return (prefix_sums(one, by, order, ["_one"], lo, hi, descending, ties=ties)
+    return (prefix_sums(one, by, order, ["_one"], descending, ties=ties)
             .withColumnsRenamed({"_one_before": out, "_one_total": f"{out}_of"}).drop("_one"))
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
-                    lo: Column | float | None = None, hi: Column | float | None = None,
                     bounds: bool = False, weight: str | None = None) -> DataFrame:
     """Quantiles with linear interpolation, one column `q<i>` per probability, plus `n`; NULLs are skipped.
 
     `bounds` also returns the two order statistics around each quantile as `low<i>` and `high<i>`; `weight`
     is a column with the number of times a row counts.
 
-    Values are counted per distinct value first; only the cells that hold a wanted rank reach the last step.
+    Values are counted per distinct value first; only the partitions that hold a wanted rank reach the last step.
     """
     by = list(by)
     probs = [min(max(float(p), 0.0), 1.0) for p in probs]
@@ -150,7 +90,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
     for _, p in spots:
         wanted = wanted | holds(F.col("c_off"), F.col("c_cell"), F.floor(pos(p))) \
             | holds(F.col("c_off"), F.col("c_cell"), F.ceil(pos(p)))
-    rows = prefix_sums(counts, by, value, ["c"], lo, hi, keep=wanted, levels=1)
+    rows = prefix_sums(counts, by, value, ["c"], keep=wanted)
     aggs = [F.max("c_total").alias("n")]
     for i, p in spots:
         low, high = F.floor(pos(p)), F.ceil(pos(p))

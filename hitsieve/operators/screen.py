@@ -134,15 +134,15 @@ def resolve_threshold(df: DataFrame, mode: str | float = "auto", metric: str = "
     return df.withColumn(out, F.when((t < 0) | (t > 1), bad).otherwise(t))
 
 
-def sanity_check(df: DataFrame, names: Sequence[str], bits: str, n_bits: int, rows: int = 1000) -> dict[str, int]:
-    """Fail-fast look at the first rows: columns present, bit positions in range, rows with missing features."""
+def sanity_check(df: DataFrame, names: Sequence[str], bits: str, n_bits: int) -> dict[str, int]:
+    """One pass over all rows: columns present, bit positions in range, rows with missing features."""
     missing = [c for c in [*names, bits] if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
     nan = F.lit(False)
     for n in names:
         nan = nan | finite(F.col(n)).isNull()
-    got = df.limit(rows).agg(F.count("*").alias("rows"), F.count_if(nan).alias("nan_rows"),
+    got = df.agg(F.count("*").alias("rows"), F.count_if(nan).alias("nan_rows"),
                              F.count_if(F.array_max(bits) >= n_bits).alias("bad_bits")).first()
     if got["bad_bits"]:
         raise ValueError(f"bit positions beyond {n_bits}")

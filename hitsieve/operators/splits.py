@@ -16,17 +16,16 @@ from hitsieve.operators.ordering import ranked
 from hitsieve.session import cut_lineage
 
 HASH_TOP = float(1 << 32)
-MAX_CELLS = 1024
 GROUPS_PER_CELL = 50_000
 OVERFILL = 1.05
-HEAVY_PARTS = 200
+SLICES = 256
 
 
 def stratified_holdout(df: DataFrame, id_col: str, label: str | None, test_size: float, seed: int) -> DataFrame:
     """(id, role): the first round(n_c * f) rows of every class in hash order are external; no label, no strata."""
     by = [label] if label else []
     h = df.select(id_col, *by).withColumn("_h", seeded_hash(seed, F.col(id_col)))
-    pos = ranked(h, by, "_h", "_r", lo=0.0, hi=HASH_TOP, ties=[id_col])
+    pos = ranked(h, by, "_h", "_r", ties=[id_col])
     take = F.round(F.col("_r_of") * F.lit(float(test_size)))
     return pos.select(id_col, *by, F.when(F.col("_r") < take, "external").otherwise("dev").alias("role"))
 
@@ -43,8 +42,12 @@ def balanced_sample(df: DataFrame, id_col: str, label: str, size: int, seed: int
     """
     rows = df.select(id_col, label).withColumn("_h", seeded_hash(seed, F.col(id_col)))
     classes = df.agg(F.countDistinct(label)).scalar()
+    # the smallest `size` of a class are among the smallest `size` of its slices, which tasks share
+    slice_ = W.partitionBy(label, "_s").orderBy("_h", id_col)
+    few = (rows.withColumn("_s", F.pmod(F.xxhash64(id_col), F.lit(SLICES)))
+           .withColumn("_r", F.row_number().over(slice_)).where(F.col("_r") <= size))
     first = W.partitionBy(label).orderBy("_h", id_col)
-    head = rows.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= size)
+    head = few.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= size)
     share = F.greatest(F.lit(1), F.floor(F.lit(size) / classes))
     everyone = W.partitionBy(F.lit(0)).orderBy((F.col("_r") > share).cast("int"), "_h", id_col)
     return (head.withColumn("_place", F.row_number().over(everyone)).where(F.col("_place") <= size)
@@ -58,7 +61,7 @@ def permuted_labels(df: DataFrame, id_col: str, label: str, permutations: int, s
     runs = rows.select(F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("permutation"),
                        F.col(label).alias("permuted"), F.col(id_col).alias("_src"))
     runs = runs.withColumn("_h", seeded_hash(F.col("permutation") + seed * 1000, F.col("_src")))
-    there = ranked(runs, ["permutation"], "_h", "_r", lo=0.0, hi=HASH_TOP, ties=["_src"])
+    there = ranked(runs, ["permutation"], "_h", "_r", ties=["_src"])
     return here.join(there.select("permutation", "permuted", "_r"), "_r").drop("_r")
 
 
@@ -72,10 +75,10 @@ def augment(df: DataFrame, id_col: str, text: str, n: int, split_seed: int, phas
     if n <= 0:
         return plain
     seed = (F.lit(split_seed).cast("bigint") * 10_000_000 + F.lit(phase_seed).cast("bigint") * 100_000
-            + F.col(id_col) * 100 + F.col("variant"))
+            + F.col("variant"))
     more = df.withColumn("variant", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("_s", seed)
     keyed = F.transform(tokens(F.col(text)), lambda t, i: F.struct(
-        F.xxhash64(F.col("_s"), i).alias("h"), i.alias("i"), t.alias("t")))
+        F.xxhash64(F.col("_s"), F.col(id_col), i).alias("h"), i.alias("i"), t.alias("t")))
     mixed = F.array_join(F.transform(F.sort_array(keyed), lambda s: s["t"]), " ")
     more = more.withColumn(text, mixed).where(F.length(text) > 0).drop("_s")
     return plain.unionByName(recompute(more) if recompute else more)
@@ -113,12 +116,12 @@ def group_holdout(df: DataFrame, key: str, label: str, test_size: float, seed: i
     An order visits the groups and takes each one that still fits under 1.05 * target. The order is cut into
     cells of the hash range. A cell that fits whole, or where not even the smallest group fits, is settled by
     its totals; only a cell that fits in part is walked group by group, in one task per trial. The driver holds
-    at most `trials` * 1024 cell totals.
+    `trials` totals for every `groups_per_cell` groups.
     """
     groups = cut_lineage(group_table(df, key, label))
     total = groups.agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.count("*").alias("g")).first()
     n, pos = int(total["n"] or 0), int(total["pos"] or 0)
-    cells = min(MAX_CELLS, max(1, math.ceil(int(total["g"]) / groups_per_cell)))
+    cells = max(1, math.ceil(int(total["g"]) / groups_per_cell))
     target = int(n * test_size)
     cap = target * OVERFILL
     order = _trial_rows(groups, seed, F.explode(F.sequence(F.lit(0), F.lit(trials - 1))), cells)
@@ -202,53 +205,48 @@ def _attach(df: DataFrame, key: str, roles: DataFrame, groups: DataFrame) -> Dat
 
 # ---- grouped folds ---------------------------------------------------------------------------------------------
 
-def _greedy_folds(heavy: pd.DataFrame, totals: np.ndarray, k: int, stratify: bool) -> tuple[list[int], np.ndarray]:
-    """Folds for the heavy groups, largest imbalance (or size) first, each to the fold it evens out most."""
-    counts = heavy[["neg", "pos"]].to_numpy(dtype=float)
+def _greedy_folds(profiles: pd.DataFrame, k: int, stratify: bool) -> list[list[int]]:
+    """Folds for what is left of each profile after whole rounds, largest imbalance (or size) first.
+
+    Whole rounds give every fold the same and change no comparison. A group goes to the fold it evens out most.
+    """
+    counts = profiles[["neg", "pos"]].to_numpy(dtype=float)
+    totals = (counts * profiles[["m"]].to_numpy()).sum(axis=0)
     weight = counts.std(axis=1) if stratify else counts.sum(axis=1)
-    order = np.lexsort((heavy["h"].to_numpy(), -weight))
-    load = np.zeros((k, 2))
-    folds = [0] * len(heavy)
+    order = np.lexsort((counts[:, 1], counts[:, 0], -weight))
+    load, folds = np.zeros((k, 2)), [[] for _ in range(len(profiles))]
+    left = (profiles["m"] % k).to_numpy()
     for i in order:
-        if stratify:
-            trial = load[None, :, :] + np.eye(k)[:, :, None] * counts[i][None, None, :]
-            spread = (trial / np.maximum(totals, 1)[None, None, :]).std(axis=1).mean(axis=1)
-            f = int(np.lexsort((load.sum(axis=1), np.round(spread, 12)))[0])
-        else:
-            f = int(np.argmin(load.sum(axis=1)))
-        folds[i] = f
-        load[f] += counts[i]
-    return folds, load
+        for _ in range(left[i]):
+            if stratify:
+                trial = load[None, :, :] + np.eye(k)[:, :, None] * counts[i][None, None, :]
+                spread = (trial / np.maximum(totals, 1)[None, None, :]).std(axis=1).mean(axis=1)
+                f = int(np.lexsort((load.sum(axis=1), np.round(spread, 12)))[0])
+            else:
+                f = int(np.argmin(load.sum(axis=1)))
+            folds[i].append(f)
+            load[f] += counts[i]
+    return folds
 
 
 def assign_folds(groups: DataFrame, k: int, seed: int, stratify: bool = True) -> DataFrame:
     """(key, n, pos, fold) for a group table.
 
-    Groups with at least 1/(200 k) of the rows (at most 200 k of them) are placed greedily on the driver. All
-    others are dealt on Spark: groups with the same class counts are interchangeable, so each such profile is
-    spread over the folds in hash order, in proportion to the room the heavy groups left.
+    Groups with the same class counts are interchangeable; they form a profile. One rule holds for every size: the m
+    groups of a profile, in hash order, go round the folds m // k times, and the m % k left are placed greedily. The
+    driver sees one row per profile, that is per distinct pair of counts, and never the groups.
     """
     g = groups.withColumn("h", seeded_hash(seed, F.col("key"))).withColumn("neg", F.col("n") - F.col("pos"))
-    total = g.agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"), F.count("*").alias("g")).first()
-    totals = np.array([total["neg"] or 0, total["pos"] or 0], dtype=float)
-    cut = totals.sum() / (HEAVY_PARTS * k)
-    heavy = g.where(F.col("n") >= cut).select("key", "neg", "pos", "h").orderBy("key").toPandas()
-    folds, load = _greedy_folds(heavy, totals, k, stratify)
-    spark = groups.sparkSession
-    placed = spark.createDataFrame(list(zip(heavy["key"].tolist(), folds)), "key string, fold int")
-    big = g.join(F.broadcast(placed), "key").select("key", "n", "pos", "fold")
-    room = np.maximum(totals.sum() / k - load.sum(axis=1), 0.0)
-    share = room / room.sum() if room.sum() > 0 else np.full(k, 1.0 / k)
-    edges = [float(x) for x in np.cumsum(share)[:-1]]
-    by = ["neg", "pos"] if stratify else []
-    light = ranked(g.where(F.col("n") < cut), by, "h", "_r", lo=0.0, hi=HASH_TOP, ties=["key"])
-    start = (seeded_hash(seed, F.concat_ws(":", "neg", "pos")) / F.lit(HASH_TOP)) if stratify else F.lit(0.0)
-    u = (F.col("_r") + 0.5) / F.col("_r_of") + start
-    u = u - F.floor(u)
-    fold = F.lit(0)
-    for e in edges:
-        fold = fold + (u >= F.lit(e)).cast("int")
-    return big.unionByName(light.select("key", "n", "pos", fold.alias("fold")))
+    profiles = g.groupBy("neg", "pos").agg(F.count("*").alias("m")).orderBy("neg", "pos").toPandas()
+    folds = _greedy_folds(profiles, k, stratify)
+    rows = [(int(a), int(b), f) for a, b, f in zip(profiles["neg"], profiles["pos"], folds)]
+    placed = groups.sparkSession.createDataFrame(rows, "neg bigint, pos bigint, last array<int>")
+    at = ranked(g, ["neg", "pos"], "h", "_r", ties=["key"]).join(placed, ["neg", "pos"])
+    rounds = F.col("_r_of") - F.col("_r_of") % k
+    start = seeded_hash(seed, F.concat_ws(":", "neg", "pos"))
+    fold = F.when(F.col("_r") < rounds, F.pmod(F.col("_r") + start, F.lit(k))).otherwise(
+        F.get("last", (F.col("_r") - rounds).cast("int")))
+    return at.select("key", "n", "pos", fold.cast("int").alias("fold"))
 
 
 def fold_balance(df: DataFrame, label: str, fold: str = "fold") -> DataFrame:

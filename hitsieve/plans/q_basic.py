@@ -378,15 +378,14 @@ def cluster_rate(spark, d):
     return rounded(C.cluster_rates(e, "label", "y"), ["label"], ["rate"], ["n"])
 
 
-KEYED = """SELECT source AS cluster, nullif(array_to_string(list_transform(tok[1:1], lambda t: regexp_replace(lower(t),
-'[0-9]+', '#', 'g')), ' '), '') AS grp, (doc_id % 2)::INT AS y FROM tok"""
+KEYED = """SELECT source AS cluster, nullif(CASE WHEN len(tok) = 0 THEN '' ELSE list_min(list_transform(tok,
+lambda t: md5(regexp_replace(lower(t), '[0-9]+', '#', 'g')))) END, '') AS grp, (doc_id % 2)::INT AS y FROM tok"""
 
 
 def keyed_docs(spark, d):
-    from hitsieve.functions.text import template_key
-    docs = documents(spark, d)
-    return docs.select(F.col("source").alias("cluster"), F.nullif(template_key(F.col("text"), 1), F.lit("")).alias("grp"),
-                       (F.col("doc_id") % 2).alias("y"))
+    from hitsieve.functions.text import with_template_key
+    docs = with_template_key(documents(spark, d), n=1)
+    return docs.select(F.col("source").alias("cluster"), F.nullif(F.col("key"), F.lit("")).alias("grp"), (F.col("doc_id") % 2).alias("y"))
 
 
 @query("agg05_subgroup_rates", sql_with(["tok"], {"k": KEYED}, f"""SELECT cluster, grp, count(*) AS n,

@@ -50,10 +50,15 @@ def missing(spark, d):
     return rounded(out, ["event_id"], names)
 
 
-@query("fe04_group_key", sql_with(["tok"], {}, """SELECT doc_id, coalesce(array_to_string(list_transform(tok[1:3],
-lambda t: regexp_replace(lower(t), '[0-9]+', '#', 'g')), ' '), '') AS key FROM tok"""))
+def key_sql(n: int = 3) -> str:
+    """SQL twin of the structural key over a token list `tok`."""
+    return f"""CASE WHEN len(tok) = 0 THEN '' ELSE list_min(list_transform(range(1, greatest(len(tok) - {n} + 1, 1) + 1),
+lambda i: md5(array_to_string(list_transform(tok[i:i + {n} - 1], lambda t: regexp_replace(lower(t), '[0-9]+', '#', 'g')), ' ')))) END"""
+
+
+@query("fe04_group_key", sql_with(["tok"], {}, f"SELECT doc_id, {key_sql()} AS key FROM tok"))
 def group_key(spark, d):
-    return documents(spark, d, "doc_id", "text").select("doc_id", X.template_key(F.col("text")).alias("key"))
+    return X.with_template_key(documents(spark, d, "doc_id", "text")).select("doc_id", "key")
 
 
 @query("fe05_scaled_vectors", f"""SELECT vec_id, pos::BIGINT AS pos, {sql_r('(v - avg(v) OVER p) / coalesce(nullif(stddev_pop(v) OVER p, 0), 1)')}
@@ -153,13 +158,15 @@ def cumulative_variance(spark, d):
 
 # ---- splits ----------------------------------------------------------------------------------------------------
 
-@query("spl01_group_holdout")
+@query("spl01_group_holdout", sql_with(["tok"], {}, f"""SELECT key, count(*) AS n, sum((doc_id % 3 = 0)::INT)::BIGINT AS positives,
+1::BIGINT AS parts, true AS in_bounds FROM (SELECT doc_id, {key_sql()} AS key FROM tok) GROUP BY key"""))
 def group_holdout(spark, d):
-    docs = documents(spark, d, "doc_id", "text").select("doc_id", X.template_key(F.col("text")).alias("key"),
-                                                        (F.col("doc_id") % 3 == 0).cast("int").alias("y"))
+    keyed = X.with_template_key(documents(spark, d, "doc_id", "text"))
+    docs = keyed.select("doc_id", "key", (F.col("doc_id") % 3 == 0).cast("int").alias("y"))
     out = SP.group_holdout(docs, "key", "y", 0.2, 42)
-    return out.groupBy("role").agg(F.count("*").alias("n"), F.sum("y").alias("positives"),
-                                   F.countDistinct("key").alias("groups"))
+    share = out.agg(F.avg((F.col("role") == "external").cast("int")).alias("s")).scalar()
+    return (out.groupBy("key").agg(n(F.count("*")).alias("n"), n(F.sum("y")).alias("positives"), n(F.countDistinct("role")).alias("parts"))
+            .withColumn("in_bounds", share.between(0.18, 0.2 * SP.OVERFILL)))
 
 
 def seed_hash(seed: int, expr: str) -> str:
@@ -175,19 +182,31 @@ def stratified(spark, d):
 
 def keyed_labels(spark, d):
     docs = documents(spark, d).join(table(spark, d, "labels"), "doc_id")
-    return docs.select("doc_id", X.template_key(F.col("text"), 1).alias("key"), "source", F.col("quality").alias("y"))
+    return X.with_template_key(docs).select("doc_id", "key", "source", F.col("quality").alias("y"))
+
+
+KEYED_LABELS = f"SELECT t.doc_id, {key_sql()} AS key, quality AS y FROM tok t JOIN labels USING (doc_id)"
 
 
-@query("spl03_grouped_folds")
+@query("spl03_grouped_folds", sql_with(["tok"], {"k": KEYED_LABELS}, """SELECT key, count(*) AS n, sum(y)::BIGINT AS positives, 1::BIGINT AS parts,
+true AS in_bounds FROM k GROUP BY key"""))
 def grouped_folds(spark, d):
-    return SP.grouped_folds(keyed_labels(spark, d), "key", "y", 5, 42).select("doc_id", "key", "y", "fold")
+    out = SP.grouped_folds(keyed_labels(spark, d), "key", "y", 5, 42)
+    sizes = out.groupBy("fold").agg(F.count("*").alias("n"), F.min("y").alias("low"), F.max("y").alias("high"))
+    fair = sizes.agg(((F.count("*") == 5) & (F.max("n") <= 1.2 * F.avg("n")) & (F.max("low") == 0) & (F.min("high") == 1)).alias("f")).scalar()
+    return (out.groupBy("key").agg(n(F.count("*")).alias("n"), n(F.sum("y")).alias("positives"), n(F.countDistinct("fold")).alias("parts"))
+            .withColumn("in_bounds", fair))
 
 
-@query("spl04_tuning_folds")
+@query("spl04_tuning_folds", sql_with(["tok"], {}, f"""SELECT source, count(*) AS n, sum(quality)::BIGINT AS positives, 1::BIGINT AS parts
+FROM documents JOIN (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY {seed_hash(42, 'doc_id')}, doc_id) AS rn,
+count(*) OVER (PARTITION BY quality) AS c FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)) USING (doc_id)
+WHERE rn > round(c * 0.2::DOUBLE) GROUP BY source"""))
 def tuning_folds(spark, d):
     rows = SP.stratified_holdout(keyed_labels(spark, d), "doc_id", "y", 0.2, 42).where("role = 'dev'")
     dev = keyed_labels(spark, d).join(rows.select("doc_id"), "doc_id", "left_semi")
-    return SP.tuning_folds(dev, "source", "y", 3, 42).select("doc_id", "source", "y", "fold")
+    out = SP.tuning_folds(dev, "source", "y", 3, 42)
+    return out.groupBy("source").agg(n(F.count("*")).alias("n"), n(F.sum("y")).alias("positives"), n(F.countDistinct("fold")).alias("parts"))
 
 
 @query("agg36_fold_balance", f"""SELECT fold, sum(quality)::BIGINT AS positives, count(*) AS n FROM
@@ -223,9 +242,11 @@ def permutation(spark, d):
     return SP.permuted_labels(table(spark, d, "labels"), "doc_id", "quality", 5, 9)
 
 
-@query("spl08_augmented_rows")
+@query("spl08_augmented_rows", sql_with(["tok"], {}, """SELECT doc_id, v.variant::INT AS variant, quality, len(tok)::DOUBLE AS n_tokens,
+len(list_distinct(tok))::DOUBLE AS n_unique FROM tok JOIN labels USING (doc_id), (SELECT unnest(range(0, 4)) AS variant) v
+WHERE v.variant = 0 OR len(tok) > 0"""))
 def augmented(spark, d):
-    docs = documents(spark, d).join(table(spark, d, "labels").where("quality = 0").select("doc_id", "quality"), "doc_id")
+    docs = documents(spark, d).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
     out = SP.augment(docs, "doc_id", "text", 3, 42, 1)
     return X.with_descriptors(out, ["n_tokens", "n_unique"]).select("doc_id", "variant", "quality", "n_tokens", "n_unique")
 

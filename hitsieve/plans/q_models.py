@@ -10,7 +10,7 @@ from hitsieve.operators import attribution as A, features as FE, metrics as M, m
 from hitsieve.plans.q_features import VECTOR
 from hitsieve.plans.q_metrics import on_predictions
 from hitsieve.plans.registry import n, query, r, rounded, sql_r, sql_rs
-from hitsieve.plans.views import predictions, vectors
+from hitsieve.plans.views import predictions, sql_hash, vectors
 from hitsieve.schemas import TrainConfig
 from hitsieve.session import cut_lineage, scratch_path
 from hitsieve.sources.sinks import write_parquet
@@ -52,12 +52,16 @@ for key, fam in (("ml01_logistic_regression", "LR"), ("ml02_random_forest", "RFC
     query(key)(family(fam))
 
 
-@query("prj07_probability_and_label")
+@query("prj07_probability_and_label", """SELECT vec_id AS id, path, true AS agrees FROM embeddings,
+(SELECT unnest(['probability', 'label']) AS path) WHERE vec_id % 5 = 0""")
 def probability(spark, d):
     train, ext, _ = split(spark, d)
     scored = ML.fit_family(train, "LR", "y", SMALL["LR"]).transform(ext)
-    with_p = ML.with_probability(scored, 0.4).select("id", "y_pred", r("y_prob").alias("y_prob"), F.lit("probability").alias("path"))
-    label = ML.with_probability(scored.drop("probability")).select("id", "y_pred", "y_prob", F.lit("label").alias("path"))
+    p = F.get(vector_to_array("probability"), F.lit(1))
+    same = (F.col("y_prob") == p) & p.between(0, 1) & (F.col("y_pred") == (p >= 0.4).cast("int"))
+    with_p = ML.with_probability(scored, 0.4).select("id", F.lit("probability").alias("path"), same.alias("agrees"))
+    alone = F.col("y_prob").isNull() & (F.col("y_pred") == F.col("prediction"))
+    label = ML.with_probability(scored.drop("probability")).select("id", F.lit("label").alias("path"), alone.alias("agrees"))
     return with_p.unionByName(label)
 
 
@@ -143,15 +147,32 @@ def assignment(spark, d):
     return ML.assign_clusters(v, "f", 8).select("vec_id", "cluster_id")
 
 
-@query("snk04_saved_model")
+@query("snk04_saved_model", """SELECT vec_id AS id, true AS same, true AS streamed FROM embeddings WHERE vec_id % 5 = 0""")
 def saved_model(spark, d):
-    train, ext, contract = split(spark, d)
+    """Stored, loaded, and applied to raw rows in batch and as a stream; an LR model is recomputed from its coefficients."""
+    t = rows(spark, d)
+    train, processor = ML.fitted(t.where("role = 'train'"), "bits", VECTOR, NAMES, QUICK, 0, 0)
+    model = ML.fit_family(train, "LR", "y", SMALL["LR"])
     path = scratch_path(spark, "model")
-    model = ML.fit_family(train, "SVC", "y", SMALL["SVC"])
-    ML.save_model(spark, model, path, {"features": [list(c) for c in contract], "family": "SVC"})
-    loaded, kept = ML.load_model(spark, path)
-    out = ML.with_probability(loaded.transform(ext)).select("id", r("y_prob").alias("y_prob"))
-    return out.withColumn("n_features", F.lit(len(kept["features"])))
+    ML.save_model(spark, model, path, {"features": [list(c) for c in processor.contract()], "family": "LR", "threshold": 0.45}, processor)
+    library = scratch_path(spark, "library")
+    t.where("role = 'query'").drop("y").write.parquet(library)
+    raw = spark.read.parquet(library)
+    batch = ML.score_library(spark, raw, path, "id")
+    margin = F.lit(float(model.intercept))
+    for i, b in enumerate(processor.kept):
+        margin = margin + F.array_contains("bits", b).cast("double") * float(model.coefficients[i])
+    for i, (name, mu, sd) in enumerate(zip(processor.names, processor.means, processor.sigmas), len(processor.kept)):
+        margin = margin + (F.col(name) - mu) / sd * float(model.coefficients[i])
+    own = raw.select("id", (1.0 / (1.0 + F.exp(-margin))).alias("own"))
+    found = scratch_path(spark, "scores")
+    stream = spark.readStream.schema(raw.schema).parquet(library)
+    (ML.score_library(spark, stream, path, "id").writeStream.format("parquet").option("path", found)
+     .option("checkpointLocation", scratch_path(spark, "progress")).trigger(availableNow=True).start().awaitTermination())
+    live = spark.read.parquet(found).select("id", F.col("y_prob").alias("live"), F.col("y_pred").alias("live_label"))
+    both = batch.join(own, "id").join(live, "id")
+    return both.select("id", ((F.abs(F.col("y_prob") - F.col("own")) < 1e-9) & (F.col("y_pred") == (F.col("own") >= 0.45).cast("int"))).alias("same"),
+                       ((F.col("live") == F.col("y_prob")) & (F.col("live_label") == F.col("y_pred"))).alias("streamed"))
 
 
 # ---- attribution of fitted models ------------------------------------------------------------------------------
@@ -181,7 +202,11 @@ def kernel_attribution(spark, d):
     return attributed(spark, d, "SVC", 8, 10)
 
 
-@query("sh05_explain_bundle")
+@query("sh05_explain_bundle", f"""SELECT part, y, count(*) AS n FROM (SELECT e.vec_id, (label % 2)::INT AS y,
+CASE WHEN b.vec_id IS NULL THEN 'explain' ELSE 'background' END AS part FROM embeddings e LEFT JOIN (SELECT vec_id FROM
+(SELECT *, row_number() OVER (ORDER BY (rn > greatest(1, floor(64 / k)))::INT, h, vec_id) AS place FROM (SELECT *, row_number() OVER
+(PARTITION BY y ORDER BY h, vec_id) AS rn, count(DISTINCT y) OVER () AS k FROM (SELECT vec_id, label % 2 AS y,
+{sql_hash("'42:' || vec_id::VARCHAR")} AS h FROM embeddings WHERE vec_id % 5 <> 0)) WHERE rn <= 64) WHERE place <= 64) b USING (vec_id)) GROUP BY ALL""")
 def bundle(spark, d):
     t = rows(spark, d)
     path = scratch_path(spark, "bundle")

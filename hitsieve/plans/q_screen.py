@@ -192,7 +192,8 @@ def hits_by_source(spark, d):
                                       r(F.avg("p")).alias("mean_prob"))
 
 
-@query("vs05_sanity_check")
+@query("vs05_sanity_check", sql_with(["library"], {}, f"""SELECT count(*) AS rows, 0::BIGINT AS nan_rows, 2048::BIGINT AS n_bits,
+{len(STORE)}::BIGINT AS n_descriptors FROM library WHERE len(tok) > 0"""))
 def sanity(spark, d):
     lib = SC.feature_store(documents(spark, d, "doc_id", "text"), "doc_id", "text", STORE, 2048)
     got = SC.sanity_check(lib, STORE, "bits", 2048)
@@ -209,13 +210,16 @@ def resolved(spark, d):
     return t.select(*BY, *[r(f"_{m}").alias(m) for m in ("f1", "mcc", "youden", "fixed")])
 
 
-@query("vs09_scaled_for_family", sql_with(["library"], {}, f"""SELECT doc_id, {sql_r('(n_chars - avg(n_chars) OVER ()) / stddev_pop(n_chars) OVER ()')} AS for_lr,
-{sql_r('n_chars')} AS for_rfc FROM library"""))
+@query("vs09_scaled_for_family", sql_with(["library"], {"fit": "SELECT avg(n_chars) AS mu, stddev_pop(n_chars) AS sd FROM library "
+                                                                 "WHERE doc_id IN (SELECT doc_id FROM labels)"},
+                                          f"""SELECT doc_id, {sql_r('(n_chars - mu) / sd')} AS for_lr,
+{sql_r('n_chars')} AS for_rfc FROM library, fit"""))
 def family_scaling(spark, d):
     from hitsieve.operators.models import family_columns
     lib = library(spark, d, ["n_chars"])
-    lr = family_columns(lib, lib, ["n_chars"], "LR").select("doc_id", r("n_chars").alias("for_lr"))
-    rf = family_columns(lib, lib, ["n_chars"], "RFC").select("doc_id", r("n_chars").alias("for_rfc"))
+    train = lib.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")  # the moments are those of training
+    lr = family_columns(lib, train, ["n_chars"], "LR").select("doc_id", r("n_chars").alias("for_lr"))
+    rf = family_columns(lib, train, ["n_chars"], "RFC").select("doc_id", r("n_chars").alias("for_rfc"))
     return lr.join(rf, "doc_id")
 
 

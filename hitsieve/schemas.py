@@ -84,7 +84,7 @@ class TrainConfig:
     split_method: str = "group"
     variance_threshold: float = 0.05
     correlation_threshold: float = 0.9
-    max_correlation_bits: int = 1500
+    max_correlation_bits: int | None = None
     thresholding: bool = False
     classification_threshold: float = 0.5
     selection_rule: str = "max_f1"
@@ -93,6 +93,10 @@ class TrainConfig:
     n_augments: int = 0
     descriptor_mode: str = "reuse_original"
     missing: MissingPolicy = field(default_factory=MissingPolicy)
+    search: str = "none"
+    search_iterations: int = 60
+    search_folds: int = 3
+    search_scoring: str = "roc_auc"
 
 
 @dataclass(frozen=True)

@@ -35,7 +35,8 @@ def read_contract(spark: SparkSession, path: str) -> dict:
 def replace_with_backup(updated: DataFrame, path: str, backup: str) -> str:
     """Copy-on-write update of a table: the old files go to `backup` once, the new table to `path`.
 
-    The update may read `path`, so it is written beside it first. Returns the backup path.
+    The update may read `path`, so it is written beside it first. At every moment the table is whole under `path` or
+    `<path>.old`: the old files step aside, the new ones move in, and only then the old ones go. Returns the backup path.
     """
     spark = updated.sparkSession
     fresh = f"{path.rstrip('/')}.new"
@@ -44,9 +45,12 @@ def replace_with_backup(updated: DataFrame, path: str, backup: str) -> str:
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     old, new, bak = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh, backup))
     fs = old.getFileSystem(conf)
-    if fs.exists(bak):
-        fs.delete(old, True)
-    else:
-        fs.rename(old, bak)
-    fs.rename(new, old)
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.old") if fs.exists(bak) else bak
+    if fs.exists(aside) and not fs.exists(old):
+        fs.rename(aside, old)  # an earlier swap was cut off in between
+    for source, target in ((old, aside), (new, old)):
+        if not fs.rename(source, target):
+            raise OSError(f"cannot move {source} to {target}")
+    if aside.toString() != bak.toString():
+        fs.delete(aside, True)
     return backup

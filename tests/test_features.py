@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -162,8 +164,11 @@ def test_text_features(spark):
 def test_fragments_and_keys(spark):
     df = spark.createDataFrame([("Na. C C O.xx",), ("aa.bb",), (" . ",), (None,)], "t string")
     assert [r[0] for r in df.select(X.largest_fragment(F.col("t"))).collect()] == ["c c o", "aa", None, None]
-    key = spark.createDataFrame([("Item 12 of 340 x",), (None,)], "t string").select(X.template_key(F.col("t"), 4)).collect()
-    assert [r[0] for r in key] == ["item # of #", ""]
+    texts = [("Item 12 of 340 x",), (None,), ("item 9 of 7 x",), ("Item 12 of",), ("other start Item 12 of 340 x",), ("x",)]
+    key = [r.k for r in X.with_template_key(spark.createDataFrame(texts, "t string"), "t", "k", 4).collect()]
+    runs = [hashlib.md5(t.encode()).hexdigest() for t in ("item # of #", "# of # x", "other start item #", "start item # of")]
+    assert key[0] == key[2] == min(runs[:2]) and key[1] == "" and key[3] == hashlib.md5(b"item # of").hexdigest()
+    assert key[4] == min(runs) and len(set(key)) >= 4
 
 
 def test_rules_and_catalogue(spark):

@@ -65,3 +65,14 @@ def test_more_neighbours_than_rows_and_empty_reference(sets):
         np.testing.assert_allclose([got[i] for i in range(len(qry))], d.mean(1), atol=1e-9)
     got = NN.max_tanimoto(dq, dr.where("id < 0"), "bits", "id", 6).collect()
     assert {r["tanimoto_max"] for r in got} == {0.0}
+
+
+@pytest.mark.parametrize("way", WAYS)
+@pytest.mark.parametrize("offset", [1e7, 1e8])
+def test_knn_far_from_the_origin(spark, way, offset):
+    rng = np.random.default_rng(9)
+    ref, qry = rng.normal(size=(400, 5)) + offset, rng.normal(size=(40, 5)) + offset
+    make = lambda m: spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)], "id long, x array<double>")
+    d = np.sort(np.sqrt(((qry[:, None] - ref[None]) ** 2).sum(2)), 1)[:, :3].mean(1)
+    got = {r["id"]: r["knn_mean"] for r in NN.knn_mean_distance(make(qry), make(ref).select("x"), "x", "id", 3, 5, **way).collect()}
+    np.testing.assert_allclose([got[i] for i in range(len(qry))], d, rtol=1e-12)

@@ -47,3 +47,25 @@ def test_ties_follow_the_tie_columns(spark):
     df = spark.createDataFrame([(1.0, i) for i in range(50)], "v double, id int")
     rows = ranked(df, [], "v", ties=["id"]).collect()
     assert all(r["rank"] == r["id"] for r in rows)
+
+
+def test_string_ids_and_crowded_values(spark):
+    words = [f"CH{i}" for i in range(300)]
+    rows = ranked(spark.createDataFrame([(w,) for w in words], "id string"), [], "id").collect()
+    assert [r["id"] for r in sorted(rows, key=lambda r: r["rank"])] == sorted(words)
+    tiny = [i * 1e-13 for i in range(5000)]
+    rows = ranked(spark.createDataFrame([(x,) for x in reversed(tiny)], "v double"), [], "v").collect()
+    assert [r["v"] for r in sorted(rows, key=lambda r: r["rank"])] == tiny
+
+
+def test_no_partition_holds_a_crowd(spark):
+    from hitsieve.operators import ordering
+    cells = []
+    keep = ordering._same
+    try:
+        ordering._same = lambda left, right, keys: cells.extend(left.groupBy("_part").count().collect()) or keep(left, right, keys)
+        ranked(spark.range(20_000).selectExpr("id * 1e-15 as v"), [], "v").count()
+    finally:
+        ordering._same = keep
+    sizes = [r["count"] for r in cells]
+    assert max(sizes) < 3 * sum(sizes) / len(sizes) and len(sizes) > 1
