@@ -37,25 +37,32 @@ def sampled_attribution(rows: DataFrame, background: DataFrame, features: str, n
     z = background.select(F.col(id_col).alias("_bg"), F.col(features).alias("_z"))
     # a fixed-size background travels with every explained row as one array, so no pairs are joined
     pool = z.agg(F.sort_array(F.collect_list(F.struct("_bg", "_z")))).scalar()
-    runs = (x.withColumn("_pool", pool).withColumn("_b", F.explode("_pool"))
+    runs = (x.withColumn("_pool", pool).withColumn("_walks", F.size("_pool") * permutations).withColumn("_b", F.explode("_pool"))
             .withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-            .select(id_col, "_x", F.col("_b._bg").alias("_bg"), F.col("_b._z").alias("_z"), "_p"))
+            .select(id_col, "_x", "_walks", F.col("_b._bg").alias("_bg"), F.col("_b._z").alias("_z"), "_p"))
     key = F.concat_ws(":", F.col(id_col), F.col("_bg"), F.col("_p"))
-    order = F.transform(F.sort_array(F.transform(
-        F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.struct(F.xxhash64(F.lit(seed), F.col("_key"), i), i.alias("i")))),
-        lambda s: s["i"])
-    runs = bind(runs.withColumn("_key", key), _order=order)
-    steps = runs.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(d))))
-    taken = bind(steps, _on=F.slice("_order", 1, F.col("_s")))
-    mixed = F.transform("_x", lambda v, i: F.when(F.array_contains("_on", i), v).otherwise(F.get("_z", i)))
-    scored = score(taken.select(id_col, "_bg", "_p", "_s", F.get("_order", F.col("_s") - 1).alias("_j"),
+    # a step to an equal value changes nothing, so walks visit the differing positions, which stand first in the order
+    equal = lambda i: F.get("_x", i).eqNullSafe(F.get("_z", i))
+    order = F.sort_array(F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.struct(
+        equal(i).alias("equal"), F.xxhash64(F.lit(seed), F.col("_key"), i).alias("h"), i.alias("i"))))
+    runs = bind(runs.withColumn("_key", key), _full=order)
+    place = F.transform(F.sort_array(F.transform("_full", lambda s, k: F.struct(s["i"].alias("i"), k.alias("k")))), lambda s: s["k"])
+    runs = bind(runs, _order=F.transform("_full", lambda s: s["i"]), _place=place, _m=F.size(F.filter("_full", lambda s: ~s["equal"]))).drop("_full")
+    steps = runs.withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_m"))))
+    mixed = F.transform("_x", lambda v, i: F.when(F.get("_place", i) < F.col("_s"), v).otherwise(F.get("_z", i)))
+    scored = score(steps.select(id_col, "_bg", "_p", "_s", "_walks", F.get("_order", F.col("_s") - 1).alias("_j"),
                                 mixed.alias(features)))
-    # one walk has d + 1 steps
+    # one walk has at most d + 1 steps
     walk = W.partitionBy(id_col, "_bg", "_p").orderBy("_s")
     gain = F.col("y_prob") - F.lag("y_prob").over(walk)
     labels = F.array(*[F.lit(n) for n in names])
-    return (scored.withColumn("gain", gain).where(F.col("_s") > 0)
-            .groupBy(id_col, F.get(labels, F.col("_j")).alias("feature")).agg(F.avg("gain").alias("value")))
+    won = (scored.withColumn("gain", gain).where(F.col("_s") > 0)
+           .groupBy(F.col(id_col).alias("_id"), F.get(labels, F.col("_j")).alias("_feature"))
+           .agg((F.sum("gain") / F.max("_walks")).alias("value")))
+    every = x.withColumn("_pool", pool).where(F.size("_pool") > 0).select(id_col, F.explode(labels).alias("feature"))
+    return (every.join(won, (F.col(id_col) == F.col("_id")) & (F.col("feature") == F.col("_feature")), "left")
+            .select(id_col, "feature", F.coalesce("value", F.lit(0.0)).alias("value")))
+
 
 
 def importance(values: DataFrame) -> DataFrame:

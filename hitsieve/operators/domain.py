@@ -14,6 +14,7 @@ from hitsieve.operators import nearest as NN
 from hitsieve.operators.features import fit_pca, project
 from hitsieve.operators.ordering import exact_quantiles
 from hitsieve.schemas import DomainConfig
+from hitsieve.session import cut_lineage
 
 
 def train_quantile(df: DataFrame, value: str, q: float) -> Column:
@@ -103,15 +104,15 @@ def fit_map(train: DataFrame, col: str, id_col: str, rows: int, cols: int, epoch
     weights = np.array([start[i % len(start)][col] for i in range(units)], dtype=np.float64)
     at = np.array([(i // cols, i % cols) for i in range(units)], dtype=np.float64)
     gap = ((at[:, None, :] - at[None, :, :]) ** 2).sum(2)
-    d = weights.shape[1]
+    train = cut_lineage(train.select(F.col(col), array_to_vector(col).alias("_vec")))  # every epoch reads prepared rows
     for e in range(epochs):
         sigma = max(0.5, max(rows, cols) / 2.0 * (1.0 - e / epochs))
         sums = (best_unit(train, col, weights).groupBy("unit")
-                .agg(F.count("*").alias("n"), *[F.sum(F.get(col, F.lit(j))).alias(f"s{j}") for j in range(d)]).collect())
-        n, s = np.zeros(units), np.zeros((units, d))
+                .agg(F.count("*").alias("n"), Summarizer.metrics("sum").summary(F.col("_vec")).alias("s")).collect())
+        n, s = np.zeros(units), np.zeros(weights.shape)
         for r in sums:
             n[r["unit"]] = r["n"]
-            s[r["unit"]] = [r[f"s{j}"] for j in range(d)]
+            s[r["unit"]] = r["s"]["sum"].toArray()
         near = np.exp(-gap / (2.0 * sigma ** 2))
         weight = near @ n
         weights = np.where(weight[:, None] > 1e-12, (near @ s) / np.maximum(weight, 1e-12)[:, None], weights)

@@ -231,15 +231,15 @@ def uniform(spark, d):
 
 PERM_SQL = f"""SELECT a.permutation, a.doc_id, a.quality, b.quality AS permuted FROM
 (SELECT permutation, doc_id, quality, row_number() OVER (PARTITION BY permutation ORDER BY doc_id) AS rn FROM labels,
-(SELECT unnest(range(1, 6)) AS permutation)) a JOIN
+(SELECT unnest(range(1, 201)) AS permutation)) a JOIN
 (SELECT permutation, quality, row_number() OVER (PARTITION BY permutation ORDER BY
 {sql_hash("(permutation + 9000)::VARCHAR || ':' || doc_id::VARCHAR")}, doc_id) AS rn FROM labels,
-(SELECT unnest(range(1, 6)) AS permutation)) b USING (permutation, rn)"""
+(SELECT unnest(range(1, 201)) AS permutation)) b USING (permutation, rn)"""
 
 
 @query("spl07_label_permutation", f"SELECT permutation::INT AS permutation, doc_id, quality, permuted FROM ({PERM_SQL})")
 def permutation(spark, d):
-    return SP.permuted_labels(table(spark, d, "labels"), "doc_id", "quality", 5, 9)
+    return SP.permuted_labels(table(spark, d, "labels"), "doc_id", "quality", 200, 9)
 
 
 @query("spl08_augmented_rows", sql_with(["tok"], {}, """SELECT doc_id, v.variant::INT AS variant, quality, len(tok)::DOUBLE AS n_tokens,
@@ -378,7 +378,7 @@ def density(spark, d):
 @query("ad04_map_occupancy")
 def occupancy(spark, d):
     v = scaled_vectors(spark, d)
-    weights = D.fit_map(v.where("role = 'train'"), "z", "vec_id", 6, 6, 4)
+    weights = D.fit_map(v.where("role = 'train'"), "z", "vec_id", 12, 12, 20)
     return D.occupied_flag(v.where("role = 'query'"), v.where("role = 'train'"), "z", weights).select("vec_id", "som_in")
 
 

@@ -169,14 +169,14 @@ CURVE = ["Threshold", "Precision", "Recall", "TPR", "FPR", "F1", "MCC", "selecte
     {sql_r('recall')} AS Recall, {sql_r('tpr')} AS TPR, {sql_r('fpr')} AS FPR, {sql_r('f1')} AS F1,
     {sql_r('mcc')} AS MCC, {sql_r('selected_threshold')} AS selected_threshold FROM
     (SELECT c.*, s.selected_threshold FROM curve c JOIN sel s USING (model, seed))""", "sel",
-    extra={"g2": "SELECT i AS b, CASE WHEN i = 200 THEN 1 ELSE i * (1.0::DOUBLE / 200) END AS threshold FROM range(201) t(i)",
+    extra={"g2": "SELECT i AS b, CASE WHEN i = 500 THEN 1 ELSE i * (1.0::DOUBLE / 500) END AS threshold FROM range(501) t(i)",
            "tagged": "SELECT *, CASE WHEN fold = 0 THEN 'external' ELSE 'oof' END AS dataset FROM predictions",
            "cc": f"SELECT model, seed, dataset, threshold, {sql_counts('y_prob >= threshold')} FROM tagged, g2 GROUP BY ALL",
            "curve": f"SELECT *, {sql_metrics('tp', 'fp', 'tn', 'fn')} FROM cc"}))
 def curve(spark, d):
     p = predictions(spark, d)
     tagged = p.withColumn("dataset", F.when(F.col("fold") == 0, "external").otherwise("oof"))
-    rows = M.threshold_curve(tagged, [*BY, "dataset"], 201, M.best_thresholds(p, BY))
+    rows = M.threshold_curve(tagged, [*BY, "dataset"], 501, M.best_thresholds(p, BY))
     return rounded(rows.withColumnRenamed("seed", "split_seed"), ["split_seed", "model", "dataset"], CURVE)
 
 

@@ -106,7 +106,7 @@ def external(spark, d):
 
 def permuted_scores(spark, d):
     p = predictions(spark, d).where("model = 'LIN_A' AND seed = 0").select(F.col("id").alias("doc_id"), "y_prob", "y_true")
-    perms = SP.permuted_labels(table(spark, d, "labels"), "doc_id", "quality", 5, 9)
+    perms = SP.permuted_labels(table(spark, d, "labels"), "doc_id", "quality", 200, 9)
     runs = perms.join(p.select("doc_id", "y_prob"), "doc_id").select(
         "permutation", "y_prob", F.col("permuted").alias("y_true"))
     return M.roc_auc(runs, ["permutation"]).withColumnRenamed("roc_auc", "metric"), M.roc_auc(p, []).select("roc_auc").scalar()
