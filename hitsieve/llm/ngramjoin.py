@@ -277,3 +277,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Pipeline stage: of each group of linked documents the one with the smallest id stays (rows without id stay)."""
     gone = jaccard_join(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(*docs.columns)
+
+
+OP5_SQL = rf"""
+WITH RECURSIVE split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+runs AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - {WORDS - 1}, 1) + 1), lambda i: w[i:i + {WORDS - 1}])) AS g
+         FROM split WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM runs GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM runs a JOIN runs b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b, s.n = x.n AND s.n = y.n AS same FROM shared s JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+          WHERE {DEN} * s.n >= {NUM} * (x.n + y.n - s.n)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+low AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+counted AS (SELECT a, count(*) AS n, count(*) FILTER (same) AS same FROM links GROUP BY a)
+SELECT doc_id, least(doc_id, coalesce(low.b, doc_id)) AS class_id, coalesce(c.n, 0) AS n_links, coalesce(c.same, 0) + 1 AS n_copies,
+       doc_id = least(doc_id, coalesce(low.b, doc_id)) AS kept
+FROM documents LEFT JOIN low ON low.a = doc_id LEFT JOIN counted c ON c.a = doc_id
+"""

@@ -134,4 +134,49 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("char_js", "word_js")
+
+
+def _sql_list(words: list[str]) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+BLANK_SQL = r"[\x20\x09-\x0D]"
+OP8_SQL = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+runs AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS times
+         FROM (SELECT rid, i, w[i:i + {RUN - 1}] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - {RUN - 2})) AS i FROM docs))),
+again AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + {RUN})) AS p FROM runs WHERE times > 1) GROUP BY rid),
+dups AS (SELECT rid, sum(c - 1) AS n FROM (SELECT rid, line, count(*) AS c FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM docs)
+         WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid, line) GROUP BY rid),
+counted AS (
+  SELECT rid, doc_id, lang, w, len(w) AS n_words, length(t) AS size,
+    length(t) - length(regexp_replace(t, '[a-z]', '', 'g')) AS lower, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS upper,
+    length(t) - length(regexp_replace(t, '[0-9]', '', 'g')) AS digit, length(t) - length(regexp_replace(t, '{BLANK_SQL}', '', 'g')) AS blank,
+    length(t) - length(regexp_replace(t, '[.,;:!?''"()-]', '', 'g')) AS stop,
+    length(t) - length(regexp_replace(t, '[\x21-\x7E]', '', 'g')) AS plain,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(dups.n, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words
+  FROM docs LEFT JOIN dups USING (rid) LEFT JOIN again USING (rid)),
+base AS (SELECT *, size - blank AS word_chars, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM counted),
+cells AS (
+  SELECT rid, 'chars' AS kind, unnest(['lower', 'upper', 'digit', 'blank', 'stop', 'sign', 'other']) AS cell,
+         unnest([lower, upper, digit, blank, stop, plain - lower - upper - digit - stop, size - plain - blank]) AS c FROM base
+  UNION ALL
+  SELECT rid, 'words', cell, count(*) FROM (SELECT rid, CASE WHEN x IN ({_sql_list(WORDS)}) THEN x ELSE '' END AS cell
+    FROM (SELECT rid, unnest(w) AS x FROM base)) GROUP BY rid, cell),
+shares AS (SELECT rid, kind, cell, c / sum(c) OVER (PARTITION BY rid, kind) AS p FROM cells WHERE c > 0),
+ref AS (SELECT lang, kind, cell, sum(c) / sum(sum(c)) OVER (PARTITION BY lang, kind) AS q
+        FROM cells JOIN base USING (rid) WHERE NOT base_failed AND c > 0 GROUP BY lang, kind, cell),
+wanted AS (SELECT rid, r.kind, r.cell, r.q FROM base JOIN ref r USING (lang)),
+pairs AS (SELECT coalesce(s.rid, w.rid) AS rid, coalesce(s.kind, w.kind) AS kind, coalesce(p, 0) AS p, coalesce(q, 0) AS q
+          FROM shares s FULL JOIN wanted w ON s.rid = w.rid AND s.kind = w.kind AND s.cell = w.cell),
+js AS (SELECT rid, kind, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2 AS d,
+              sum(p) > 0 AND sum(q) > 0 AS filled FROM pairs GROUP BY rid, kind),
+odd AS (SELECT rid FROM js WHERE filled AND d > CASE kind WHEN 'chars' THEN {MAX_CHAR_JS} ELSE {MAX_WORD_JS} END GROUP BY rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT (n_words >= {MIN_WORDS} AND word_chars >= {MIN_CHARS} AND rid IN (SELECT rid FROM odd)) AS kept
+FROM base
+"""
