@@ -15,6 +15,7 @@ LENGTH = 400  # bytes of a string that must not occur twice
 GRAM = 64  # bytes of an anchor
 PART = 1 << 20  # starts handled at once
 GROUP = 1024  # distinct segments of an anchor that one suffix array takes
+SHARE = 8192  # segments of a large group for which a share of its strings is set up
 SORTED = 1 << 17  # bytes of small groups that share one suffix array
 _OTHER = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE2 = 0xC2B2AE3D27D4EB4F
@@ -175,9 +176,9 @@ class _Cut:
                     part = wanted[at:at + 4096]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([did.as_py()] * len(part)), pa.array([row.as_py()] * len(part)),
-                         *[pa.array([w[c] for w in part]) for c in ("anchor", "a", "alone", "many")],
+                         *[pa.array([w[c] for w in part]) for c in ("anchor", "a", "alone", "k")],
                          pa.array([data[w["a"]:w["b"] + LENGTH] for w in part], pa.binary())],
-                        ["did", "row", "anchor", "a", "alone", "many", "seg"])
+                        ["did", "row", "anchor", "a", "alone", "k", "seg"])
 
 
 def _repeats(whole: pa.Table) -> pa.Table | None:
@@ -221,25 +222,63 @@ def _repeats(whole: pa.Table) -> pa.Table | None:
 
 
 class _Strings:
-    """Two hashes of every string of a segment."""
+    """The strings of a segment of a large group, dealt by their hash over the shares of the group.
+
+    A row holds the strings of one segment in one share: their starts and two 64-bit hashes. A group of k segments has
+    about k / SHARE shares, so a share holds a bounded number of strings whatever the group's size.
+    """
+
+    def __init__(self, size: int):
+        self.size = size
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for did, row, a, alone, seg in zip(*(batch.column(c) for c in ("did", "row", "a", "alone", "seg"))):
+            out: list[list] = [[] for _ in range(6)]
+            for did, row, anchor, a, alone, k, seg in zip(*(batch.column(c) for c in ("did", "row", "anchor", "a", "alone", "k", "seg"))):
                 data = np.frombuffer(seg.as_py(), np.uint8)
-                h1, h2 = Spans(data).every(LENGTH).view(np.int64), Spans(data, _BASE2, _OTHER).every(LENGTH).view(np.int64)
-                n = len(h1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, did.as_py())), pa.array(np.full(n, row.as_py())), pa.array(np.arange(n) + a.as_py()),
-                                                  pa.array(np.full(n, alone.as_py())), pa.array(h1), pa.array(h2)], ["did", "row", "a", "alone", "h1", "h2"])
+                h1, h2 = Spans(data).every(LENGTH), Spans(data, _BASE2, _OTHER).every(LENGTH)
+                share = h1 % np.uint64(-(-k.as_py() // self.size))
+                name = mix(np.array([anchor.as_py()], np.int64).view(np.uint64))[0]
+                for p in np.unique(share):
+                    at = np.flatnonzero(share == p)
+                    made = (did.as_py(), row.as_py(), int((name + p).view(np.int64)), alone.as_py(), (at + a.as_py()).astype("<i8").tobytes(),
+                            np.stack([h1[at], h2[at]]).astype("<u8").tobytes())
+                    for column, x in zip(out, made):
+                        column.append(x)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["did", "row", "share", "alone", "starts", "hashes"])
+
+
+def _counted(whole: pa.Table) -> pa.Table | None:
+    """Starts of the lone segments' strings that stand in another segment of their share, as bytes for each segment."""
+    shares, alone = whole.column("share").to_numpy(), whole.column("alone").to_numpy()
+    starts = [np.frombuffer(x.as_py(), "<i8") for x in whole.column("starts")]
+    hashes = [np.frombuffer(x.as_py(), "<u8").reshape(2, -1) for x in whole.column("hashes")]
+    size = np.array([len(x) for x in starts])
+    owner = np.repeat(np.arange(len(size)), size)
+    h, share = np.concatenate(hashes, axis=1), shares[owner]
+    order = np.lexsort((h[1], h[0], share))
+    same = np.concatenate(([False], (h[:, order[1:]] == h[:, order[:-1]]).all(axis=0) & (share[order[1:]] == share[order[:-1]]), [False]))
+    twice = np.zeros(len(owner), bool)
+    twice[order] = same[1:] | same[:-1]
+    twice &= alone[owner]
+    cuts = np.concatenate(([0], np.cumsum(size)))
+    hit = np.flatnonzero(np.add.reduceat(twice, cuts[:-1]) > 0) if len(size) else np.zeros(0, int)
+    if not len(hit):
+        return None
+    found = [starts[i][twice[cuts[i]:cuts[i + 1]]].astype("<i8").tobytes() for i in hit]
+    return pa.table({"did": whole.column("did").take(pa.array(hit)), "row": whole.column("row").take(pa.array(hit)), "starts": pa.array(found, pa.binary())})
 
 
 class _Remove:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made: list[tuple[int, int, int, bytes]] = []
-            for text, runs in zip(batch.column("_text"), batch.column("runs")):
+            for text, runs, more in zip(*(batch.column(c) for c in ("_text", "runs", "more"))):
                 data, end, parts, spans, removed = (text.as_py() or "").encode(), 0, [], 0, 0
-                for run in sorted((r["a"], r["b"] + LENGTH) for r in runs.as_py() or []):
+                found = [(r["a"], r["b"] + LENGTH) for r in runs.as_py() or []]
+                found += [(x, x + LENGTH) for part in more.as_py() or [] for x in np.frombuffer(part, "<i8").tolist()]
+                for run in sorted(found):
                     if run[1] <= end:
                         continue
                     if run[0] > end or not spans:
@@ -271,8 +310,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     2. What is left are anchors with several different segments, mostly at the borders of repeated passages. Their
        bytes are read again and each group gets a suffix array by two-stage sorting; neighbours with a common prefix of
        LENGTH bytes repeat each other.
-    3. An anchor with over GROUP different segments would be too large for one task. Its strings are counted by two
-       64-bit hashes instead, which gives the same answer.
+    3. An anchor with over GROUP different segments would be too large for one suffix array. Its strings are dealt by
+       hash over shares of bounded size and compared by two 64-bit hashes there, which gives the same answer.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("_text")).withColumns(
         {"did": F.coalesce("doc_id", F.lit(-1)), "row": F.xxhash64("_text")})
@@ -283,16 +322,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     classes = store(classes.join(groups.select("anchor", "k", "lone"), "anchor").select("anchor", "h1", "h2", "n", "rep", "k", "lone"), "classes")
 
     whole = cut.join(classes.where("n > 1").select("anchor", "h1", "h2"), ["anchor", "h1", "h2"]).select("did", "row", "a", "b")
-    open_ = classes.where("k > 1 and lone > 0").select("anchor", "rep.*", (F.col("n") == 1).alias("alone"), (F.col("k") > GROUP).alias("many"))
-    wanted = open_.groupBy("did", "row").agg(F.collect_list(F.struct("anchor", "a", "b", "alone", "many")).alias("wanted"))
+    open_ = classes.where("k > 1 and lone > 0").select("anchor", "rep.*", (F.col("n") == 1).alias("alone"), "k")
+    wanted = open_.groupBy("did", "row").agg(F.collect_list(F.struct("anchor", "a", "b", "alone", "k")).alias("wanted"))
     texts = base.select("did", "row", "_text").join(wanted, ["did", "row"])
-    bytes_ = store(texts.mapInArrow(_Cut(), "did long, row long, anchor long, a long, alone boolean, many boolean, seg binary"), "bytes")
-    sorted_ = in_blocks(bytes_.where("not many").drop("many"), "anchor", _repeats, "did long, row long, a long, b long")
-    strings = bytes_.where("many").mapInArrow(_Strings(), "did long, row long, a long, alone boolean, h1 long, h2 long")
-    twice = strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
-    counted = strings.where("alone").join(twice, ["h1", "h2"]).select("did", "row", "a", F.col("a").alias("b"))
-    runs = whole.unionByName(sorted_).unionByName(counted).groupBy("did", "row").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
-    joined = base.join(runs, ["did", "row"], "left").select("doc_id", "_text", "runs")
+    bytes_ = store(texts.mapInArrow(_Cut(), "did long, row long, anchor long, a long, alone boolean, k long, seg binary"), "bytes")
+    sorted_ = in_blocks(bytes_.where(F.col("k") <= GROUP).drop("k"), "anchor", _repeats, "did long, row long, a long, b long")
+    strings = bytes_.where(F.col("k") > GROUP).mapInArrow(_Strings(SHARE), "did long, row long, share long, alone boolean, starts binary, hashes binary")
+    counted = in_blocks(strings, "share", _counted, "did long, row long, starts binary")
+    found = whole.unionByName(sorted_).withColumn("starts", F.lit(None).cast("binary")).unionByName(counted, allowMissingColumns=True)
+    runs = found.groupBy("did", "row").agg(F.collect_list(F.when(F.col("a").isNotNull(), F.struct("a", "b"))).alias("runs"),
+                                           F.collect_list("starts").alias("more"))
+    joined = base.join(runs, ["did", "row"], "left").select("doc_id", "_text", "runs", "more")
     return joined.mapInArrow(_Remove(), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

@@ -40,9 +40,10 @@ def plain(rows, length=400):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("group", [1024, 3])
-def test_against_plain_version(spark, group, monkeypatch):
+@pytest.mark.parametrize("group,share", [(1024, 8192), (3, 8192), (1, 2)])
+def test_against_plain_version(spark, group, share, monkeypatch):
     monkeypatch.setattr(suffixes, "GROUP", group)
+    monkeypatch.setattr(suffixes, "SHARE", share)
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdeé漢") for _ in range(rng.randint(1, 8)))
     prose = lambda n: " ".join(word() for _ in range(n))
