@@ -9,7 +9,7 @@ from hitsieve.functions.scalar import hash32
 from hitsieve.operators import attribution as A, features as FE, metrics as M, models as ML, rollup as R, splits as SP
 from hitsieve.plans.q_features import VECTOR
 from hitsieve.plans.q_metrics import on_predictions
-from hitsieve.plans.registry import n, query, r, rounded, sql_r, sql_rs
+from hitsieve.plans.registry import n, query, r, rounded, sql_r
 from hitsieve.plans.views import predictions, sql_hash, vectors
 from hitsieve.schemas import TrainConfig
 from hitsieve.session import cut_lineage, scratch_path
