@@ -33,11 +33,6 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deals rows by key hash over the session's number of shuffle partitions."""
-    return df.repartition(*[F.col(k) for k in keys])
-
-
 def in_blocks(df: DataFrame, key: str, fn: Callable[[pa.Table], pa.Table | None], schema: str) -> DataFrame:
     """Applies `fn` to the rows of each key, one call for many small keys together.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from hitsieve.llm.common import WORD, store, table, text_of
+from hitsieve.llm.common import WORD, store, table
 
 WEIGHTS, MOST, SEED = (1, 2, 3), 3, 17
 SLOTS = 4096  # cells of a level; two levels split a source's key range in SLOTS**2 cells
