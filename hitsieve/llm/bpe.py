@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import base64
 import json
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,18 +22,22 @@ LETTER, DIGIT, BLANK, SIGN, OTHER = 1, 2, 3, 4, 0
 
 
 class Codec:
-    """Vocabulary of a byte-level BPE file with its added tokens."""
+    """Vocabulary of a byte-level BPE file with its added tokens; the coder is built when something is encoded."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         byte_of = {c: b for b, c in byte_letters().items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        ranks = {bytes(byte_of[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in self.special}
-        self.coder = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
-        self.pieces = [b""] * (1 + max([*ranks.values(), *self.special.values()]))
-        for word, i in [*ranks.items(), *((k.encode(), v) for k, v in self.special.items())]:
-            self.pieces[i] = word
+        words = {i: bytes(byte_of[c] for c in word) for word, i in spec["model"]["vocab"].items() if word not in self.special}
+        words |= {i: word.encode() for word, i in self.special.items()}
+        self.pieces = [words.get(i, b"") for i in range(1 + max(words))]
+
+    @cached_property
+    def coder(self) -> tiktoken.Encoding:
+        added = set(self.special.values())
+        ranks = {piece: i for i, piece in enumerate(self.pieces) if piece and i not in added}
+        return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
 
     def encode(self, text: str) -> np.ndarray:
         return self.coder.encode_to_numpy(text, allowed_special="all").astype("<u4")
