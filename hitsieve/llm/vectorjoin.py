@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from hitsieve.llm.common import Forest, in_blocks, starts_of, store, table
 from hitsieve.llm.graph import components
 
 COSINE = 0.98
 BLOCK = 1024  # vectors on a side of a block
-PER_CELL, MOST_PIVOTS = 2048, 1024  # a pivot for so many vectors; the pivots are broadcast, so their number is bounded
+PER_CELL, MOST_PIVOTS = 2048, 1024  # a pivot for so many vectors; the pivots of all lengths are broadcast, so their number is bounded
 SLACK = 1e-9  # rounding of distances, in favour of copying a vector to a cell
 
 
@@ -22,7 +22,7 @@ def _unit(data: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 class _Cells:
-    """Home cell of each vector and the cells within reach.
+    """Home cell of each vector and the cells within reach; vectors of a length without pivots are all at home in cell 0.
 
     A vector y linked to x has |x - y| <= reach. If y is nearer to pivot c than to x's own pivot h, then by the
     triangle inequality d(x, c) - d(x, h) <= 2 * reach, and more sharply the distance of x to the plane between the
@@ -39,7 +39,12 @@ class _Cells:
             row, cell, home = [], [], []
             for dim in np.unique(sizes):
                 at = np.flatnonzero(sizes == dim)
-                pivots = by_size[int(dim)]
+                pivots = by_size.get(int(dim))
+                if pivots is None:
+                    row.append(at)
+                    cell.append(np.zeros(len(at), np.int64))
+                    home.append(np.ones(len(at), bool))
+                    continue
                 unit = _unit(batch.column("vec").take(pa.array(at)))
                 gap = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))
                 square = np.maximum(0, 2 - 2 * unit @ pivots.T)
@@ -59,6 +64,32 @@ class _Cells:
                                                  ["label", "dim", "rep", "copies", "vec", "cell", "home"])
 
 
+def _pivots(classes: DataFrame) -> dict[int, np.ndarray]:
+    """Unit pivots of the lengths that hold more than PER_CELL classes, the most frequent lengths first, at most MOST_PIVOTS in all.
+
+    Any pivots give the same links, and so does a length without: its one cell is split into blocks like any large cell.
+    """
+    many = classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PER_CELL).orderBy(F.desc("n"), "dim").limit(MOST_PIVOTS).collect()
+    wanted, left = [], MOST_PIVOTS
+    for r in many:
+        k = min(-(-r["n"] // PER_CELL), left)
+        if k > 1:
+            wanted.append((r["dim"], r["n"], k))
+            left -= k
+    if not wanted:
+        return {}
+    spark = classes.sparkSession
+    asked = F.broadcast(spark.createDataFrame(wanted, "dim int, n long, k int"))
+    # an even sample of some more than k of each length, so that the ranking sees few rows whatever the length holds
+    some = classes.join(asked, "dim").where(F.pmod("h1", "n") < 4 * F.col("k") + 64)
+    rank = F.row_number().over(Window.partitionBy("dim").orderBy("h1", "h2"))
+    found: dict[int, list[np.ndarray]] = {}
+    for r in some.withColumn("_at", rank).where("_at <= k").select("dim", "vec").collect():
+        found.setdefault(r["dim"], []).append(np.frombuffer(r["vec"], "<f4"))
+    pivots = {dim: np.stack(p).astype(np.float64) for dim, p in found.items()}
+    return {dim: p / np.linalg.norm(p, axis=1, keepdims=True) for dim, p in pivots.items()}
+
+
 class _Match:
     """Links of the probing rows of each block with its other rows, and a spanning forest of what is linked."""
 
@@ -107,8 +138,8 @@ def range_join(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     compared, so `n_links` counts copies without pairing them. Repeated rows count as copies; a null vec_id stands for
     id -1; rows of one id share its component. An empty table gives an empty one.
 
-    Unit vectors are dealt to the cells of their nearest pivot (an even sample of the data, one for PER_CELL vectors)
-    and copied to every cell that may hold a partner. Each cell is joined on its own, each label apart; a large cell is
+    Unit vectors are dealt to the cells of their nearest pivot (an even sample of the data, one for PER_CELL vectors of
+    a length; lengths with fewer vectors, and those that MOST_PIVOTS leaves without, have one cell) and copied to every cell that may hold a partner. Each cell is joined on its own, each label apart; a large cell is
     split into blocks of BLOCK by BLOCK vectors, and a block returns counts and a spanning forest, never its pairs.
     Every link of a vector is found in its home cell.
     """
@@ -125,13 +156,9 @@ def range_join(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         return pa.array([np.array(x.as_py(), "<f4").tobytes() for x in lists], pa.binary())
 
     classes = store(classes.select("h1", "h2", "rep", "copies", "label", F.size("embedding").alias("dim"), packed("embedding").alias("vec")), "classes")
-    counts = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy("dim").limit(64).collect()}
-    pivots = {dim: np.stack([np.frombuffer(r["vec"], "<f4") for r in classes.where(F.col("dim") == dim).orderBy(F.xxhash64("rep"), "rep")
-                             .limit(max(1, min(MOST_PIVOTS, -(-n // PER_CELL)))).select("vec").collect()]).astype(np.float64)
-              for dim, n in counts.items()}
-    pivots = {dim: p / np.linalg.norm(p, axis=1, keepdims=True) for dim, p in pivots.items()}
+    pivots = _pivots(classes)
     reach = float(np.sqrt(2 - 2 * cosine))
-    cells = classes.where(F.col("dim").isin(list(counts))).mapInArrow(
+    cells = classes.select("label", "dim", "rep", "copies", "vec").mapInArrow(
         _Cells(spark.sparkContext.broadcast(pivots), reach), "label int, dim int, rep long, copies long, vec binary, cell int, home boolean")
     cells = store(cells.withColumn("key", F.xxhash64("label", "dim", "cell")), "cells")
     sizes = cells.groupBy("key").agg(F.ceil(F.count_if("home") / BLOCK).cast("int").alias("kh"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("ka"))

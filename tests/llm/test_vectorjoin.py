@@ -66,3 +66,20 @@ def test_empty_and_repeated(spark):
     got = sorted((r.vec_id, r.n_links, r.component_id) for r in vectorjoin.range_join(table).collect())
     assert got == [(-1, 2, -1), (3, 2, -1), (3, 2, -1)]
     assert vectorjoin.range_join(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [1024, 12])
+def test_more_lengths_than_any_bound(spark, most, monkeypatch):
+    monkeypatch.setattr(vectorjoin, "BLOCK", 8)
+    monkeypatch.setattr(vectorjoin, "PER_CELL", 12)
+    monkeypatch.setattr(vectorjoin, "MOST_PIVOTS", most)
+    rng = np.random.default_rng(7)
+    vectors = [rng.normal(size=n).astype(np.float32).tolist() for n in range(1, 70)]
+    for size, n in ((90, 60), (91, 50), (92, 3)):
+        base = rng.normal(size=size)
+        vectors += [(base + rng.normal(size=size) * 0.1).astype(np.float32).tolist() for _ in range(n)]
+    rows = [(i, v, 1) for i, v in enumerate(vectors)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    want = plain(rows)
+    assert sum(r[1] for r in want) > 1000
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectorjoin.range_join(table).collect()) == want
