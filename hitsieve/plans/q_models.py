@@ -16,10 +16,8 @@ from hitsieve.session import cut_lineage, scratch_path
 from hitsieve.sources.sinks import write_parquet
 
 NAMES = [f"x{i}" for i in range(6)]
-# forests have their production settings; boosting and the network are cut to what the test tables take (see README)
-SMALL = {"LR": {"max_iter": 50}, "RFC": {}, "ETC": {},
-         "XGBC": {"n_estimators": 10, "max_depth": 3}, "SVC": {"size": 64}, "MLP": {"hidden_layer_sizes": (16,), "max_iter": 40}}
-QUICK = TrainConfig(models=("LR", "RFC"), cv_folds=3, curve_points=101, seeds=(0, 1))
+FULL = TrainConfig()
+SMALL = {family: {} for family in FULL.models}  # no setting is cut: every family has the operators' defaults
 KEYS = ["id", "y_true", "y_pred", "model"]
 
 
@@ -33,7 +31,7 @@ def rows(spark, d):
 def split(spark, d):
     t = rows(spark, d)
     train, ext = t.where("role = 'train'"), t.where("role = 'query'")
-    a, b, contract = ML.prepared(train, ext, "bits", VECTOR, NAMES, QUICK, 0, 0)
+    a, b, contract = ML.prepared(train, ext, "bits", VECTOR, NAMES, FULL, 0, 0)
     return cut_lineage(a.drop("bits")), b, contract
 
 
@@ -68,34 +66,33 @@ def probability(spark, d):
 @query("ml07_tuning")
 def tuning(spark, d):
     train, _, _ = split(spark, d)
-    folds = cut_lineage(SP.tuning_folds(train, "grp", "y", 3, 7))
+    folds = cut_lineage(SP.tuning_folds(train, "grp", "y", FULL.search_folds, 7))
     out = []
-    for kind, scoring in (("grid", "roc_auc"), ("random", "mcc")):
-        _, info = ML.tune(folds, "LR", "y", "fold", kind, 2, scoring, 7,
-                          space={"C": [0.1, 1.0], "penalty": ["l2"], "max_iter": [30]})
-        out.append((info["model"], kind, scoring, info["best_score"], str(info["best_params"]), info["cv_folds"]))
+    for family in FULL.models:
+        for kind, scoring in (("grid", "roc_auc"), ("random", "mcc")):
+            _, info = ML.tune(folds, family, "y", "fold", kind, FULL.search_iterations, scoring, 7)
+            out.append((info["model"], kind, scoring, info["best_score"], str(info["best_params"]), info["cv_folds"]))
     return spark.createDataFrame(out, "model string, search string, scoring string, best_score double, best_params string, folds int")
 
 
 @query("ml08_out_of_fold")
 def oof(spark, d):
-    folds = cut_lineage(SP.grouped_folds(rows(spark, d), "grp", "y", 3, 42))
-    out = ML.out_of_fold(folds, "y", "fold", "bits", VECTOR, NAMES, QUICK, 42, SMALL)
+    folds = cut_lineage(SP.grouped_folds(rows(spark, d), "grp", "y", FULL.cv_folds, 42))
+    out = ML.out_of_fold(folds, "y", "fold", "bits", VECTOR, NAMES, FULL, 42, SMALL)
     return out.withColumn("y_prob", r("y_prob"))
 
 
 @query("ml09_external_evaluation")
 def external(spark, d):
     t = rows(spark, d)
-    _, ext, _ = ML.final_models(t.where("role = 'train'"), t.where("role = 'query'"), "y", "bits", VECTOR, NAMES, QUICK, 42,
+    _, ext, _ = ML.final_models(t.where("role = 'train'"), t.where("role = 'query'"), "y", "bits", VECTOR, NAMES, FULL, 42,
                                 {"LR": 0.45, "RFC": 0.5}, SMALL)
     return rounded(M.evaluate(ext, ["model", "seed"]), ["model", "seed"], ["accuracy", "mcc", "roc_auc", "pr_auc"])
 
 
 @query("ml10_seeds")
 def seeds(spark, d):
-    cfg = TrainConfig(models=("LR",), cv_folds=3, seeds=(0, 1), curve_points=51)
-    out = ML.run_seeds(rows(spark, d), cfg, label="y", group="grp", bits="bits", n_bits=VECTOR, descriptors=NAMES, params=SMALL)
+    out = ML.run_seeds(rows(spark, d), FULL, label="y", group="grp", bits="bits", n_bits=VECTOR, descriptors=NAMES, params=SMALL)
     long = M.long_metrics(out["external_report"], ["model", "seed"])
     return rounded(R.seed_summary(long), ["model", "metric"], ["mean", "std"], ["n"])
 
@@ -131,7 +128,7 @@ def calibration_report(spark, d):
 @query("rob01_permutation_test")
 def permutation_test(spark, d):
     train, ext, _ = split(spark, d)
-    scores, actual = ML.permutation_scores(train, ext, "y", lambda t: ML.fit_family(t, "LR", "y", {"max_iter": 20}), 20, 42)
+    scores, actual = ML.permutation_scores(train, ext, "y", lambda t: ML.fit_family(t, "LR", "y", SMALL["LR"]), 200, 42)
     return R.permutation_summary(scores, F.lit(actual))
 
 
@@ -151,7 +148,7 @@ def assignment(spark, d):
 def saved_model(spark, d):
     """Stored, loaded, and applied to raw rows in batch and as a stream; an LR model is recomputed from its coefficients."""
     t = rows(spark, d)
-    train, processor = ML.fitted(t.where("role = 'train'"), "bits", VECTOR, NAMES, QUICK, 0, 0)
+    train, processor = ML.fitted(t.where("role = 'train'"), "bits", VECTOR, NAMES, FULL, 0, 0)
     model = ML.fit_family(train, "LR", "y", SMALL["LR"])
     path = scratch_path(spark, "model")
     ML.save_model(spark, model, path, {"features": [list(c) for c in processor.contract()], "family": "LR", "threshold": 0.45}, processor)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from hitsieve.operators import attribution as A, metrics as M, models as ML, rollup as R, screen as SC, splits as SP
 from hitsieve.plans import q_models as QM
 from hitsieve.plans.views import documents
+from hitsieve.schemas import TrainConfig
 from hitsieve.session import scratch_path
 from conftest import SMALL
 
@@ -144,3 +145,35 @@ def test_wide_feature_detection(spark):
     assert detect_features(cols, n_bits=3) == ["morgan_0", "morgan_2", "morgan_10"] and detect_features(cols, n_bits=4) == []
     df = spark.createDataFrame([(1, 1, 0, 1)], "id int, morgan_0 int, morgan_1 int, morgan_2 int")
     assert gather_bits(df, ["morgan_0", "morgan_1", "morgan_2"]).first()["bits"] == [0, 2]
+
+
+def test_queries_run_the_whole_job(spark, monkeypatch):
+    """The registered queries give the operators their defaults: families, folds, seeds, searches, permutations."""
+    seen = {}
+
+    class Stop(Exception):
+        pass
+
+    def caught(name, place):
+        def run(*a, **k):
+            seen[name] = (a, k)
+            raise Stop
+        monkeypatch.setattr(place, name, run)
+
+    for name in ("out_of_fold", "final_models", "run_seeds", "permutation_scores"):
+        caught(name, ML)
+    for run in (QM.oof, QM.external, QM.seeds, QM.permutation_test):
+        with pytest.raises(Stop):
+            run(spark, SMALL)
+    for name in ("out_of_fold", "final_models", "run_seeds"):
+        given = [x for x in (*seen[name][0], *seen[name][1].values()) if isinstance(x, TrainConfig)]
+        assert given == [TrainConfig()]
+        assert {} == {f: p for x in seen[name][0] if isinstance(x, dict) for f, p in x.items() if isinstance(p, dict) and p}
+    assert seen["run_seeds"][1]["params"] == {f: {} for f in TrainConfig().models}
+    assert seen["out_of_fold"][0][0].agg(F.max("fold")).first()[0] == 4
+    assert 200 in seen["permutation_scores"][0]
+    searches = []
+    monkeypatch.setattr(ML, "tune", lambda folds, family, label, fold, kind, n, scoring, seed, **k: (
+        searches.append((family, kind, n, k)), (None, {"model": family, "best_score": 1.0, "best_params": {}, "cv_folds": 3}))[1])
+    QM.tuning(spark, SMALL)
+    assert searches == [(f, kind, 60, {}) for f in TrainConfig().models for kind in ("grid", "random")]
