@@ -91,29 +91,44 @@ def _across(left: np.ndarray, right: np.ndarray, side: np.ndarray) -> tuple[np.n
     return left[stay], right[stay]
 
 
+def set_key(found: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set of shingles."""
+    return (int(mix(found).sum(dtype=np.uint64).view(np.int64)),
+            int(mix(found ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
+
+
 class _Sketch:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k1, k2, n, signs = [], [], [], []
+            keys, n, signs = [], [], []
             for text in batch.column("_text"):
                 found = shingles(text.as_py())
-                k1.append(int(mix(found).sum(dtype=np.uint64).view(np.int64)))
-                k2.append(int(mix(found ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
+                keys.append(set_key(found))
                 n.append(len(found))
                 signs.append(signature(found).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(n, pa.int64()), pa.array(signs, pa.binary())],
-                ["doc_id", "k1", "k2", "n", "signs"])
+                [batch.column("doc_id"), batch.column("th"), *[pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)],
+                 pa.array(n, pa.int64()), pa.array(signs, pa.binary())], ["doc_id", "th", "k1", "k2", "n", "signs"])
 
 
 class _Shingle:
+    """The sets of the texts, each set once a task."""
+
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             step = max(1, int(batch.num_rows * (4 << 20) / max(1, batch.nbytes)))
             for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                found = [shingles(t.as_py()).tobytes() for t in part.column("_text")]
-                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("label"), pa.array(found, pa.binary())], ["rep", "label", "found"])
+                keys, sets = [], []
+                for text in batch.column("_text").slice(at, step):
+                    found = shingles(text.as_py())
+                    key = set_key(found)
+                    if key not in seen:
+                        seen.add(key)
+                        keys.append(key)
+                        sets.append(found.tobytes())
+                yield pa.RecordBatch.from_arrays([*[pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)], pa.array(sets, pa.binary())],
+                                                 ["k1", "k2", "found"])
 
 
 def _connect(whole: pa.Table) -> pa.Table | None:
@@ -179,14 +194,10 @@ def _verify(whole: pa.Table) -> pa.Table | None:
 
 
 def _once(whole: pa.Table) -> pa.Table:
-    """One row for each block and class: rows that repeat an id come as often, the smallest set of them counts."""
+    """One row for each block and class: a set that several tasks have read comes as often."""
     keys = np.stack([whole.column("blk").to_numpy(), whole.column("rep").to_numpy()], axis=1)
-    _, first, count = np.unique(keys, axis=0, return_index=True, return_counts=True)
-    if (count == 1).all():
-        return whole
-    sets = whole.column("found").to_pylist()
-    order = sorted(range(len(sets)), key=lambda i: (*keys[i], sets[i]))
-    return whole.take([i for n, i in enumerate(order) if not n or (keys[i] != keys[order[n - 1]]).any()])
+    _, first = np.unique(keys, axis=0, return_index=True)
+    return whole if len(first) == len(keys) else whole.take(first)
 
 
 def _overlaps(found: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -220,28 +231,17 @@ def _blocked(rows: DataFrame, parts, key: str) -> DataFrame:
             .drop("_k", "_p", "_q"))
 
 
-def jaccard_join(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, n_links, n_copies, kept) for each row of `docs(doc_id, text)`.
-
-    Two documents are linked when their sets of five-word shingles have a Jaccard similarity of 0.8 or more. `n_links`
-    counts the other rows linked to the document, rows with an equal set (`n_copies` of them, itself included) among
-    them; `class_id` is the smallest doc_id reachable by links and `kept` marks it.
+def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, th, k1, k2, n) of the documents; classes (k1, k2, least, first, copies, n_links) of those with words.
 
-    Words are split at blanks and compared as they are. Texts of 1 to 4 words have one shingle; empty and null texts
-    have none and link with nothing. Rows with a null doc_id stand for id -1. Rows that repeat an id count as copies;
-    if their texts differ they share a class and the one with the smallest set is compared. An empty table gives an empty one.
-
-    1. Rows with equal sets are one class before anything is compared, so exact copies never form pairs.
-    2. MinHash buckets propose pairs; a bucket of more than BLOCK classes is split into pairs of parts. Within a block
-       MinHash values are compared step by step and a pair goes when its posterior falls below TOLERANCE. What survives
-       leaves the task as a spanning forest, not as pairs, and gives the candidate clusters.
-    3. Texts of clusters alone are read again. Clusters are split into blocks of bounded rows and bounded shingles;
-       each block prunes its pairs the same way and verifies the rest exactly, giving a count per class and a forest.
+    `least` is the smallest (doc_id, th, rep) of a class, `first` the smallest of all classes reachable by links. A class
+    is numbered when its table is written, so ids may be null or repeat; `th` hashes a text.
     """
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), text_of().alias("_text"))
-    rows = store(base.mapInArrow(_Sketch(), "doc_id long, k1 long, k2 long, n long, signs binary"), "sketches")
-    classes = store(rows.where("n > 0").groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("signs").alias("signs")), "classes")
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), text_of().alias("_text")).withColumn("th", F.xxhash64("_text"))
+    rows = store(base.mapInArrow(_Sketch(), "doc_id long, th long, k1 long, k2 long, n long, signs binary"), "sketches")
+    classes = rows.where("n > 0").groupBy("k1", "k2").agg(
+        F.min(F.struct("doc_id", "th")).alias("one"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("signs").alias("signs"))
+    classes = store(classes.withColumn("rep", F.monotonically_increasing_id()).withColumn("least", F.struct("one.doc_id", "one.th", "rep")).drop("one"), "classes")
     banded = classes.select("rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)),
                                                 lambda b: F.xxhash64(b, F.substring("signs", b * 8 + 1, F.lit(8))))).alias("band", "bucket"))
     met = banded.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("m > 1")
@@ -250,22 +250,44 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     edges = in_blocks(signed, "blk", _connect, "a long, b long")
     clusters = components(edges)
 
-    members = clusters.join(classes.select(F.col("rep").alias("id"), "n"), "id")
+    members = store(clusters.withColumnRenamed("id", "rep").join(classes, "rep"), "members")
     sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("mass"))
-    wanted = clusters.select(F.col("id").alias("rep"), "label")
-    texts = base.join(wanted, base["doc_id"] == wanted["rep"]).select("rep", "label", "_text")
-    sets = store(texts.mapInArrow(_Shingle(), "rep long, label long, found binary"), "sets")
-    full = sets.join(classes.select("rep", "copies", "signs"), "rep").join(sizes, "label")
+    wanted = store(members.select("least.doc_id").distinct(), "wanted")  # other texts of these ids have other keys and go below
+    sets = store(base.join(wanted, "doc_id", "left_semi").select("_text").mapInArrow(_Shingle(), "k1 long, k2 long, found binary"), "sets")
+    full = sets.join(members.select("k1", "k2", "rep", "label", "copies", "signs"), ["k1", "k2"]).join(sizes, "label").drop("k1", "k2")
     blocks = _blocked(full, F.greatest(F.col("m") / BLOCK, F.col("mass") / BLOCK_SHINGLES), "label")
     exact = store(in_blocks(blocks, "blk", _verify, "rep long, links long, root long"), "exact")
     linked = exact.groupBy("rep").agg(F.sum("links").alias("links"))
-    groups = components(exact.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    named = (classes.drop("signs", "n").join(linked, "rep", "left")
-             .join(groups.select(F.col("id").alias("rep"), "label"), "rep", "left")
-             .select("k1", "k2", F.coalesce("label", "rep").alias("class_id"), "copies",
+    groups = components(exact.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "rep")
+    firsts = groups.join(classes.select("rep", "least"), "rep").groupBy("label").agg(F.min("least").alias("first"))
+    named = (classes.join(linked, "rep", "left").join(groups.join(firsts, "label").select("rep", "first"), "rep", "left")
+             .select("k1", "k2", "least", F.coalesce("first", "least").alias("first"), "copies",
                      (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
-    whole = rows.drop("signs").join(named, ["k1", "k2"], "left")
-    return whole.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+    return rows.drop("signs"), named
+
+
+def jaccard_join(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id, n_links, n_copies, kept) for each row of `docs(doc_id, text)`.
+
+    Two documents are linked when their sets of five-word shingles have a Jaccard similarity of 0.8 or more. `n_links`
+    counts the other rows linked to the document, rows with an equal set (`n_copies` of them, itself included) among
+    them; `class_id` is the smallest doc_id reachable by links and `kept` marks it.
+
+    Words are split at blanks and compared as they are. Texts of 1 to 4 words have one shingle; empty and null texts
+    have none and link with nothing. A null doc_id stands for id -1. Ids only name the result: rows that repeat an id are
+    compared each by its own text. An empty table gives an empty one.
+
+    1. Rows with equal sets are one class before anything is compared, so exact copies never form pairs.
+    2. MinHash buckets propose pairs; a bucket of more than BLOCK classes is split into pairs of parts. Within a block
+       MinHash values are compared step by step and a pair goes when its posterior falls below TOLERANCE. What survives
+       leaves the task as a spanning forest, not as pairs, and gives the candidate clusters.
+    3. Texts of clusters alone are read again, one for each class. Clusters are split into blocks of bounded rows and
+       bounded shingles; each block prunes its pairs the same way and verifies the rest exactly, giving a count per class
+       and a forest.
+    """
+    rows, named = _joined(docs)
+    whole = rows.join(named, ["k1", "k2"], "left")
+    return whole.select("doc_id", F.coalesce("first.doc_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
                         F.coalesce("copies", F.lit(1)).alias("n_copies")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
@@ -274,9 +296,24 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of linked documents the one with the smallest id stays (rows without id stay)."""
-    gone = jaccard_join(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(*docs.columns)
+    """Pipeline stage: of each group of linked rows one stays, with the smallest id; rows without words stay.
+
+    A null id counts as -1. Rows of one id with different texts are groups of their own.
+    """
+    rows, named = _joined(docs)
+    first = F.struct("first.doc_id", "first.th")
+    gone = store(rows.join(named.select("k1", "k2", "first"), ["k1", "k2"]).where(F.struct("doc_id", "th") != first).select("doc_id", "th").distinct(), "gone")
+    often = store(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("doc_id"), "often")
+    again = store(rows.where("n > 0").groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("doc_id", "th"), "again")
+    keys = ["_near_id", "_near_th"]
+    left = docs.withColumns({keys[0]: F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), keys[1]: F.xxhash64(text_of())})
+    # an id of one row needs no text hash, which keeps the table of what goes small
+    alone = store(gone.join(often, "doc_id", "left_anti").select(F.col("doc_id").alias(keys[0])), "alone")
+    mixed = store(gone.join(often, "doc_id", "left_semi").select(F.col("doc_id").alias(keys[0]), F.col("th").alias(keys[1])), "mixed")
+    left = left.join(alone, keys[0], "left_anti").join(mixed, keys, "left_anti")
+    again = again.toDF(*keys)
+    once = left.join(again, keys, "left_anti").unionByName(left.join(again, keys, "left_semi").dropDuplicates(keys))
+    return once.select(*docs.columns)
 
 
 OP5_SQL = rf"""

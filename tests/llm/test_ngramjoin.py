@@ -103,3 +103,24 @@ def test_word_hashes_do_not_depend_on_place():
     assert h[0] == h[2] == h[4] and h[1] == h[3] and h[0] != h[1]
     w = windows(h, 2)
     assert w[0] == w[2] == w[4] and w[1] == w[3] != w[0]
+
+
+def odd_ids():
+    """Different texts under one id and under null ids, an empty one among them, each with near copies elsewhere."""
+    rng = random.Random(5)
+    base = [" ".join(f"u{k}_{i}" for i in range(80)) for k in range(6)]
+    rows = [(None, base[0]), (None, base[1]), (None, ""), (None, base[1]), (7, base[2]), (7, base[3]), (7, None), (7, base[4])]
+    return rows + [(10 + k, near(rng, t.split(), 1)) for k, t in enumerate(base)] + [(3, base[5]), (3, base[4])]
+
+
+def test_rows_of_one_id_keep_their_links(spark):
+    rows = odd_ids()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in ngramjoin.jaccard_join(docs).collect())
+    assert got == plain(rows)
+
+
+def test_stage_keeps_one_row_of_each_group(spark):
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(odd_ids())], "doc_id long, text string, place long")
+    got = sorted((-1 if r.doc_id is None else r.doc_id, (r.text or "")[:3]) for r in ngramjoin.drop_near_copies(spark, docs, "").collect())
+    assert got == [(-1, ""), (-1, "u0_"), (-1, "u1_"), (3, "u4_"), (3, "u5_"), (7, ""), (7, "u2_"), (7, "u3_")]
