@@ -49,6 +49,7 @@ class Pieces:
         self.raw[model.unk_id()] = UNKNOWN.encode()
         for byte, i in enumerate(self.byte_ids):
             self.raw[i] = bytes([byte])
+        self.size = [len(name) for name in self.names]
         self.matches = ahocorasick.Automaton()
         for piece, i in self.number.items():
             self.matches.add_word(piece, (i, len(piece)))
@@ -117,27 +118,27 @@ class Pieces:
         sequence is an encoding when all its neighbours fit, so exactly one piece does. Letters without a piece have
         none that ends there; they are spelled in bytes and never merge.
         """
-        last, size = [-1] * (len(text) + 1), [1] * (len(text) + 1)
-        pairs, done = self.pairs, -1
+        last, pairs = [-1] * (len(text) + 1), self.pairs
         if len(pairs) > PAIRS:
             pairs.clear()
         for at, (piece, n) in self.matches.iter(text):
-            if at == done:
-                continue
-            left = last[at - n + 1]
-            key = left << 16 | piece
-            fits = pairs.get(key)
-            if fits is None:
-                fits = pairs[key] = self.fits(left, piece)
-            if fits:
-                last[at + 1], size[at + 1], done = piece, n, at
-        out, at = [], len(text)
-        while at:
+            at += 1
             if last[at] < 0:
+                key = last[at - n] << 16 | piece
+                fits = pairs.get(key)
+                if fits is None:
+                    fits = pairs[key] = self.fits(last[at - n], piece)
+                if fits:
+                    last[at] = piece
+        out, at, size = [], len(text), self.size
+        while at:
+            piece = last[at]
+            if piece < 0:
                 out.extend(self.byte_ids[b] for b in reversed(text[at - 1].encode()))
+                at -= 1
             else:
-                out.append(last[at])
-            at -= size[at]
+                out.append(piece)
+                at -= size[piece]
         out.reverse()
         return array("I", out).tobytes()
 
@@ -145,8 +146,7 @@ class Pieces:
         """Ids of a text without an end id."""
         if not text:
             return np.zeros(0, "<u4")
-        if len(self.known) > WORDS:
-            self.known.clear()
+        self.known.renew()
         found = self.stretches.findall(SPACE + text.replace(" ", SPACE))
         return np.frombuffer(b"".join(map(self.known.__getitem__, found)), "<u4")
 
@@ -193,14 +193,21 @@ def _letters(raw: bytes) -> str:
 
 
 class _Known(dict):
-    """Ids of short stretches; longer ones are worked out each time, so that the memory stays bounded."""
+    """Ids of short stretches; longer ones are worked out each time. When it is full, those not met since the last time go."""
 
     def __init__(self, pieces: Pieces):
         super().__init__()
-        self.pieces = pieces
+        self.pieces, self.older = pieces, {}
+
+    def renew(self) -> None:
+        if len(self) > WORDS:
+            self.older = dict(self)
+            self.clear()
 
     def __missing__(self, text: str) -> bytes:
-        ids = self.pieces.stretch(text)
+        ids = self.older.get(text)
+        if ids is None:
+            ids = self.pieces.stretch(text)
         if len(text) <= SHORT:
             self[text] = ids
         return ids
