@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections import ChainMap
+from collections.abc import Iterator, Mapping
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -19,7 +22,11 @@ MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SPACE = "▁"  # fixed value: how the model writes a space
 UNKNOWN = " ⁇ "  # fixed value: the text of the unknown id
 SHORT = 32  # code points of a stretch whose ids are remembered
-WORDS, PAIRS = 1 << 18, 1 << 20  # remembered stretches and tested pairs of a Python worker; beyond them it starts anew
+SLICE = 1 << 19  # code points of the texts whose new stretches are worked out together
+TOGETHER = 1 << 14  # such stretches, at most
+TABLE = 18  # bits of the place of a tested pair
+BETWEEN = "\ue000"  # stands between stretches; a model whose pieces hold it is refused
+WORDS, PAIRS = 1 << 17, 1 << 18  # remembered stretches and tested pairs of a Python worker; beyond them it starts anew
 
 
 class Pieces:
@@ -49,10 +56,14 @@ class Pieces:
         self.raw[model.unk_id()] = UNKNOWN.encode()
         for byte, i in enumerate(self.byte_ids):
             self.raw[i] = bytes([byte])
+        if any(BETWEEN in piece for piece in self.number):
+            raise ValueError("pieces hold the sign between stretches")
         self.size = [len(name) for name in self.names]
+        self.sizes = np.array(self.size, np.int64)
+        self.asked, self.answers = np.full(1 << TABLE, 1 << 62, np.int64), np.zeros(1 << TABLE, bool)
         self.matches = ahocorasick.Automaton()
         for piece, i in self.number.items():
-            self.matches.add_word(piece, (i, len(piece)))
+            self.matches.add_word(piece, i)
         self.matches.make_automaton()
         inside = {c for piece in self.number if len(piece) > 1 for c in piece}
         # no token reaches over a space sign that follows a letter, or over a sign that stands in no longer piece
@@ -118,19 +129,20 @@ class Pieces:
         sequence is an encoding when all its neighbours fit, so exactly one piece does. Letters without a piece have
         none that ends there; they are spelled in bytes and never merge.
         """
-        last, pairs = [-1] * (len(text) + 1), self.pairs
+        last, pairs, size = [-1] * (len(text) + 1), self.pairs, self.size
         if len(pairs) > PAIRS:
             pairs.clear()
-        for at, (piece, n) in self.matches.iter(text):
+        for at, piece in self.matches.iter(text):
             at += 1
             if last[at] < 0:
-                key = last[at - n] << 16 | piece
+                left = last[at - size[piece]]
+                key = left << 16 | piece
                 fits = pairs.get(key)
                 if fits is None:
-                    fits = pairs[key] = self.fits(last[at - n], piece)
+                    fits = pairs[key] = self.fits(left, piece)
                 if fits:
                     last[at] = piece
-        out, at, size = [], len(text), self.size
+        out, at = [], len(text)
         while at:
             piece = last[at]
             if piece < 0:
@@ -142,13 +154,65 @@ class Pieces:
         out.reverse()
         return array("I", out).tobytes()
 
+    def stretches_of(self, texts: list[str]) -> list[bytes]:
+        """The same for many short stretches at once: their tables are filled side by side, one place of all at a time.
+
+        The stretches are read as one text with a sign between them that stands in no piece.
+        """
+        lengths = np.array([len(t) for t in texts])
+        begin = np.concatenate(([0], np.cumsum(lengths[:-1] + 1))).astype(np.int64)
+        found = np.fromiter(chain.from_iterable(self.matches.iter(BETWEEN.join(texts))), np.int64).reshape(-1, 2)
+        end, piece = found[:, 0] + 1, found[:, 1]
+        before = end - self.sizes[piece]
+        place = end - np.repeat(begin, lengths + 1)[found[:, 0]]
+        order = np.argsort(place.astype(np.int16), kind="stable")
+        end, piece, before = end[order], piece[order], before[order]
+        steps = np.searchsorted(place[order], np.arange(1, int(lengths.max()) + 2))
+        last = np.full(int(lengths.sum()) + len(texts) + 1, -1, np.int64)
+        for low, high in zip(steps, steps[1:]):
+            fits = self._known_pairs(last[before[low:high]] << 16 | piece[low:high])
+            last[end[low:high][fits]] = piece[low:high][fits]
+        # backwards from the ends, all stretches at once
+        ids, count, at = np.zeros((len(texts), int(lengths.max())), "<u4"), np.zeros(len(texts), np.int64), begin + lengths
+        spelled, live = np.zeros(len(texts), bool), np.flatnonzero(lengths > 0)
+        while len(live):
+            here = last[at[live]]
+            unknown = here < 0
+            if unknown.any():
+                spelled[live[unknown]] = True
+                live, here = live[~unknown], here[~unknown]
+            count[live] += 1
+            ids[live, -count[live]] = here
+            at[live] -= self.sizes[here]
+            live = live[at[live] > begin[live]]
+        raw, width = ids.tobytes(), 4 * ids.shape[1]
+        ends, sizes = (np.arange(1, len(texts) + 1) * width).tolist(), (4 * count).tolist()
+        return [self.stretch(t) if alone else raw[e - n:e] for t, e, n, alone in zip(texts, ends, sizes, spelled.tolist())]
+
+    def _known_pairs(self, keys: np.ndarray) -> np.ndarray:
+        """Whether the two tokens of each key fit; a table by hash answers for pairs tested before."""
+        spot = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE)
+        spot = spot.astype(np.int64)
+        out, missed = self.answers[spot], np.flatnonzero(self.asked[spot] != keys)
+        if len(missed):
+            some, which = np.unique(keys[missed], return_inverse=True)
+            answer = np.array([self.fits(k >> 16, k & 0xFFFF) for k in some.tolist()], bool)
+            out[missed] = answer[which]
+            at = ((some.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE)).astype(np.int64)
+            # of keys for one spot the last stays, with its own answer
+            _, chosen = np.unique(at[::-1], return_index=True)
+            chosen = len(at) - 1 - chosen
+            self.asked[at[chosen]], self.answers[at[chosen]] = some[chosen], answer[chosen]
+        return out
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts without an end id. Stretches that are not known yet are worked out together."""
+        parts = [self.stretches.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        known = self.known.ready(set(chain.from_iterable(parts)))
+        return [np.frombuffer(b"".join(map(known.__getitem__, p)), "<u4") for p in parts]
+
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a text without an end id."""
-        if not text:
-            return np.zeros(0, "<u4")
-        self.known.renew()
-        found = self.stretches.findall(SPACE + text.replace(" ", SPACE))
-        return np.frombuffer(b"".join(map(self.known.__getitem__, found)), "<u4")
+        return self.encode_many([text])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids: the space sign in front goes, control ids are silent, each byte that is no UTF-8 becomes a replacement sign."""
@@ -192,25 +256,29 @@ def _letters(raw: bytes) -> str:
     return "".join(out)
 
 
-class _Known(dict):
-    """Ids of short stretches; longer ones are worked out each time. When it is full, those not met since the last time go."""
+class _Known:
+    """Ids of the stretches met lately. When they are too many, those not met since the last time go."""
 
     def __init__(self, pieces: Pieces):
-        super().__init__()
-        self.pieces, self.older = pieces, {}
-
-    def renew(self) -> None:
-        if len(self) > WORDS:
-            self.older = dict(self)
-            self.clear()
-
-    def __missing__(self, text: str) -> bytes:
-        ids = self.older.get(text)
-        if ids is None:
-            ids = self.pieces.stretch(text)
-        if len(text) <= SHORT:
-            self[text] = ids
-        return ids
+        self.pieces, self.held, self.older = pieces, {}, {}
+
+    def ready(self, stretches: set[str]) -> Mapping[str, bytes]:
+        """A mapping that holds all these stretches; long ones are not kept, so that the memory stays bounded."""
+        if len(self.held) > WORDS:
+            self.held, self.older = {}, self.held
+        held, older, long = self.held, self.older, {}
+        new = []
+        for text in stretches.difference(held):
+            if text in older:
+                held[text] = older[text]
+            elif len(text) <= SHORT:
+                new.append(text)
+            else:
+                long[text] = self.pieces.stretch(text)
+        for low in range(0, len(new), TOGETHER):
+            some = new[low:low + TOGETHER]
+            held.update(zip(some, self.pieces.stretches_of(some)))
+        return ChainMap(long, held) if long else held
 
 
 @lru_cache(maxsize=2)
@@ -225,13 +293,27 @@ def lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.astype(np.int32)))
 
 
+def slices(texts: list[str | None], size: int) -> Iterator[list[str | None]]:
+    """Runs of texts of about `size` code points; a longer text is one of its own."""
+    held, total = [], 0
+    for text in texts:
+        held.append(text)
+        total += len(text or "")
+        if total >= size:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
+
+
 def encoder(path: str = MODEL, end: bool = True):
     """Column function: ids of whole texts as an array of integers, with the end id last where it is asked for."""
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
         code = pieces(path)
         tail = np.array([code.end] if end else [], "<u4")
-        return lists([np.concatenate([code.encode(t.as_py()), tail]) for t in texts])
+        found = chain.from_iterable(map(code.encode_many, slices(texts.to_pylist(), SLICE)))
+        return lists([np.concatenate([ids, tail]) for ids in found])
 
     return encode
 
