@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from hitsieve.llm.bpe import LEAF, VOCABULARY, Codec, encode_tree
 from hitsieve.llm.common import in_blocks, store, table
-from hitsieve.llm.piecetable import MODEL, lists, pieces
+from hitsieve.llm.piecetable import MODEL, SPACE, lists, pieces
 
 SPAN = 16  # bits of a document's number that are its place in a bitmap; the bits above are the bitmap's span
 DENSE = 1 << SPAN - 4  # documents from which a bitmap is written bit by bit; with fewer it is a list of places
-SLICE = 1 << 20  # code points of the texts that are aligned in one step
-LINKS = 1 << 21  # links a task holds before it writes their bitmaps
+SLICE = 1 << 19  # code points of the texts that are aligned in one step
+LINKS = 1 << 20  # links a task holds before it writes their bitmaps
 
 
 class PlainCodec(Codec):
@@ -38,17 +38,17 @@ class Pair:
         words = [str(i) for i in range(max(len(self.size_a), len(self.size_b)))]
         self.inner, self.bar, self.last = (np.array([w + sign for w in words], object) for sign in (",", "|", ";"))
 
-    def ids(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the space and the text by A, and of the text by B (which adds the space); none where bytes differ."""
-        none = np.zeros(0, "<u4")
-        if not text:
-            return none, none
-        whole = f" {text}"
-        raw = whole.encode()
-        a = encode_tree(self.a, whole) if len(whole) > LEAF else self.a.encode(whole)
-        b = self.b.encode(text)
-        same = self.a.decode_bytes(a) == raw and b"".join(map(self.b.raw.__getitem__, b.tolist())) == raw
-        return (a, b) if same else (none, none)
+    def ids(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of the space and each text by A, and of the text by B (which adds the space); none where bytes differ."""
+        # B takes its own space sign for a space; it spells all else in letters or bytes
+        texts = [t if t and SPACE not in t else "" for t in texts]
+        none, out = np.zeros(0, "<u4"), []
+        for text, b in zip(texts, self.b.encode_many(texts)):
+            whole = f" {text}"
+            a = encode_tree(self.a, whole) if len(whole) > LEAF else self.a.encode(whole)
+            same = text and self.size_a[a].sum() == self.size_b[b].sum() == len(whole.encode())
+            out.append((a, b) if same else (none, none))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -67,7 +67,7 @@ def linked(code: Pair, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _aligned_slice(code: Pair, texts: list[str | None]) -> dict[str, pa.Array]:
-    found = [code.ids(t) for t in texts]
+    found = code.ids(texts)
     size_a, size_b = (np.array([len(f[k]) for f in found], np.int64) for k in (0, 1))
     a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
     ends_a, ends_b, link_a, _ = linked(code, a, b)
