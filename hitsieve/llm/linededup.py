@@ -23,12 +23,13 @@ def line_key(line: Column) -> Column:
 def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES) -> DataFrame:
     """(doc_id, row, pos, h1, h2, batch) for each line whose key is long enough.
 
-    `row` is the hash of the text, so rows that repeat an id with other texts keep their own lines.
+    `row` is the hash of the text, so rows that repeat an id with other texts keep their own lines. All rows of an id
+    are in one batch, so that adding up the batches' documents counts none twice.
     """
     lines = docs.select("doc_id", F.xxhash64(text_of()).alias("row"), F.posexplode(F.split(text_of(), "\n")).alias("pos", "line"))
     keyed = lines.where(F.length("line") >= min_chars).withColumn("key", line_key(F.col("line"))).where(F.length("key") >= min_chars)
     return keyed.select("doc_id", "row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"),
-                        F.pmod(F.xxhash64("doc_id", "row"), F.lit(batches)).cast("int").alias("batch"))
+                        F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"))
 
 
 class LineRuns:
@@ -101,14 +102,16 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     """
     lines = store(occurrences(docs, min_chars, batches).where("doc_id is not null"), "lines")
     runs = LineRuns(docs.sparkSession)
-    for b in range(batches):
-        runs.add(lines.where(F.col("batch") == b).select("doc_id", "h1", "h2"))
-    often = store(runs.totals().where(F.col("n") >= min_docs).select("h1", "h2", "top"), "often")
+    try:
+        for b in range(batches):
+            runs.add(lines.where(F.col("batch") == b).select("doc_id", "h1", "h2"))
+        often = store(runs.totals().where(F.col("n") >= min_docs).select("h1", "h2", "top"), "often")
+    finally:
+        runs.drop()
     gone = (lines.join(often, ["h1", "h2"]).where(F.col("doc_id") != F.col("top"))
             .select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "pos")
             .groupBy("_id", "_row").agg(F.collect_set("pos").alias("_gone")))
     gone = store(gone, "gone")
-    runs.drop()
     rest = docs.drop("n_lines", "n_dropped", "kept_text")
     joined = rest.withColumn("_hash", F.xxhash64(text_of())).join(
         gone, (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_row")), "left")

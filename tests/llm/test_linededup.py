@@ -35,6 +35,17 @@ def test_against_plain_version(spark):
     assert linededup.drop_lines(docs.limit(0).drop("_gone")).count() == 0
 
 
+def test_many_texts_of_one_id_are_one_document(spark):
+    line = "one line that is long enough for anything, said the sign"
+    docs = spark.createDataFrame([(1, f"{line}\n{k}") for k in range(40)] + [(2, line)], "doc_id long, text string")
+    for batches in (1, 2, 3, 4, 9):
+        assert linededup.drop_lines(docs, batches=batches).agg({"n_dropped": "sum"}).first()[0] == 0
+    more = docs.union(spark.createDataFrame([(k, line) for k in (3, 4, 5)], "doc_id long, text string"))
+    for batches in (1, 4, 9):
+        got = linededup.drop_lines(more, batches=batches).where("n_dropped > 0").groupBy("doc_id").count().collect()
+        assert sorted(map(tuple, got)) == [(1, 40), (2, 1), (3, 1), (4, 1)]
+
+
 def test_runs_hold_each_hash_once(spark):
     rows = spark.range(300).selectExpr("id as doc_id", "id % 50 as h1", "id % 50 as h2", "id div 60 as batch")
     runs = linededup.LineRuns(spark)
