@@ -11,17 +11,42 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from hitsieve.llm.common import table
 
 END = "\r\n"
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style|template|noscript)\b.*?</\1\s*>", re.S | re.I)
-_BREAK = re.compile(r"<\s*/?\s*(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|footer|header|title|head|body|blockquote|pre)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[!/?a-zA-Z][^>]*>?")
+_HIDES = re.compile(r"<!--|<(script|style|template|noscript)\b", re.I)
+_ENDS = {name: re.compile(rf"</{name}\s*+>", re.I) for name in ("script", "style", "template", "noscript")}
+_TAG = re.compile(r"<(?:\s*+(?:/\s*+)?+(p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|footer|header|title|head|body|blockquote|pre)\b"
+                  r"|[!/?a-zA-Z])[^>]*+>?", re.I)
+_ZEROS, _HUGE = re.compile(r"(?<=&#)0{2,}"), re.compile(r"&#(?:[0-9]{8,}|[xX]0*+[1-9a-fA-F][0-9a-fA-F]{6,});?")
 _SPACE = re.compile(r"[ \t\r\f\v ]+")
 _LINES = re.compile(r" ?\n[ \n]*")
 
 
+def shown_parts(page: str) -> str:
+    """A page without comments, scripts and the like; one that is not closed hides all that follows.
+
+    The scan only goes forward: a closing mark is looked for from where its opening one ended, and the first that is
+    missing ends the scan.
+    """
+    out, at = [], 0
+    while found := _HIDES.search(page, at):
+        out.append(page[at:found.start()])
+        name = (found[1] or "").lower()
+        if name:
+            close = _ENDS[name].search(page, found.end())
+            at = close.end() if close else len(page)
+        else:
+            close = page.find("-->", found.end())
+            at = close + 3 if close >= 0 else len(page)
+    return " ".join([*out, page[at:]])
+
+
 def visible_text(page: str) -> str:
-    """Text of a page: scripts, styles and comments go, block tags break lines, entities are decoded, blanks squeezed."""
-    body = _TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub(" ", page)))
-    return _LINES.sub("\n", _SPACE.sub(" ", html.unescape(body))).strip()
+    """Text of a page: scripts, styles and comments go, block tags break lines, entities are decoded, blanks squeezed.
+
+    Takes time in proportion to the page, closed or not. A numeric entity beyond all code points is a replacement sign.
+    """
+    body = _TAG.sub(lambda m: "\n" if m[1] and m[0].endswith(">") else "", shown_parts(page))
+    body = html.unescape(_HUGE.sub("\ufffd", _ZEROS.sub("0", body)))
+    return _LINES.sub("\n", _SPACE.sub(" ", body)).strip()
 
 
 @F.arrow_udf(T.StringType())
@@ -32,8 +57,9 @@ def _visible(pages: pa.Array) -> pa.Array:
 def urn(*parts: Column) -> Column:
     """A record identifier that follows from its parts, so that a repeated run names its records alike."""
     h = F.md5(F.concat_ws("\x1f", *parts).cast("binary"))
-    cut = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
+    a, b, c, d, e = (F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (14, 3), (18, 3), (21, 12)))
+    # version 3 (a name's md5) and the variant bits of a UUID
+    return F.concat(F.lit("<urn:uuid:"), a, F.lit("-"), b, F.lit("-3"), c, F.lit("-8"), d, F.lit("-"), e, F.lit(">"))
 
 
 def digest(text: Column) -> Column:
@@ -98,7 +124,9 @@ def derive(records: DataFrame) -> DataFrame:
     page = F.col("_kind").isin("text/html", "application/xhtml+xml")
     status = F.nullif(F.regexp_extract("block", r"^HTTP/\S+ (\d{3})", 1), F.lit("")).cast("int")
     links = F.when(page, F.regexp_extract_all("_body", F.lit(r"(?i)\b(?:href|src)\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1))).otherwise(F.array().cast("array<string>"))
-    title = F.when(page, F.nullif(F.trim(F.regexp_extract("_body", r"(?is)<title[^>]*>(.*?)</title", 1)), F.lit("")))
+    # the first title alone is looked at, so a page of unclosed titles is not searched again from each of them
+    first = F.substr("_body", F.greatest(F.regexp_instr("_body", F.lit(r"(?i)<title\b")), F.lit(1)))
+    title = F.when(page, F.nullif(F.trim(F.regexp_extract(first, r"(?is)\A<title[^>]*+>(.*?)</title", 1)), F.lit("")))
     described = F.to_json(F.struct(
         F.col("refers_to").alias("WARC-Refers-To"), F.col("target_uri").alias("WARC-Target-URI"), F.col("warc_date").alias("WARC-Date"),
         F.col("headers").alias("Source-Headers"), F.col("source_block_digest").alias("Source-Block-Digest"), F.col("payload_digest").alias("Source-Payload-Digest"),

@@ -1,6 +1,8 @@
 import gzip
 import hashlib
 import json
+import re
+import time
 from html.parser import HTMLParser
 
 from hitsieve.llm import derivatives as D
@@ -35,6 +37,26 @@ def test_visible_text_of_all_pages(spark):
         assert D.visible_text(r.html).split() == "".join(reader.out).split()
 
 
+def test_unclosed_marks_take_linear_time_and_hide_the_rest():
+    for mark in ("<!-- ", "<script ", "<script>", "<style>x", "<p ", "<template>", "< ", "</script ", "&#1", "<title>", "\n "):
+        start = time.process_time()
+        D.visible_text(mark * (5_000_000 // len(mark)))
+        assert time.process_time() - start < 8, mark
+    for end in ("&#" + "1" * 50_000, "<" + " " * 1_000_000 + "p"):
+        D.visible_text(end)
+    assert D.visible_text("a<script>x</SCRIPT >b<!-- c --> d<style>e{}<p>f") == "a b d"
+    assert D.visible_text("x<!-- y") == "x" and D.visible_text("&#00065;&#99999999999;") == "A\ufffd"
+
+
+def test_titles_of_unclosed_pages_are_found_once(spark):
+    page = "<title " * 40_000 + "<title>" * 40_000
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n{page}"
+    frame = spark.createDataFrame([("<r>", "u", "d", "response", {}, block)], "record_id string, target_uri string, warc_date string, warc_type string, "
+                                                                              "headers map<string,string>, block string")
+    got = D.derive(frame).where("warc_type = 'metadata'").first()
+    assert "Title" not in json.loads(got.content) and re.fullmatch("<urn:uuid:[0-9a-f]{8}-[0-9a-f]{4}-3[0-9a-f]{3}-8[0-9a-f]{3}-[0-9a-f]{12}>", got.record_id)
+
+
 def test_records(spark, tmp_path):
     page = "<html><title>A &amp; B</title><body><p>x&eacute;<br>y</p><a href='/l'>z</a><script>no</script></body></html>"
     block = f"HTTP/1.1 404 Not Found\r\nContent-Type: Text/HTML; charset=utf-8\r\nX-A: 1\r\nX-A: 2\r\n\r\n{page}"
