@@ -68,8 +68,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST,
     the rest is found among at most SLOTS cells, twice, and only the rows of one cell in SLOTS**2 are ordered.
 
     Nulls: a null text has size 0, a null source is a source of its own (ordered last), a null doc_id is drawn by its
-    text. Documents of size 0 are taken in complete epochs only. Repeated rows are drawn together (equal keys) and
-    ordered arbitrarily among themselves, which changes no count. An empty table gives an empty one.
+    text. Documents of size 0 are taken in complete epochs only. Repeated rows have equal keys; they are counted before
+    anything is ordered, and as many of their copies as fit are taken where the border falls among them. An empty table
+    gives an empty one.
     """
     spark = docs.sparkSession
     rows = docs.select(row_hash(seed).alias("row"), "doc_id", "source", size_of(F.col("text")).alias("size"),
@@ -92,18 +93,33 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST,
     coarse = crossing(drawn, rest, F.floor(F.col("spot") / SLOTS), "coarse")
     inside = drawn.join(coarse, same & (F.floor(F.col("spot") / SLOTS) == F.col("coarse"))).select("source", "spot", "size")
     fine = crossing(inside, coarse.select("_source", "rest"), F.col("spot"), "border")
-    edge = drawn.join(fine, same & (F.col("spot") == F.col("border")))
-    order = Window.partitionBy("source").orderBy("key", "row").rowsBetween(Window.unboundedPreceding, -1)
-    edge = edge.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0))).where(
-        F.col("before") + F.col("size") / 2 <= F.col("rest"))
-    last = edge.groupBy("source").agg(F.max(F.struct("key", "row")).alias("last"))
-    cut = (fine.join(last, last["source"].eqNullSafe(fine["_source"]), "left").select("_source", "border", "last"))
-    cut = plan.join(cut, same, "left").select(F.col("source").alias("_source"), "source_size", "target", "epochs", "rest", "border", "last")
+    edge = drawn.join(fine, same & (F.col("spot") == F.col("border")) & (F.col("size") > 0))
+    # equal rows are one row with a number of copies before anything is ordered
+    edge = edge.groupBy("source", "key", "row", "doc_id", "size").agg(F.count("*").alias("copies"), F.first("rest").alias("rest"))
+    order = Window.partitionBy("source").orderBy("key", "row", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    room = (F.col("rest") - F.coalesce(F.sum(F.col("size") * F.col("copies")).over(order), F.lit(0))) / F.col("size")
+    edge = edge.withColumn("taken", F.least(F.greatest(F.floor(room + 0.5), F.lit(0)), F.col("copies")).cast("long"))
+    edge = store(edge.where("taken > 0"), "edge")
+    full = edge.where("taken = copies").groupBy("source").agg(F.max(F.struct("key", "row")).alias("last"))
+    part = edge.where("taken < copies").select(F.col("source").alias("_part_source"), F.col("row").alias("_part_row"), "copies", "taken")
+    cut = fine.join(full, full["source"].eqNullSafe(fine["_source"]), "left").select("_source", "border", "last")
+    cut = cut.join(part, F.col("_source").eqNullSafe(F.col("_part_source")), "left").select("_source", "border", "last", "_part_row", "copies", "taken")
+    cut = plan.join(cut, same, "left").select(F.col("source").alias("_source"), "source_size", "target", "epochs", "rest", "border", "last",
+                                              "_part_row", "copies", "taken")
     cut = store(cut, "cuts")
     below = (F.col("spot") < F.col("border")) | (
         (F.col("spot") == F.col("border")) & F.coalesce(F.struct("key", "row") <= F.col("last"), F.lit(False)))
-    times = F.col("epochs") + F.when((F.col("size") > 0) & (F.col("rest") > 0) & F.coalesce(below, F.lit(False)), 1).otherwise(0)
-    return drawn.join(cut, same).select("row", "doc_id", "source", "size", "source_size", "target", times.cast("long").alias("times"))
+    split = F.coalesce((F.col("row") == F.col("_part_row")) & (F.col("size") > 0), F.lit(False))
+    joined = drawn.join(cut, same)
+    more = F.when((F.col("size") > 0) & (F.col("rest") > 0) & F.coalesce(below, F.lit(False)), 1).otherwise(0)
+    names = ["row", "doc_id", "source", "size", "source_size", "target"]
+    plain = joined.where(~split).select(*names, (F.col("epochs") + more).cast("long").alias("times"))
+    # the row whose copies the border parts: so many with one more, the others without
+    border = joined.where(split).groupBy(*names, "epochs", "copies", "taken").count()
+    given = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")
+    parted = border.select(*names, "epochs", "taken", given).select(
+        *names, (F.col("epochs") + (F.col("_copy") <= F.col("taken")).cast("int")).cast("long").alias("times"))
+    return plain.unionByName(parted)
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,9 +129,27 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document as often as the mix takes it; documents that it does not take go."""
-    times = mix(docs).where("times > 0").select(F.col("row").alias("_row"), "times").groupBy("_row").agg(F.max("times").alias("_times"))
-    found = docs.withColumn("_at", row_hash(SEED)).join(times, F.col("_at") == F.col("_row"))
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
+    times = mix(docs).groupBy(F.col("row").alias("_row")).agg(F.min("times").alias("_least"), F.max("times").alias("_times"),
+                                                              F.sum("times").alias("_sum"))
+    times = store(times.where("_times > 0"), "times")
+    border = store(times.where("_least < _times"), "border")  # at most a row for each source
+    keyed = docs.withColumn("_at", row_hash(SEED))
+    even = keyed.join(times.where("_least = _times"), F.col("_at") == F.col("_row"))
+    copies = F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))
+    if border.isEmpty():
+        return even.withColumn("_copy", copies).select(*docs.columns)
+    # copies of one row that the border parts: numbered within each part of the table, then across its parts
+    odd = store(keyed.join(border, F.col("_at") == F.col("_row")).withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id()}), "parted")
+    counts = odd.groupBy("_at", "_p").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy("_at").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.select(F.col("_at").alias("_a"), F.col("_p").alias("_q"), F.coalesce(upto, F.lit(0)).alias("_before"),
+                           F.sum("_c").over(Window.partitionBy("_at")).alias("_all"))
+    place = F.row_number().over(Window.partitionBy("_at", "_p").orderBy("_i"))
+    ranked = odd.withColumn("_r", place).join(before, (F.col("_at") == F.col("_a")) & (F.col("_p") == F.col("_q")))
+    extra = F.col("_sum") - F.col("_least") * F.col("_all")
+    parted = ranked.withColumn("_times", F.col("_least") + (F.col("_r") + F.col("_before") <= extra).cast("int")).where("_times > 0")
+    every = even.select(*docs.columns, "_times").unionByName(parted.select(*docs.columns, "_times"))
+    return every.withColumn("_copy", copies).select(*docs.columns)
 
 
 OP3_SQL = f"""

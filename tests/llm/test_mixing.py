@@ -54,3 +54,23 @@ def test_better_documents_are_taken_more_often(spark):
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("source = 'a'").collect()
     share = [sum(r.times for r in got if r.doc_id % 2 == k) for k in (0, 1)]
     assert share[1] > 1.5 * share[0] > 0
+
+
+def test_copies_of_a_row_are_parted_at_the_border(spark):
+    rows = [(1, "ten words " * 5, "a")] * 600 + [(i, "ten words " * 5, "a") for i in range(2, 402)] + [(9000 + i, "w " * 10, "b") for i in range(5000)]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, source string, _copy long")
+    for seed in range(5):
+        got = mixing.mix(docs, (1, 8), seed=seed).collect()
+        assert len(got) == len(rows)
+        for source in "ab":
+            here = [r for r in got if r.source == source]
+            assert abs(sum(r.size * r.times for r in here) - here[0].target) <= 5
+            assert max(r.times for r in here) - min(r.times for r in here) <= 1
+    docs = docs.withColumn("text", docs.text)
+    times = collections.Counter()
+    for r in mixing.mix(docs).collect():
+        times[r.doc_id] += r.times
+    kept = mixing.mix_sources(spark, docs.repartition(5), None)
+    assert kept.columns == docs.columns
+    found = collections.Counter(r.doc_id for r in kept.collect())
+    assert found == +times and max(collections.Counter(r._copy for r in kept.collect()).values()) <= 3
