@@ -15,9 +15,11 @@ PER_CELL, MOST_PIVOTS = 2048, 1024  # a pivot for so many vectors; the pivots of
 SLACK = 1e-9  # rounding of distances, in favour of copying a vector to a cell
 
 
-def _unit(data: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Rows of float32 bytes, all of one length, as unit vectors in double precision."""
-    rows = np.stack([np.frombuffer(x.as_py(), "<f4") for x in data]).astype(np.float64)
+def _unit(data: pa.ChunkedArray | pa.Array, kind: str) -> np.ndarray:
+    """Rows of float bytes, all of one length, as unit vectors in double precision; sizes whose squares overflow are scaled first."""
+    rows = np.stack([np.frombuffer(x.as_py(), kind) for x in data]).astype(np.float64)
+    most = np.abs(rows).max(axis=1, keepdims=True)
+    rows = rows / np.where((most > 1e100) | (most < 1e-100), most, 1.0)
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
@@ -29,8 +31,8 @@ class _Cells:
     pivots, (d(x, c)**2 - d(x, h)**2) / (2 * d(h, c)), is at most `reach`. Both bounds hold for every link.
     """
 
-    def __init__(self, pivots, reach: float):
-        self.pivots, self.reach = pivots, reach
+    def __init__(self, pivots, reach: float, kind: str):
+        self.pivots, self.reach, self.kind = pivots, reach, kind
 
     def __call__(self, batches):
         by_size = self.pivots.value
@@ -45,7 +47,7 @@ class _Cells:
                     cell.append(np.zeros(len(at), np.int64))
                     home.append(np.ones(len(at), bool))
                     continue
-                unit = _unit(batch.column("vec").take(pa.array(at)))
+                unit = _unit(batch.column("vec").take(pa.array(at)), self.kind)
                 gap = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))
                 square = np.maximum(0, 2 - 2 * unit @ pivots.T)
                 own = square.argmin(axis=1)
@@ -64,7 +66,7 @@ class _Cells:
                                                  ["label", "dim", "rep", "copies", "vec", "cell", "home"])
 
 
-def _pivots(classes: DataFrame) -> dict[int, np.ndarray]:
+def _pivots(classes: DataFrame, kind: str) -> dict[int, np.ndarray]:
     """Unit pivots of the lengths that hold more than PER_CELL classes, the most frequent lengths first, at most MOST_PIVOTS in all.
 
     Any pivots give the same links, and so does a length without: its one cell is split into blocks like any large cell.
@@ -83,18 +85,17 @@ def _pivots(classes: DataFrame) -> dict[int, np.ndarray]:
     # an even sample of some more than k of each length, so that the ranking sees few rows whatever the length holds
     some = classes.join(asked, "dim").where(F.pmod("h1", "n") < 4 * F.col("k") + 64)
     rank = F.row_number().over(Window.partitionBy("dim").orderBy("h1", "h2"))
-    found: dict[int, list[np.ndarray]] = {}
+    found: dict[int, list] = {}
     for r in some.withColumn("_at", rank).where("_at <= k").select("dim", "vec").collect():
-        found.setdefault(r["dim"], []).append(np.frombuffer(r["vec"], "<f4"))
-    pivots = {dim: np.stack(p).astype(np.float64) for dim, p in found.items()}
-    return {dim: p / np.linalg.norm(p, axis=1, keepdims=True) for dim, p in pivots.items()}
+        found.setdefault(r["dim"], []).append(bytes(r["vec"]))
+    return {dim: _unit(pa.array(p, pa.binary()), kind) for dim, p in found.items()}
 
 
 class _Match:
     """Links of the probing rows of each block with its other rows, and a spanning forest of what is linked."""
 
-    def __init__(self, cosine: float):
-        self.cosine = cosine
+    def __init__(self, cosine: float, kind: str):
+        self.cosine, self.kind = cosine, kind
 
     def __call__(self, whole: pa.Table) -> pa.Table | None:
         reps, probe, copies = (whole.column(c).to_numpy() for c in ("rep", "probe", "copies"))
@@ -105,7 +106,7 @@ class _Match:
             has = np.flatnonzero(~probe[begin:end]) + begin
             if not len(asks) or not len(has):
                 continue
-            near = _unit(whole.column("vec").take(pa.array(asks))) @ _unit(whole.column("vec").take(pa.array(has))).T >= self.cosine
+            near = _unit(whole.column("vec").take(pa.array(asks)), self.kind) @ _unit(whole.column("vec").take(pa.array(has)), self.kind).T >= self.cosine
             near &= reps[asks][:, None] != reps[has][None, :]
             i, j = np.nonzero(near)
             if not len(i):
@@ -136,7 +137,8 @@ def range_join(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     different length never are. Null, empty and zero vectors, those with null or non-finite components, and rows without
     label link with nothing and are their own component. Equal vectors of a label are one class before anything is
     compared, so `n_links` counts copies without pairing them. Repeated rows count as copies; a null vec_id stands for
-    id -1; rows of one id share its component. An empty table gives an empty one.
+    id -1. Different vectors of one id, or without id, are different nodes with their own links and components. An
+    empty table gives an empty one. An array of doubles is compared as such.
 
     Unit vectors are dealt to the cells of their nearest pivot (an even sample of the data, one for PER_CELL vectors of
     a length; lengths with fewer vectors, and those that MOST_PIVOTS leaves without, have one cell) and copied to every cell that may hold a partner. Each cell is joined on its own, each label apart; a large cell is
@@ -144,22 +146,25 @@ def range_join(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     Every link of a vector is found in its home cell.
     """
     spark = vectors.sparkSession
+    wide = vectors.schema["embedding"].dataType.simpleString() != "array<float>"
+    kind = "<f8" if wide else "<f4"
     rows = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(-1)).alias("vec_id"), "label",
-                          F.col("embedding").cast("array<float>").alias("embedding"))
+                          F.col("embedding").cast("array<double>" if wide else "array<float>").alias("embedding"))
     fine = F.col("label").isNotNull() & usable(F.col("embedding"))
     keyed = store(rows.withColumn("fine", fine).withColumns({"h1": F.xxhash64("label", "embedding"), "h2": F.xxhash64("embedding", "label")}), "vectors")
     classes = keyed.where("fine").groupBy("h1", "h2").agg(
-        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
+        F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
+    classes = classes.withColumn("rep", F.xxhash64("h1", "h2"))  # the class is the node, not an id that several may bear
 
     @F.arrow_udf("binary")
     def packed(lists: pa.Array) -> pa.Array:
-        return pa.array([np.array(x.as_py(), "<f4").tobytes() for x in lists], pa.binary())
+        return pa.array([np.array(x.as_py(), kind).tobytes() for x in lists], pa.binary())
 
-    classes = store(classes.select("h1", "h2", "rep", "copies", "label", F.size("embedding").alias("dim"), packed("embedding").alias("vec")), "classes")
-    pivots = _pivots(classes)
+    classes = store(classes.select("h1", "h2", "rep", "least", "copies", "label", F.size("embedding").alias("dim"), packed("embedding").alias("vec")), "classes")
+    pivots = _pivots(classes, kind)
     reach = float(np.sqrt(2 - 2 * cosine))
     cells = classes.select("label", "dim", "rep", "copies", "vec").mapInArrow(
-        _Cells(spark.sparkContext.broadcast(pivots), reach), "label int, dim int, rep long, copies long, vec binary, cell int, home boolean")
+        _Cells(spark.sparkContext.broadcast(pivots), reach, kind), "label int, dim int, rep long, copies long, vec binary, cell int, home boolean")
     cells = store(cells.withColumn("key", F.xxhash64("label", "dim", "cell")), "cells")
     sizes = cells.groupBy("key").agg(F.ceil(F.count_if("home") / BLOCK).cast("int").alias("kh"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("ka"))
     placed = cells.join(sizes, "key")
@@ -168,13 +173,14 @@ def range_join(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     asks = placed.where("home").withColumns({"x": part("kh"), "y": others("ka")}).withColumn("probe", F.lit(True))
     has = placed.where("kh > 0").withColumns({"y": part("ka"), "x": others("kh")}).withColumn("probe", F.lit(False))
     blocks = asks.unionByName(has).select(F.xxhash64("key", "x", "y").alias("blk"), "rep", "copies", "vec", "probe")
-    exact = store(in_blocks(blocks, "blk", _Match(cosine), "rep long, links long, root long"), "exact")
+    exact = store(in_blocks(blocks, "blk", _Match(cosine, kind), "rep long, links long, root long"), "exact")
     linked = exact.groupBy("rep").agg(F.sum("links").alias("links"))
-    groups = components(exact.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    named = (classes.select("h1", "h2", "rep", "copies").join(linked, "rep", "left")
-             .join(groups.select(F.col("id").alias("rep"), "label"), "rep", "left")
-             .select("h1", "h2", F.lit(True).alias("fine"), F.coalesce("label", "rep").alias("component_id"),
-                     (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    groups = components(exact.select(F.col("rep").alias("a"), F.col("root").alias("b"))).select(F.col("id").alias("rep"), F.col("label").alias("group"))
+    members = classes.select("h1", "h2", "rep", "least", "copies").join(linked, "rep", "left").join(groups, "rep", "left")
+    smallest = members.where("group is not null").groupBy("group").agg(F.min("least").alias("first"))
+    named = members.join(smallest, "group", "left").select(
+        "h1", "h2", F.lit(True).alias("fine"), F.coalesce("first", "least").alias("component_id"),
+        (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     whole = keyed.select("vec_id", "fine", "h1", "h2").join(named, ["h1", "h2", "fine"], "left")
     return whole.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
                         ).withColumn("kept", F.col("vec_id") == F.col("component_id"))

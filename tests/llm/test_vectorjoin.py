@@ -83,3 +83,17 @@ def test_more_lengths_than_any_bound(spark, most, monkeypatch):
     want = plain(rows)
     assert sum(r[1] for r in want) > 1000
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectorjoin.range_join(table).collect()) == want
+
+
+def test_different_vectors_of_one_id_are_different_nodes(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.999, 0.01, 0.0]
+    rows = [(None, a, 1), (None, c, 1), (5, a, 1), (6, b, 1), (6, c, 1), (7, b, 1)]
+    got = vectorjoin.range_join(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [
+        (-1, 3, -1), (-1, 3, -1), (5, 3, -1), (6, 1, 6), (6, 3, -1), (7, 1, 6)]
+
+
+def test_doubles_are_not_rounded(spark):
+    rows = [(1, [1e39, 0.0], 1), (2, [1e39, 1.0], 1), (3, [1e300, 0.0], 1), (4, [1e-300, 1e-303], 1), (5, [1.0, 0.2032], 1), (6, [0.0, 1e-320], 1)]
+    got = vectorjoin.range_join(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links) for r in got) == [(1, 3), (2, 3), (3, 3), (4, 3), (5, 0), (6, 0)]
