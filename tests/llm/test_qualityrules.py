@@ -44,6 +44,32 @@ def test_divergence():
     assert Q.divergence(p, q) == pytest.approx(Q.divergence(q, p)) and Q.divergence(p * 0, q) == 0
 
 
+def test_divergence_of_many_rows():
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 4, (50, 6)).astype(float), rng.integers(0, 4, (50, 6)).astype(float)
+    a[3], b[4] = 0, 0
+
+    def one(p, q):
+        if not p.sum() or not q.sum():
+            return 0.0
+        p, q = p / p.sum(), q / q.sum()
+        return sum(x * np.log2(x / ((x + y) / 2)) for v, w in ((p, q), (q, p)) for x, y in zip(v, w) if x) / 2
+
+    assert Q.divergence(a, b) == pytest.approx(np.array([one(p, q) for p, q in zip(a, b)]))
+
+
+def test_word_bound_falls_with_length(spark):
+    """Words in wrong shares pass as a short text and fail as a long one."""
+    rng = random.Random(4)
+    prose = lambda n, words: " ".join(rng.choice(words) for _ in range(n))
+    common = Q.COMMON["en"].split()
+    filler = ["house", "river", "walking", "light", "stone", "green", "letter"]
+    rows = [(i, prose(400, common + filler), "en") for i in range(60)] + [(100, prose(2000, common[:30] + filler * 6), "en")]
+    got = {r.doc_id: r for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert Q.MAX_WORD_JS + Q.WORD_NOISE / 2000 < got[100].word_js < Q.MAX_WORD_JS + Q.WORD_NOISE / 50
+    assert not got[100].kept and got[100].char_js < Q.MAX_CHAR_JS
+
+
 def test_verdicts(spark):
     rng = random.Random(3)
     words = Q.COMMON["en"].split() + ["house", "river", "walking", "light", "stone", "green", "letter"]
