@@ -129,27 +129,27 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document as often as the mix takes it; documents that it does not take go."""
-    times = mix(docs).groupBy(F.col("row").alias("_row")).agg(F.min("times").alias("_least"), F.max("times").alias("_times"),
-                                                              F.sum("times").alias("_sum"))
-    times = store(times.where("_times > 0"), "times")
-    border = store(times.where("_least < _times"), "border")  # at most a row for each source
-    keyed = docs.withColumn("_at", row_hash(SEED))
-    even = keyed.join(times.where("_least = _times"), F.col("_at") == F.col("_row"))
-    copies = F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))
+    times = mix(docs).groupBy(F.col("row").alias("__mix_row")).agg(F.min("times").alias("__mix_least"), F.max("times").alias("__mix_times"),
+                                                              F.sum("times").alias("__mix_sum"))
+    times = store(times.where("__mix_times > 0"), "times")
+    border = store(times.where("__mix_least < __mix_times"), "border")  # at most a row for each source
+    keyed = docs.withColumn("__mix_at", row_hash(SEED))
+    even = keyed.join(times.where("__mix_least = __mix_times"), F.col("__mix_at") == F.col("__mix_row"))
+    copies = F.explode(F.sequence(F.lit(1), F.col("__mix_times").cast("int")))
     if border.isEmpty():
-        return even.withColumn("_copy", copies).select(*docs.columns)
+        return even.withColumn("__mix_copy", copies).select(*docs.columns)
     # copies of one row that the border parts: numbered within each part of the table, then across its parts
-    odd = store(keyed.join(border, F.col("_at") == F.col("_row")).withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id()}), "parted")
-    counts = odd.groupBy("_at", "_p").agg(F.count("*").alias("_c"))
-    upto = F.sum("_c").over(Window.partitionBy("_at").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
-    before = counts.select(F.col("_at").alias("_a"), F.col("_p").alias("_q"), F.coalesce(upto, F.lit(0)).alias("_before"),
-                           F.sum("_c").over(Window.partitionBy("_at")).alias("_all"))
-    place = F.row_number().over(Window.partitionBy("_at", "_p").orderBy("_i"))
-    ranked = odd.withColumn("_r", place).join(before, (F.col("_at") == F.col("_a")) & (F.col("_p") == F.col("_q")))
-    extra = F.col("_sum") - F.col("_least") * F.col("_all")
-    parted = ranked.withColumn("_times", F.col("_least") + (F.col("_r") + F.col("_before") <= extra).cast("int")).where("_times > 0")
-    every = even.select(*docs.columns, "_times").unionByName(parted.select(*docs.columns, "_times"))
-    return every.withColumn("_copy", copies).select(*docs.columns)
+    odd = store(keyed.join(border, F.col("__mix_at") == F.col("__mix_row")).withColumns({"__mix_p": F.spark_partition_id(), "__mix_i": F.monotonically_increasing_id()}), "parted")
+    counts = odd.groupBy("__mix_at", "__mix_p").agg(F.count("*").alias("__mix_c"))
+    upto = F.sum("__mix_c").over(Window.partitionBy("__mix_at").orderBy("__mix_p").rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.select(F.col("__mix_at").alias("__mix_a"), F.col("__mix_p").alias("__mix_q"), F.coalesce(upto, F.lit(0)).alias("__mix_before"),
+                           F.sum("__mix_c").over(Window.partitionBy("__mix_at")).alias("__mix_all"))
+    place = F.row_number().over(Window.partitionBy("__mix_at", "__mix_p").orderBy("__mix_i"))
+    ranked = odd.withColumn("__mix_r", place).join(before, (F.col("__mix_at") == F.col("__mix_a")) & (F.col("__mix_p") == F.col("__mix_q")))
+    extra = F.col("__mix_sum") - F.col("__mix_least") * F.col("__mix_all")
+    parted = ranked.withColumn("__mix_times", F.col("__mix_least") + (F.col("__mix_r") + F.col("__mix_before") <= extra).cast("int")).where("__mix_times > 0")
+    every = even.select(*docs.columns, "__mix_times").unionByName(parted.select(*docs.columns, "__mix_times"))
+    return every.withColumn("__mix_copy", copies).select(*docs.columns)
 
 
 OP3_SQL = f"""
