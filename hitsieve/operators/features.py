@@ -175,14 +175,16 @@ def fit_processor(train: DataFrame, bits: str, n_bits: int, descriptors: Sequenc
                   missing: MissingPolicy = MissingPolicy()) -> Processor:
     """Moments and missing-value indicators of the training rows, in one pass; a constant column has sigma 1."""
     filled, names = fill_missing(train, descriptors, missing)
-    parts = []
-    for n in names:
-        parts += [F.avg(n).alias(f"{n}|mu"), F.stddev_pop(n).alias(f"{n}|sd")]
-    got = filled.agg(*parts).first()
+    # one aggregate over the row's descriptors as a vector: a plan of two columns, however many there are
+    whole = array_to_vector(F.array(*[F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in names]))
+    seen = filled.select(Summarizer.metrics("mean", "variance", "count").summary(whole).alias("s")).first()["s"] if names else None
+    count = seen["count"] if seen else 0
+    mean = dict(zip(names, seen["mean"].toArray())) if count else {}
+    deviation = dict(zip(names, np.sqrt(seen["variance"].toArray() * max(count - 1, 0) / count))) if count else {}
     flags = [n for n in names if n not in descriptors]
-    names = [*descriptors, *[n for n in flags if (got[f"{n}|mu"] or 0.0) > 0]]
-    return Processor(bits, n_bits, list(kept), list(descriptors), names, [float(got[f"{n}|mu"] or 0.0) for n in names],
-                     [float(got[f"{n}|sd"] or 0.0) or 1.0 for n in names], missing.strategy, float(missing.impute_value), missing.suffix)
+    names = [*descriptors, *[n for n in flags if mean.get(n, 0.0) > 0]]
+    return Processor(bits, n_bits, list(kept), list(descriptors), names, [float(mean.get(n, 0.0)) for n in names],
+                     [float(deviation.get(n, 0.0)) or 1.0 for n in names], missing.strategy, float(missing.impute_value), missing.suffix)
 
 
 def assemble(df: DataFrame, fit_on: DataFrame, bits: str, kept: Sequence[int], descriptors: Sequence[str],

@@ -2,38 +2,31 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-import pandas as pd
-from pyspark import keyword_only
-from pyspark.errors import IllegalArgumentException
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier,
-                                       RandomForestClassifier)
+from pyspark.errors import IllegalArgumentException, PySparkException
+from pyspark.ml import Model, PipelineModel
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator, Evaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.ml.stat import Summarizer
-from pyspark.ml.tuning import CrossValidator
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.functions import pandas_udf
 
 from hitsieve.operators import features as FE, metrics as M
 from hitsieve.operators.clean import safe_corr
+from hitsieve.operators.manyfits import ArrayModel, Job, fit_many, fit_models  # noqa: F401
+from hitsieve.operators.similar import silhouettes
 from hitsieve.operators.splits import augment, grouped_folds, group_holdout, permuted_labels, stratified_holdout, tuning_folds
 from hitsieve.schemas import SCALED_MODELS, TrainConfig
 from hitsieve.session import cut_lineage, scratch_path
 from hitsieve.sources.sinks import read_contract, write_contract
 
-# Search spaces per family, as far as the Spark estimators have the parameter.
+# Search spaces per family.
 GRID_SPACES: dict[str, dict[str, list]] = {
     "LR": {"C": [0.1, 1.0, 10.0], "penalty": ["l1", "l2"]},
     "RFC": {"n_estimators": [200, 500], "max_depth": [None, 10], "min_samples_leaf": [1, 4]},
@@ -44,18 +37,17 @@ GRID_SPACES: dict[str, dict[str, list]] = {
 }
 RANDOM_SPACES: dict[str, dict[str, list]] = {
     "LR": {"C": [0.01, 0.1, 1.0, 10.0, 100.0], "penalty": ["l1", "l2"]},
-    "RFC": {"n_estimators": [200, 400, 700], "max_depth": [None, 6, 10, 16], "min_samples_leaf": [1, 2, 4, 8],
-            "max_features": ["sqrt", "log2", 0.5]},
-    "ETC": {"n_estimators": [200, 400, 700], "max_depth": [None, 6, 10, 16], "min_samples_leaf": [1, 2, 4, 8],
-            "max_features": ["sqrt", "log2", 0.5]},
+    "RFC": {"n_estimators": [200, 400, 700], "max_depth": [None, 6, 10, 16], "min_samples_split": [2, 4, 8, 12],
+            "min_samples_leaf": [1, 2, 4, 8], "max_features": ["sqrt", "log2", 0.5]},
+    "ETC": {"n_estimators": [200, 400, 700], "max_depth": [None, 6, 10, 16], "min_samples_split": [2, 4, 8, 12],
+            "min_samples_leaf": [1, 2, 4, 8], "max_features": ["sqrt", "log2", 0.5]},
     "SVC": {"C": [0.1, 1.0, 10.0, 50.0, 100.0], "gamma": ["scale", 0.1, 0.01, 0.001]},
     "XGBC": {"n_estimators": [200, 300, 500], "max_depth": [3, 4, 6, 8], "learning_rate": [0.01, 0.03, 0.1, 0.2],
-             "subsample": [0.7, 0.85, 1.0], "min_child_weight": [1, 3, 5]},
-    "MLP": {"hidden_layer_sizes": [(128,), (256, 128), (512, 256), (256, 128, 64)],
+             "subsample": [0.7, 0.85, 1.0], "colsample_bytree": [0.6, 0.8, 1.0], "min_child_weight": [1, 3, 5]},
+    "MLP": {"hidden_layer_sizes": [(128,), (256, 128), (512, 256), (256, 128, 64)], "alpha": [1e-5, 1e-4, 1e-3, 1e-2],
             "learning_rate_init": [1e-4, 5e-4, 1e-3, 5e-3], "max_iter": [400, 600, 800]},
 }
 SCORINGS = ("roc_auc", "average_precision", "f1", "balanced_accuracy", "mcc")
-DEEPEST = 30
 
 
 def family_columns(df: DataFrame, fit_on: DataFrame, names: Sequence[str], family: str) -> DataFrame:
@@ -69,88 +61,16 @@ def family_features(family: str) -> str:
 
 # ---- estimators ------------------------------------------------------------------------------------------------
 
-class RandomFourier(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Random Fourier features of the RBF kernel; the frequencies follow from the seed, so only parameters are saved."""
+def logistic_regression(p: dict, features: str, rows: int) -> LogisticRegression:
+    """Spark's estimator; `rows` turns C into a mean-loss penalty."""
+    return LogisticRegression(featuresCol=features, maxIter=int(p.get("max_iter", 1000)), standardization=False,
+                              regParam=1.0 / (float(p.get("C", 1.0)) * max(rows, 1)),
+                              elasticNetParam=1.0 if p.get("penalty", "l2") == "l1" else 0.0)
 
-    gamma = Param(Params._dummy(), "gamma", "kernel width", typeConverter=TypeConverters.toFloat)
-    width = Param(Params._dummy(), "width", "input length", typeConverter=TypeConverters.toInt)
-    size = Param(Params._dummy(), "size", "number of features", typeConverter=TypeConverters.toInt)
-    seed = Param(Params._dummy(), "seed", "seed", typeConverter=TypeConverters.toInt)
 
-    @keyword_only
-    def __init__(self, *, inputCol=None, outputCol=None, gamma=1.0, width=1, size=256, seed=42):
-        super().__init__()
-        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
-
-    def _transform(self, dataset):
-        g, w, s, seed = (self.getOrDefault(p) for p in (self.gamma, self.width, self.size, self.seed))
-
-        @pandas_udf("array<double>")
-        def lift(v: pd.Series) -> pd.Series:
-            rng = np.random.default_rng(seed)
-            freq = rng.normal(0.0, np.sqrt(2.0 * g), (w, s))
-            shift = rng.uniform(0.0, 2.0 * np.pi, s)
-            x = np.array([np.asarray(r, dtype=np.float64) for r in v]).reshape(len(v), w)
-            return pd.Series(list(np.sqrt(2.0 / s) * np.cos(x @ freq + shift)))
-
-        return dataset.withColumn(self.getOutputCol(), array_to_vector(lift(vector_to_array(self.getInputCol()))))
-
-
-def _forest(p: dict, seed: int, features: str, extra: bool) -> Estimator:
-    depth = p.get("max_depth")
-    if depth is not None and depth > DEEPEST:
-        raise ValueError(f"trees are at most {DEEPEST} deep")
-    pick = p.get("max_features", "sqrt")
-    return RandomForestClassifier(
-        featuresCol=features, numTrees=int(p.get("n_estimators", 200)), maxDepth=depth or DEEPEST,
-        minInstancesPerNode=int(p.get("min_samples_leaf", 1)), featureSubsetStrategy=str(pick), seed=seed,
-        bootstrap=not extra, maxBins=8 if extra else 32)
-
-
-def estimator(family: str, p: dict, seed: int, features: str, rows: int, width: int) -> Estimator:
-    """Spark estimator of a family; `rows` turns C into a mean-loss penalty, `width` sizes the network."""
-    if family == "LR":
-        return LogisticRegression(featuresCol=features, maxIter=int(p.get("max_iter", 1000)), standardization=False,
-                                  regParam=1.0 / (float(p.get("C", 1.0)) * max(rows, 1)),
-                                  elasticNetParam=1.0 if p.get("penalty", "l2") == "l1" else 0.0)
-    if family in ("RFC", "ETC"):
-        return _forest(p, seed, features, family == "ETC")
-    if family == "XGBC":
-        return GBTClassifier(featuresCol=features, maxIter=int(p.get("n_estimators", 200)),
-                             maxDepth=int(p.get("max_depth", 6)), stepSize=float(p.get("learning_rate", 0.3)),
-                             subsamplingRate=float(p.get("subsample", 1.0)),
-                             minInstancesPerNode=int(p.get("min_child_weight", 1)), seed=seed)
-    if family == "MLP":
-        hidden = [int(h) for h in p.get("hidden_layer_sizes", (256, 128))]
-        return MultilayerPerceptronClassifier(featuresCol=features, layers=[width, *hidden, 2], seed=seed,
-                                              maxIter=int(p.get("max_iter", 500)))
-    if family == "SVC":
-        return KernelSVC(p, seed, features, rows, width)
-    raise ValueError(f"unknown family: {family}")
-
-
-class KernelSVC(Estimator):
-    """RBF machine: random Fourier features, a linear machine on them and a sigmoid on its margin."""
-
-    def __init__(self, p: dict, seed: int, features: str, rows: int, width: int):
-        super().__init__()
-        self.p, self.seed, self.features, self.rows, self.width = p, seed, features, rows, width
-
-    def _fit(self, dataset: DataFrame) -> PipelineModel:
-        gamma = self.p.get("gamma", "scale")
-        if gamma == "scale":
-            got = dataset.select(Summarizer.metrics("mean", "variance", "count").summary(F.col(self.features)).alias("s")).first()["s"]
-            mean, n = got["mean"].toArray(), got["count"]
-            inner = got["variance"].toArray() * (n - 1) / n
-            var = float((inner + mean ** 2).mean() - mean.mean() ** 2) or 1.0  # of all entries, without unfolding them
-            gamma = 1.0 / (self.width * var)
-        lift = RandomFourier(inputCol=self.features, outputCol="_rff", gamma=float(gamma), width=self.width,
-                             size=int(self.p.get("size", 256)), seed=self.seed)
-        svm = LinearSVC(featuresCol="_rff", rawPredictionCol="_margin", predictionCol="_side", maxIter=100,
-                        regParam=1.0 / (float(self.p.get("C", 1.0)) * max(self.rows, 1)), standardization=False)
-        model = Pipeline(stages=[lift, svm]).fit(dataset)
-        platt = fit_sigmoid(model.transform(dataset).drop("_rff"), "_margin", "label")
-        return PipelineModel(stages=[*model.stages, platt])
+def numbered(df: DataFrame, features: str, label: str, *more: str) -> DataFrame:
+    """Feature vector, labels as an array and a row number, written once so that every task sees the same numbers."""
+    return cut_lineage(df.select(F.monotonically_increasing_id().alias("_row"), features, F.array(F.col(label).cast("double")).alias("_y"), *more))
 
 
 def fit_sigmoid(df: DataFrame, vector: str, label: str) -> Model:
@@ -175,42 +95,31 @@ def with_probability(df: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def fit_family(train: DataFrame, family: str, label: str, params: dict | None = None, seed: int = 42,
                features: str | None = None) -> Model:
+    """One model: Spark's logistic regression, or a family of `manyfits`."""
     features = features or family_features(family)
-    rows = train.select(features, F.col(label).cast("double").alias("label"))
-    n = rows.count()
-    width = rows.select(features).first()[0].size
-    return estimator(family, params or {}, seed, features, n, width).fit(rows)
-
-
-class ScoreEvaluator(Evaluator):
-    """The scoring metrics on exact counts; an undefined score counts as the worst."""
-
-    def __init__(self, scoring: str = "roc_auc"):
-        super().__init__()
-        if scoring not in SCORINGS:
-            raise ValueError(f"unknown scoring: {scoring}")
-        self.scoring = scoring
-
-    def _evaluate(self, dataset: DataFrame) -> float:
-        rows = with_probability(dataset).select(F.col("label").cast("int").alias("y_true"), "y_prob")
-        if self.scoring == "roc_auc":
-            v = M.roc_auc(rows, []).first()["roc_auc"]
-        elif self.scoring == "average_precision":
-            v = M.average_precision(rows, []).first()["pr_auc"]
-        else:
-            c = M.confusion_at(rows, [], 0.5).first()
-            v = (c["tpr"] + 1 - c["fpr"]) / 2 if self.scoring == "balanced_accuracy" else c[self.scoring]
-        return float(v) if v is not None else 0.0
-
-    def isLargerBetter(self) -> bool:
-        return True
+    if family == "LR":
+        rows = train.select(features, F.col(label).cast("double").alias("label"))
+        return logistic_regression(params or {}, features, rows.count()).fit(rows)
+    return fit_models(numbered(train, features, label), features, "_y", [Job(family, params or {}, seed)])[0]
+
+
+def scores_by(df: DataFrame, by: Sequence[str], scoring: str) -> DataFrame:
+    """(by, score) on exact counts of rows with `y_true` and `y_prob`; an undefined score counts as the worst."""
+    if scoring not in SCORINGS:
+        raise ValueError(f"unknown scoring: {scoring}")
+    if scoring == "roc_auc":
+        out = M.roc_auc(df, by).withColumn("score", F.col("roc_auc"))
+    elif scoring == "average_precision":
+        out = M.average_precision(df, by).withColumn("score", F.col("pr_auc"))
+    else:
+        value = (F.col("tpr") + 1 - F.col("fpr")) / 2 if scoring == "balanced_accuracy" else F.col(scoring)
+        out = M.confusion_at(df, by, 0.5).withColumn("score", value)
+    return out.select(*by, F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def search_space(family: str, kind: str, n_iter: int, seed: int, space: dict | None = None) -> list[dict]:
     """All combinations, or a seeded subset of `n_iter` of them."""
     space = space or (GRID_SPACES if kind == "grid" else RANDOM_SPACES)[family]
-    # the network's solver has no learning rate: candidates that differ in it alone would be one model
-    space = {k: v for k, v in space.items() if (family, k) != ("MLP", "learning_rate_init")}
     every = [dict(zip(space, v)) for v in itertools.product(*space.values())]
     if kind == "grid" or len(every) <= n_iter:
         return every
@@ -218,40 +127,35 @@ def search_space(family: str, kind: str, n_iter: int, seed: int, space: dict | N
     return [every[i] for i in sorted(at)]
 
 
-class FamilyEstimator(Estimator):
-    """A family with its parameters as one Spark param, so that CrossValidator can search it."""
-
-    choice = Param(Params._dummy(), "choice", "index into the candidates", typeConverter=TypeConverters.toInt)
+def search(rows: DataFrame, family: str, label: str, fold: str, kind: str = "random", n_iter: int = 60, scoring: str = "roc_auc",
+           seed: int = 42, space: dict | None = None) -> dict:
+    """The best candidate over prepared folds: all candidates of all folds are fitted in one job and scored in one more.
 
-    def __init__(self, family: str, candidates: list[dict], seed: int, features: str):
-        super().__init__()
-        self.family, self.candidates, self.seed_, self.features = family, candidates, seed, features
-        self._setDefault(choice=0)
-
-    def _fit(self, dataset: DataFrame) -> Model:
-        return fit_family(dataset, self.family, "label", self.candidates[self.getOrDefault(self.choice)], self.seed_,
-                          self.features)
-
-
-def tune(train: DataFrame, family: str, label: str, fold: str, kind: str = "random", n_iter: int = 60,
-         scoring: str = "roc_auc", seed: int = 42, parallelism: int = 4, space: dict | None = None) -> tuple[Model, dict]:
-    """Best candidate over prepared folds, refitted on all rows; a failing search falls back to the base model."""
+    A search that fails falls back to the base settings, with no score.
+    """
     features = family_features(family)
-    rows = train.select(features, F.col(label).cast("double").alias("label"), F.col(fold).cast("int").alias("_fold"))
     candidates = search_space(family, kind, n_iter, seed, space)
-    k = rows.agg(F.max("_fold")).first()[0] + 1
-    est = FamilyEstimator(family, candidates, seed, features)
-    cv = CrossValidator(estimator=est, estimatorParamMaps=[{est.choice: i} for i in range(len(candidates))],
-                        evaluator=ScoreEvaluator(scoring), numFolds=k, foldCol="_fold", parallelism=parallelism)
+    table = numbered(rows, features, label, F.col(fold).cast("int").alias("_fold"))
+    folds = sorted(r[0] for r in table.select("_fold").distinct().collect())
+    info = {"model": family, "cv_folds": len(folds), "n_iter": len(candidates), "search_type": kind}
+    jobs = [Job(family, c, seed, f) for c in candidates for f in folds]
     try:
-        found = cv.fit(rows)
-    except (IllegalArgumentException, ValueError, ZeroDivisionError) as exc:  # candidates that the estimator refuses
-        return fit_family(train, family, label, None, seed), {
-            "model": family, "failed": str(exc)[:200], "best_score": None, "best_params": {}, "cv_folds": k,
-            "n_iter": len(candidates), "search_type": kind}
-    best = int(np.argmax(found.avgMetrics))
-    return found.bestModel, {"model": family, "best_score": float(found.avgMetrics[best]), "best_params": candidates[best],
-                             "cv_folds": k, "n_iter": len(candidates), "search_type": kind}
+        held = fit_many(table, features, "_y", jobs, "_fold")
+        seen = table.select("_row", F.get("_y", F.lit(0)).cast("int").alias("y_true"))
+        scored = cut_lineage(held.select("job", "_row", F.col("p").alias("y_prob"))).join(seen, "_row")
+        got = {r["job"]: r["score"] for r in scores_by(scored, ["job"], scoring).collect()}
+    except (IllegalArgumentException, PySparkException, ValueError, ZeroDivisionError) as exc:  # candidates that a family refuses
+        return info | {"failed": str(exc)[-200:], "best_score": None, "best_params": {}}
+    means = [float(np.mean([got.get(i * len(folds) + k, 0.0) for k in range(len(folds))])) for i in range(len(candidates))]
+    best = int(np.argmax(means))
+    return info | {"best_score": means[best], "best_params": candidates[best]}
+
+
+def tune(train: DataFrame, family: str, label: str, fold: str, kind: str = "random", n_iter: int = 60,
+         scoring: str = "roc_auc", seed: int = 42, space: dict | None = None) -> tuple[Model, dict]:
+    """The best candidate of a search, refitted on all rows, and what the search found."""
+    info = search(train, family, label, fold, kind, n_iter, scoring, seed, space)
+    return fit_family(train, family, label, info["best_params"] or None, seed), info
 
 
 # ---- cross-validation and final fits ---------------------------------------------------------------------------
@@ -280,23 +184,23 @@ def prepared(train: DataFrame, other: DataFrame, bits: str, n_bits: int, descrip
     return rows, processor.transform(other), processor.contract()
 
 
-def chosen_model(train: DataFrame, family: str, label: str, config: TrainConfig, seed: int, params: dict | None, group: str | None,
-                 stage: str, fold: int | None, log: list[dict] | None) -> Model:
-    """The family fitted with given parameters, or with those a search finds where the config asks for one.
+def chosen_params(train: DataFrame, family: str, label: str, config: TrainConfig, seed: int, params: dict | None, group: str | None,
+                  stage: str, fold: int | None, log: list[dict] | None) -> dict:
+    """The given settings of a family, or those a search finds where the config asks for one.
 
     Each search adds a row to `log`. Too few rows of a class or too few groups for two folds skip the search.
     """
     if config.search == "none" or params is not None:
-        return fit_family(train, family, label, params, seed)
+        return params or {}
     folds = tuning_folds(train.drop("fold"), group, label, config.search_folds, seed) if group else None
     if folds is None:
-        return fit_family(train, family, label, None, seed)
-    model, info = tune(cut_lineage(folds), family, label, "fold", config.search, config.search_iterations, config.search_scoring, seed)
+        return {}
+    info = search(cut_lineage(folds), family, label, "fold", config.search, config.search_iterations, config.search_scoring, seed)
     if log is not None:
         log.append({"split_seed": seed, "stage": stage, "fold": fold, "model": family, "best_score": info["best_score"],
                     "cv_type": info["search_type"], "cv_folds": int(info["cv_folds"]), "n_iter": int(info["n_iter"]),
                     "classification_threshold": config.classification_threshold, "best_params_json": json.dumps(info["best_params"])})
-    return model
+    return info["best_params"]
 
 
 TUNING_TABLE = ("split_seed int, stage string, fold int, model string, best_score double, cv_type string, cv_folds int, n_iter int, "
@@ -311,20 +215,38 @@ def out_of_fold(df: DataFrame, label: str, fold: str, bits: str, n_bits: int, de
     `with_train` adds the predictions of each model for its own training rows and a column `split` (`val`, `train`).
     """
     params = params or {}
-    parts = None
-    for f in sorted(r[0] for r in df.select(fold).distinct().collect()):
+    threshold = config.classification_threshold if config.thresholding else 0.5
+    def one(f: int) -> DataFrame:
         train, processor = fitted(df.where(F.col(fold) != f), bits, n_bits, descriptors, config, seed, f, id_col=id_col, **options)
-        train = cut_lineage(train.select(id_col, label, *([group] if group else []), "features_raw", "features_scaled"))
-        val = processor.transform(df.where(F.col(fold) == f))
-        threshold = config.classification_threshold if config.thresholding else 0.5
-        for family in config.models:
-            model = chosen_model(train, family, label, config, seed, params.get(family), group, "cv", int(f), log)
-            for split, rows in (("val", val), ("train", train)) if with_train else (("val", val),):
-                out = with_probability(model.transform(rows), threshold).select(
-                    F.col(id_col).alias("id"), F.col(label).cast("int").alias("y_true"), "y_pred", "y_prob",
-                    F.lit(family).alias("model"), F.lit(seed).alias("seed"), F.lit(int(f)).alias("fold"), F.lit(split).alias("split"))
-                out = out if with_train else out.drop("split")
-                parts = out if parts is None else parts.unionByName(out)
+        keep = [id_col, label, "features_raw", "features_scaled"]
+        train = cut_lineage(train.select(*keep, *([group] if group else [])))
+        settings = {m: chosen_params(train, m, label, config, seed, params.get(m), group, "cv", int(f), log) for m in config.models}
+        val = processor.transform(df.where(F.col(fold) == f)).select(*keep)
+        both = cut_lineage(train.select(*keep).withColumn("_fold", F.lit(0)).unionByName(val.withColumn("_fold", F.lit(-1)))
+                           .withColumns({"_row": F.monotonically_increasing_id(), "_y": F.array(F.col(label).cast("double"))}))
+        shown = both.select("_row", F.col(id_col).alias("id"), F.col(label).cast("int").alias("y_true"),
+                            F.when(F.col("_fold") < 0, "val").otherwise("train").alias("split"))
+        out = cut_lineage(together(both, settings, seed, "all" if with_train else "held")).join(shown, "_row").select(
+            "id", "y_true", (F.col("y_prob") >= threshold).cast("int").alias("y_pred"), "y_prob", "model", F.lit(seed).alias("seed"),
+            F.lit(int(f)).alias("fold"), "split")
+        return out if with_train else out.drop("split")
+
+    folds = sorted(r[0] for r in df.select(fold).distinct().collect())
+    with ThreadPoolExecutor(max(1, len(folds))) as pool:  # folds share nothing but their input
+        parts = list(pool.map(one, folds))
+    return functools.reduce(lambda a, b: a.unionByName(b), parts) if parts else None
+
+
+def together(rows: DataFrame, settings: Mapping[str, dict], seed: int, scope: str) -> DataFrame:
+    """(_row, model, y_prob) of all families in one job for each feature column; rows with `_fold` below 0 are not trained on."""
+    parts = None
+    for features in ("features_raw", "features_scaled"):
+        some = [m for m in settings if family_features(m) == features]
+        if not some:
+            continue
+        got = fit_many(rows, features, "_y", [Job(m, settings[m], seed) for m in some], "_fold", scope)
+        got = got.select("_row", F.get(F.array(*map(F.lit, some)), F.col("job")).alias("model"), F.col("p").alias("y_prob"))
+        parts = got if parts is None else parts.unionByName(got)
     return parts
 
 
@@ -337,9 +259,13 @@ def final_models(dev: DataFrame, external: DataFrame, label: str, bits: str, n_b
     train, processor = fitted(dev, bits, n_bits, descriptors, config, seed, 99, id_col=id_col, **options)
     train = cut_lineage(train.select(id_col, label, *([group] if group else []), "features_raw", "features_scaled"))
     ext = processor.transform(external)
+    settings = {m: chosen_params(train, m, label, config, seed, params.get(m), group, "final", None, log) for m in config.models}
     models, parts = {}, None
+    for features in ("features_raw", "features_scaled"):
+        some = [m for m in config.models if family_features(m) == features]
+        fits = fit_models(numbered(train, features, label), features, "_y", [Job(m, settings[m], seed) for m in some]) if some else []
+        models |= dict(zip(some, fits))
     for family in config.models:
-        models[family] = chosen_model(train, family, label, config, seed, params.get(family), group, "final", None, log)
         at = float(thresholds.get(family, 0.5))
         out = with_probability(models[family].transform(ext), at).select(
             F.col(id_col).alias("id"), F.col(label).cast("int").alias("y_true"), "y_pred", "y_prob",
@@ -368,6 +294,7 @@ def run_seed(df: DataFrame, label: str, group: str, bits: str, n_bits: int, desc
     _, ext, _ = final_models(dev, external, label, bits, n_bits, descriptors, config, seed, chosen, params, id_col, group, log, **options)
     ext = cut_lineage(ext)
     at = config.classification_threshold if config.thresholding else 0.5
+    log.sort(key=lambda row: (row["stage"], -1 if row["fold"] is None else row["fold"], row["model"]))
     tuned = dev.sparkSession.createDataFrame([tuple(row.values()) for row in log], TUNING_TABLE)
     return {"oof": oof, "thresholds": locked, "external": ext, "tuning": tuned,
             "fold_metrics": M.evaluate(every, ["model", "seed", "fold", "split"], at),
@@ -378,11 +305,9 @@ def run_seed(df: DataFrame, label: str, group: str, bits: str, n_bits: int, desc
 
 def run_seeds(df: DataFrame, config: TrainConfig, **kw) -> dict[str, DataFrame]:
     """All seeds; each table is the union over seeds."""
-    out: dict[str, DataFrame] = {}
-    for seed in config.seeds:
-        for name, part in run_seed(df, config=config, seed=seed, **kw).items():
-            out[name] = part if name not in out else out[name].unionByName(part)
-    return out
+    with ThreadPoolExecutor(max(1, len(config.seeds))) as pool:
+        runs = list(pool.map(lambda seed: run_seed(df, config=config, seed=seed, **kw), config.seeds))
+    return {name: functools.reduce(lambda a, b: a.unionByName(b), [r[name] for r in runs]) for name in (runs[0] if runs else {})}
 
 
 # ---- calibration -----------------------------------------------------------------------------------------------
@@ -426,44 +351,55 @@ def calibration_report(df: DataFrame, by: Sequence[str], raw: str = "y_prob", ca
 
 # ---- permutation test, clusters --------------------------------------------------------------------------------
 
-def permutation_scores(dev: DataFrame, external: DataFrame, label: str, fit: Callable[[DataFrame], Model],
-                       permutations: int, seed: int, id_col: str = "id", task: str = "classification",
-                       workers: int = 4) -> tuple[DataFrame, float]:
-    """(permutation_idx, y_corr, metric) of models refitted on permuted labels, and the actual score.
+def permutation_scores(dev: DataFrame, external: DataFrame, label: str, settings: Mapping[str, dict], permutations: int, seed: int,
+                       id_col: str = "id") -> tuple[DataFrame, dict[str, float]]:
+    """(model, permutation_idx, y_corr, metric) of models refitted on permuted labels, and each model's actual score.
 
-    Labels are permuted for all runs in one plan; fits run side by side from a few driver threads.
+    The labels of all runs are columns of one array beside a row's features, and all refits of all families run in one
+    job for each feature column. The metric is the area under the ROC curve of the external rows, which no run trains on.
     """
-    path = scratch_path(dev.sparkSession, "permutations")  # a folder for each run, so that a fit reads its own labels only
-    permuted_labels(dev, id_col, label, permutations, seed).write.partitionBy("permutation").parquet(path)
-    runs = dev.sparkSession.read.parquet(path)
-    corr = {r[0]: r[1] for r in runs.groupBy("permutation").agg(safe_corr(label, "permuted")).collect()}
-
-    def score(model: Model) -> float | None:
-        rows = with_probability(model.transform(external)).select(F.col(label).alias("y_true"), "y_prob")
-        return (M.roc_auc(rows, []) if task == "classification" else M.r_squared(rows, [])).first()[0]
-
-    def one(i: int) -> tuple:
-        rows = dev.drop(label).join(runs.where(F.col("permutation") == i).select(id_col, F.col("permuted").alias(label)), id_col)
-        return i, corr[i], score(fit(rows))
-
-    with ThreadPoolExecutor(workers) as pool:
-        rows = list(pool.map(one, range(1, permutations + 1)))
-    actual = score(fit(dev))
-    return dev.sparkSession.createDataFrame(rows, "permutation_idx int, y_corr double, metric double"), actual
+    permuted = permuted_labels(dev, id_col, label, permutations, seed)
+    corr = permuted.groupBy("permutation").agg(safe_corr(label, "permuted").alias("y_corr"))
+    runs = permuted.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("permutation", "permuted"))).alias("_p"))
+    keep = [id_col, label, "features_raw", "features_scaled"]
+    own = F.array(F.col(label).cast("double"))
+    train = dev.select(*keep).join(runs, id_col).select(*keep, F.concat(own, F.transform("_p", lambda r: r["permuted"].cast("double"))).alias("_y"),
+                                                        F.lit(0).alias("_fold"))
+    blank = external.select(*keep, F.array_repeat(F.lit(0.0), permutations + 1).alias("_y"), F.lit(-1).alias("_fold"))
+    rows = cut_lineage(train.unionByName(blank).withColumn("_row", F.monotonically_increasing_id()))
+    actual = rows.where("_fold < 0").select("_row", F.col(label).cast("int").alias("y_true"))
+    parts = None
+    for features in ("features_raw", "features_scaled"):
+        jobs = [(m, k) for m in settings if family_features(m) == features for k in range(permutations + 1)]
+        if not jobs:
+            continue
+        got = fit_many(rows, features, "_y", [Job(m, settings[m], seed, label=k) for m, k in jobs], "_fold")
+        named = F.get(F.array(*[F.lit(m) for m, _ in jobs]), F.col("job"))
+        got = got.select("_row", named.alias("model"), F.pmod("job", F.lit(permutations + 1)).alias("permutation_idx"), F.col("p").alias("y_prob"))
+        parts = got if parts is None else parts.unionByName(got)
+    scored = cut_lineage(M.roc_auc(cut_lineage(parts).join(actual, "_row"), ["model", "permutation_idx"]).withColumnRenamed("roc_auc", "metric"))
+    out = scored.where("permutation_idx > 0").join(corr.withColumnRenamed("permutation", "permutation_idx"), "permutation_idx")
+    return (out.select("model", "permutation_idx", "y_corr", "metric"),
+            {r["model"]: r["metric"] for r in scored.where("permutation_idx = 0").collect()})
 
 
 def cluster_scan(df: DataFrame, features: str, ks: Sequence[int], seed: int = 42, workers: int = 4) -> DataFrame:
-    """(k, inertia, silhouette) per number of clusters; the silhouette uses squared distances."""
-    rows = cut_lineage(df.select(features))
+    """(k, inertia, silhouette) per number of clusters; the silhouette is the exact Euclidean one."""
+    rows = cut_lineage(df.select(F.monotonically_increasing_id().alias("_row"), features))
 
     def one(k: int) -> tuple:
-        model = KMeans(k=k, seed=seed, featuresCol=features).fit(rows)
-        s = ClusteringEvaluator(featuresCol=features).evaluate(model.transform(rows))
-        return k, float(model.summary.trainingCost), float(s)
+        model = KMeans(k=k, seed=seed, featuresCol=features, predictionCol=f"_k{k}").fit(rows)
+        return k, float(model.summary.trainingCost), model
 
     with ThreadPoolExecutor(workers) as pool:
-        out = list(pool.map(one, ks))
-    return df.sparkSession.createDataFrame(out, "k int, inertia double, silhouette double")
+        found = list(pool.map(one, ks))
+    labelled = rows
+    for _, _, model in found:
+        labelled = model.transform(labelled)
+    labelled = cut_lineage(labelled.withColumn("_v", vector_to_array(features)))
+    shapes = silhouettes(labelled, "_row", "_v", [f"_k{k}" for k in ks])
+    costs = df.sparkSession.createDataFrame([(k, cost, f"_k{k}") for k, cost, _ in found], "k int, inertia double, labelling string")
+    return costs.join(shapes, "labelling", "left").select("k", "inertia", "silhouette")
 
 
 def assign_clusters(df: DataFrame, features: str, k: int = 8, seed: int = 42) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 
@@ -12,6 +13,7 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     """Session for tests and the benchmark; on a cluster the caller brings its own."""
+    os.environ.setdefault("OMP_NUM_THREADS", "1")  # the Python workers of a local session take it from here
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("hitsieve")
