@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from hitsieve.functions import scalar as S, text as X
 from hitsieve.operators import domain as D, features as FE, nearest as NN, splits as SP
 from hitsieve.operators.ordering import exact_quantiles
+from hitsieve.operators.similar import similar_enough
 from hitsieve.plans.q_basic import RAW_CASE, raw_events
 from hitsieve.plans.registry import n, query, r, rounded, sql_r, sql_rs
 from hitsieve.plans.views import (DESCRIPTOR_NAMES, documents, library, sql_hash, sql_with, table, vectors)
-from hitsieve.schemas import DomainConfig, MissingPolicy
+from hitsieve.schemas import FP_BITS, DomainConfig, MissingPolicy
 
 VECTOR = 64
 
@@ -41,6 +42,17 @@ def descriptors(spark, d):
     return rounded(library(spark, d), ["doc_id"], DESCRIPTOR_NAMES)
 
 
+@query("fe02_user_descriptor", sql_with(["tok"], {}, f"""SELECT doc_id, len(list_filter(tok, lambda t: length(t) >= 12))::DOUBLE AS long_tokens,
+{sql_r("len(list_filter(tok, lambda t: length(t) >= 12))::DOUBLE / nullif(len(tok), 0)")} AS long_ratio FROM tok"""))
+def user_descriptor(spark, d):
+    """Descriptors that a user adds to the registry and asks for by name, over the token column all descriptors share."""
+    long = F.size(F.filter("_tok", lambda t: F.length(t) >= 12))
+    X.register_descriptor("long_tokens", lambda: long.cast("double"))
+    X.register_descriptor("long_ratio", lambda: F.try_divide(long.cast("double"), F.size("_tok").cast("double")))
+    found = X.with_descriptors(documents(spark, d, "doc_id", "text"), ["long_tokens", "long_ratio"])
+    return found.select("doc_id", "long_tokens", r("long_ratio").alias("long_ratio"))
+
+
 @query("fe03_missing_values", f"""SELECT event_id, {sql_r('coalesce(x, -1)')} AS x, {sql_r('value')} AS value,
 {sql_r('(x IS NULL)::INT')} AS x__isna, 0.0::DOUBLE AS value__isna FROM
 (SELECT *, TRY_CAST({RAW_CASE} AS DOUBLE) AS x FROM events)""")
@@ -385,9 +397,18 @@ def occupancy(spark, d):
 @query("ad05_similarity_flags", sql_with(["vectors"], AD_PARTS, "SELECT vec_id, tanimoto_in, cosine_in FROM ad"))
 def similarity_flags(spark, d):
     train, q = roles(spark, d)
-    out = NN.max_cosine(NN.max_tanimoto(q, train, "bits", "vec_id", VECTOR), train.select("x"), "x", "vec_id", VECTOR)
-    return out.select("vec_id", (F.col("tanimoto_max") >= 0.6).alias("tanimoto_in"),
-                      (F.col("cosine_max") >= 0.7).alias("cosine_in"))
+    out = NN.max_cosine(similar_enough(q, train, "bits", VECTOR, 0.6, "tanimoto_in"), train.select("x"), "x", "vec_id", VECTOR)
+    return out.select("vec_id", "tanimoto_in", (F.col("cosine_max") >= 0.7).alias("cosine_in"))
+
+
+@query("ad05_wide_similarity", sql_with(["tok"], {"f": BITS_SQL}, """SELECT q.doc_id, coalesce(bool_or(
+len(list_intersect(q.bits, t.bits))::DOUBLE / nullif(len(q.bits) + len(t.bits) - len(list_intersect(q.bits, t.bits)), 0) >= 0.6), false) AS similar
+FROM (SELECT doc_id, list_distinct(bits) AS bits FROM f WHERE doc_id % 5 = 0) q, (SELECT list_distinct(bits) AS bits FROM f WHERE doc_id % 5 <> 0) t
+GROUP BY q.doc_id"""))
+def wide_similarity(spark, d):
+    """Fingerprints of the full width: documents near any of the reference documents."""
+    f = fingerprints(spark, d).select("doc_id", "bits")
+    return similar_enough(f.where("doc_id % 5 = 0"), f.where("doc_id % 5 <> 0"), "bits", FP_BITS, 0.6).select("doc_id", "similar")
 
 
 @query("ad06_flag_algebra", """SELECT vec_id, (a AND b) AND (c AND e) AS strict, (a AND b) OR (c AND e) AS loose FROM

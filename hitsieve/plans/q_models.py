@@ -2,29 +2,32 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from hitsieve.functions import text as X
 from hitsieve.functions.scalar import hash32
-from hitsieve.operators import attribution as A, features as FE, metrics as M, models as ML, rollup as R, splits as SP
+from hitsieve.operators import attribution as A, features as FE, metrics as M, models as ML, rollup as R, shapley as SH, splits as SP
 from hitsieve.plans.q_features import VECTOR
 from hitsieve.plans.q_metrics import on_predictions
 from hitsieve.plans.registry import n, query, r, rounded, sql_r
-from hitsieve.plans.views import predictions, sql_hash, vectors
-from hitsieve.schemas import TrainConfig
+from hitsieve.plans.views import DESCRIPTOR_NAMES, library, predictions, sql_hash, table, vectors
+from hitsieve.schemas import FP_BITS, ExplainConfig, TrainConfig
 from hitsieve.session import cut_lineage, scratch_path
 from hitsieve.sources.sinks import write_parquet
 
-NAMES = [f"x{i}" for i in range(6)]
-FULL = TrainConfig()
+NAMES = [f"x{i}" for i in range(VECTOR)]
+FULL, EXPLAIN = TrainConfig(), ExplainConfig()
 SMALL = {family: {} for family in FULL.models}  # no setting is cut: every family has the operators' defaults
 KEYS = ["id", "y_true", "y_pred", "model"]
 
 
 def rows(spark, d):
-    """Vectors as training rows: sign bits, six descriptors, label, group."""
+    """Vectors as training rows: sign bits, components as descriptors, label, group."""
     v = vectors(spark, d)
-    return v.select(F.col("vec_id").alias("id"), "bits", *[F.get("x", F.lit(i)).alias(f"x{i}") for i in range(6)],
+    return v.select(F.col("vec_id").alias("id"), "bits", *[F.get("x", F.lit(i)).alias(c) for i, c in enumerate(NAMES)],
                     F.col("y"), "role", F.concat(F.lit("g"), (hash32(F.col("vec_id")) % 40).cast("string")).alias("grp"))
 
 
@@ -99,7 +102,7 @@ def seeds(spark, d):
 
 def calibrated(spark, d, method):
     train, _, _ = split(spark, d)
-    folds = cut_lineage(SP.grouped_folds(train, "grp", "y", 3, 42))
+    folds = cut_lineage(SP.grouped_folds(train, "grp", "y", FULL.cv_folds, 42))
     fit = lambda t: ML.fit_family(t, "LR", "y", SMALL["LR"])
     cal = ML.calibrate(folds, "y", "fold", method, fit)
     raw = ML.with_probability(fit(folds).transform(folds)).select("id", F.col("y").alias("y_true"), "y_prob")
@@ -128,8 +131,10 @@ def calibration_report(spark, d):
 @query("rob01_permutation_test")
 def permutation_test(spark, d):
     train, ext, _ = split(spark, d)
-    scores, actual = ML.permutation_scores(train, ext, "y", lambda t: ML.fit_family(t, "LR", "y", SMALL["LR"]), 200, 42)
-    return R.permutation_summary(scores, F.lit(actual))
+    scores, actual = ML.permutation_scores(train, cut_lineage(ext), "y", SMALL, 200, 42)
+    scores = cut_lineage(scores)
+    parts = [R.permutation_summary(scores.where(F.col("model") == m), F.lit(a)).select(F.lit(m).alias("model"), "*") for m, a in sorted(actual.items())]
+    return functools.reduce(lambda x, y: x.unionByName(y), parts)
 
 
 @query("clu01_cluster_scan")
@@ -172,41 +177,71 @@ def saved_model(spark, d):
                        ((F.col("live") == F.col("y_prob")) & (F.col("live_label") == F.col("y_pred"))).alias("streamed"))
 
 
+@query("vs06_trained_library", """SELECT doc_id AS id, true AS same, true AS streamed, true AS labelled FROM documents""")
+def trained_library(spark, d):
+    """A boosted model trained on the labelled documents' features, saved, and applied to the whole library in batch and as a stream."""
+    features = X.with_fingerprint(library(spark, d, keep_tokens=True), tok="_tok", portable=False).select("doc_id", "bits", *DESCRIPTOR_NAMES)
+    path, stored = scratch_path(spark, "model"), scratch_path(spark, "features")
+    features.write.parquet(stored)
+    rows = spark.read.parquet(stored)
+    labels = table(spark, d, "labels").select("doc_id", F.col("quality").cast("int").alias("y"))
+    train, processor = ML.fitted(rows.join(labels, "doc_id"), "bits", FP_BITS, DESCRIPTOR_NAMES, FULL, 0, 0)
+    model = ML.fit_family(train, "XGBC", "y", SMALL["XGBC"])
+    ML.save_model(spark, model, path, {"features": [list(c) for c in processor.contract()], "family": "XGBC", "threshold": 0.45}, processor)
+    own = ML.with_probability(model.transform(processor.transform(rows)), 0.45).select("doc_id", F.col("y_prob").alias("own"))
+    batch = ML.score_library(spark, rows, path, "doc_id")
+    found = scratch_path(spark, "scores")
+    stream = spark.readStream.schema(rows.schema).parquet(stored)
+    (ML.score_library(spark, stream, path, "doc_id").writeStream.format("parquet").option("path", found)
+     .option("checkpointLocation", scratch_path(spark, "progress")).trigger(availableNow=True).start().awaitTermination())
+    live = spark.read.parquet(found).select("doc_id", F.col("y_prob").alias("live"), F.col("y_pred").alias("live_label"))
+    both = batch.join(own, "doc_id").join(live, "doc_id")
+    return both.select(F.col("doc_id").alias("id"), (F.col("own") == F.col("y_prob")).alias("same"),
+                       ((F.col("live") == F.col("y_prob")) & (F.col("live_label") == F.col("y_pred"))).alias("streamed"),
+                       (F.col("y_pred") == (F.col("y_prob") >= 0.45).cast("int")).alias("labelled"))
+
+
 # ---- attribution of fitted models ------------------------------------------------------------------------------
 
-def attributed(spark, d, name, background, explain):
+def explained(spark, d, name):
+    """A fitted model, the background of the published size, the rows to explain as arrays, and the features' names."""
     train, ext, contract = split(spark, d)
     feats = ML.family_features(name)
-    model = ML.fit_family(train, name, "y", SMALL[name])
+    model = ML.fit_models(ML.numbered(train, feats, "y"), feats, "_y", [ML.Job(name, SMALL[name], 42)])[0]
     arr = lambda t: t.select("id", vector_to_array(feats).alias("v"))
-    bg = arr(SP.uniform_sample(train, "id", background, 1))
-    ex = arr(SP.uniform_sample(ext, "id", explain, 2))
-
-    def score(df):
-        return ML.with_probability(model.transform(df.withColumn(feats, array_to_vector("v"))))
-
-    values = A.sampled_attribution(ex, bg, "v", [c[1] for c in contract], "id", score, 2, 42)
-    return rounded(values, ["id", "feature"], ["value"])
+    background = cut_lineage(arr(train.join(SP.balanced_sample(train, "id", "y", EXPLAIN.background, EXPLAIN.seed).select("id"), "id")))
+    return model, background, cut_lineage(arr(ext)), [c[1] for c in contract]
 
 
 @query("sh02_tree_attribution")
 def tree_attribution(spark, d):
-    return attributed(spark, d, "RFC", 50, 50)
+    """All external rows by all three tree families."""
+    parts = []
+    for name in ("RFC", "ETC", "XGBC"):
+        model, background, rows, names = explained(spark, d, name)
+        parts.append(SH.tree_attribution(rows, background, "v", names, "id", model.blob_bytes).withColumn("model", F.lit(name)))
+    every = functools.reduce(lambda a, b: a.unionByName(b), parts)
+    return rounded(every, ["model", "id", "feature"], ["value", "base"], digits=9)
 
 
 @query("sh03_kernel_attribution")
 def kernel_attribution(spark, d):
-    return attributed(spark, d, "SVC", 50, 50)
+    """As many rows and background rows as published for this attribution (50 of each), by seeded hash."""
+    model, background, rows, names = explained(spark, d, "SVC")
+    some = SP.uniform_sample(rows, "id", EXPLAIN.explain, EXPLAIN.seed)
+    seen = SP.uniform_sample(background, "id", EXPLAIN.explain, EXPLAIN.seed)
+    values = SH.kernel_attribution(some, seen, "v", names, "id", model.predictor(), seed=EXPLAIN.seed)
+    return rounded(values, ["id", "feature"], ["value", "base"], digits=9)
 
 
 @query("sh05_explain_bundle", f"""SELECT part, y, count(*) AS n FROM (SELECT e.vec_id, (label % 2)::INT AS y,
 CASE WHEN b.vec_id IS NULL THEN 'explain' ELSE 'background' END AS part FROM embeddings e LEFT JOIN (SELECT vec_id FROM
-(SELECT *, row_number() OVER (ORDER BY (rn > greatest(1, floor(64 / k)))::INT, h, vec_id) AS place FROM (SELECT *, row_number() OVER
+(SELECT *, row_number() OVER (ORDER BY (rn > greatest(1, floor(256 / k)))::INT, h, vec_id) AS place FROM (SELECT *, row_number() OVER
 (PARTITION BY y ORDER BY h, vec_id) AS rn, count(DISTINCT y) OVER () AS k FROM (SELECT vec_id, label % 2 AS y,
-{sql_hash("'42:' || vec_id::VARCHAR")} AS h FROM embeddings WHERE vec_id % 5 <> 0)) WHERE rn <= 64) WHERE place <= 64) b USING (vec_id)) GROUP BY ALL""")
+{sql_hash("'42:' || vec_id::VARCHAR")} AS h FROM embeddings WHERE vec_id % 5 <> 0)) WHERE rn <= 256) WHERE place <= 256) b USING (vec_id)) GROUP BY ALL""")
 def bundle(spark, d):
     t = rows(spark, d)
     path = scratch_path(spark, "bundle")
-    bg = SP.balanced_sample(t.where("role = 'train'"), "id", "y", 64, 42)
+    bg = SP.balanced_sample(t.where("role = 'train'"), "id", "y", EXPLAIN.background, EXPLAIN.seed)
     write_parquet(A.explain_bundle(t, bg, "id"), path, ("part",))
     return spark.read.parquet(path).groupBy("part", "y").agg(F.count("*").alias("n"))
