@@ -15,8 +15,9 @@ from hitsieve.llm.piecetable import MODEL, SPACE, lists, pieces
 
 SPAN = 16  # bits of a document's number that are its place in a bitmap; the bits above are the bitmap's span
 DENSE = 1 << SPAN - 4  # documents from which a bitmap is written bit by bit; with fewer it is a list of places
-SLICE = 1 << 19  # code points of the texts that are aligned in one step
-LINKS = 1 << 20  # links a task holds before it writes their bitmaps
+WORDS = 1 << 16  # stretches that a worker remembers here, where it holds two vocabularies
+SLICE = 1 << 18  # code points of the texts that are aligned in one step
+LINKS = 1 << 19  # links a task holds before it writes their bitmaps
 
 
 class PlainCodec(Codec):
@@ -30,7 +31,7 @@ class Pair:
     """Both vocabularies: ids of a text, byte lengths, and the decimal ids with the sign that follows them."""
 
     def __init__(self, vocabulary: str, model: str):
-        self.a, self.b = PlainCodec(vocabulary), pieces(model)
+        self.a, self.b = PlainCodec(vocabulary), pieces(model, WORDS)
         self.size_a = np.array([len(p) for p in self.a.pieces], np.int64)
         self.size_b = np.array([len(p) for p in self.b.raw], np.int64)
         if len(self.size_a) > 1 << 16:

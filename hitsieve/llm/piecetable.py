@@ -36,7 +36,7 @@ class Pieces:
     bytes are accepted.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = WORDS):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         every = range(model.get_piece_size())
         if model.normalize("ﬁ  é ") != f"{SPACE}ﬁ{SPACE * 2}é{SPACE}":
@@ -73,7 +73,7 @@ class Pieces:
         self.stretches = re.compile(f"[{re.escape(alone)}]|{SPACE}*[^{SPACE}{re.escape(alone)}]+|{SPACE}+")
         self.pairs: dict[int, bool] = {}
         self.grown: dict[int, tuple[list[float], list[str], list[str]] | None] = {}
-        self.known = _Known(self)
+        self.known = _Known(self, words)
 
     def steps(self, token: int) -> tuple[list[float], list[str], list[str]] | None:
         """How a token grows from its letters: score of each merge, and the first and last part before each and at the end.
@@ -259,12 +259,12 @@ def _letters(raw: bytes) -> str:
 class _Known:
     """Ids of the stretches met lately. When they are too many, those not met since the last time go."""
 
-    def __init__(self, pieces: Pieces):
-        self.pieces, self.held, self.older = pieces, {}, {}
+    def __init__(self, pieces: Pieces, words: int):
+        self.pieces, self.words, self.held, self.older = pieces, words, {}, {}
 
     def ready(self, stretches: set[str]) -> Mapping[str, bytes]:
         """A mapping that holds all these stretches; long ones are not kept, so that the memory stays bounded."""
-        if len(self.held) > WORDS:
+        if len(self.held) > self.words:
             self.held, self.older = {}, self.held
         held, older, long = self.held, self.older, {}
         new = []
@@ -282,8 +282,8 @@ class _Known:
 
 
 @lru_cache(maxsize=2)
-def pieces(path: str = MODEL) -> Pieces:
-    return Pieces(path)
+def pieces(path: str = MODEL, words: int = WORDS) -> Pieces:
+    return Pieces(path, words)
 
 
 def lists(parts: list[np.ndarray]) -> pa.ListArray:
