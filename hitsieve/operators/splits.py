@@ -16,7 +16,9 @@ from hitsieve.session import cut_lineage
 
 HASH_TOP = float(1 << 32)
 GROUPS_PER_CELL = 50_000
+# How far a hold-out may overfill, the weights of its classes, the cost of a missing class.
 OVERFILL = 1.05
+POSITIVE_WEIGHT, NEGATIVE_WEIGHT, MISSING_CLASS = 0.75, 0.25, 5.0
 SLICES = 256
 
 
@@ -173,9 +175,9 @@ def group_holdout(df: DataFrame, key: str, label: str, test_size: float, seed: i
     def score(s: dict) -> float:
         neg = s["n"] - s["pos"]
         out = abs(s["n"] - target) / max(target, 1)
-        out += 0.75 * abs(s["pos"] - goal_pos) / goal_pos if goal_pos else 0.0
-        out += 0.25 * abs(neg - goal_neg) / goal_neg if goal_neg else 0.0
-        return out + 5.0 * (goal_pos > 0 and s["pos"] < 1) + 5.0 * (goal_neg > 0 and neg < 1)
+        out += POSITIVE_WEIGHT * abs(s["pos"] - goal_pos) / goal_pos if goal_pos else 0.0
+        out += NEGATIVE_WEIGHT * abs(neg - goal_neg) / goal_neg if goal_neg else 0.0
+        return out + MISSING_CLASS * (goal_pos > 0 and s["pos"] < 1) + MISSING_CLASS * (goal_neg > 0 and neg < 1)
 
     best = min(state, key=lambda t: (score(state[t]), t))
     rows = _trial_rows(groups, seed, F.lit(best), cells)

@@ -139,7 +139,7 @@ def _left_sums(bins: Bins, sums: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Boost:
-    """Settings of one boosted model; `skip` is the fold it does not see and `label` the column of its labels."""
+    """Settings of one boosted model."""
 
     rounds: int = 200
     depth: int = 6
