@@ -262,6 +262,37 @@ def test_shards_meet_in_a_barrier_stage(spark, data):
         MF.fit_many(df, "f", "y", jobs, shard_cells=10)
 
 
+@pytest.mark.parametrize("family", ["RFC", "ETC"])
+def test_a_forest_in_parts_is_the_same_forest(spark, data, family):
+    """One forest is shared by the slots, as prediction and as model, and equals the forest of one task to the last bit."""
+    x, y, _ = data
+    df = spark.createDataFrame([(i, r.tolist(), [float(t)], i % 3 - 1) for i, (r, t) in enumerate(zip(x, y))], "_row long, v array<double>, y array<double>, fold int").withColumn("f", array_to_vector("v")).cache()
+    job = MF.Job(family, {"n_estimators": 21})
+    parts, split = MF._fitted(df, "f", "y", [job], "fold", "held", False, "_row", MF.SHARD_CELLS, True)
+    assert split == {0} and parts.rdd.getNumPartitions() == 3  # of 8 trees each
+    got = {r["_row"]: r["p"] for r in MF.fit_many(df, "f", "y", [job], "fold").collect()}
+    alone = {r["_row"]: r["p"] for r in MF.fit_many(df, "f", "y", [job], "fold", keep=True).collect() if r["model"] is None}
+    assert got == alone and len(got) == 67
+    model = MF.fit_models(df, "f", "y", [job], fold="fold")[0].fitted
+    assert len(model.trees) == 21
+    some = sorted(got)
+    assert model.margin(x[some]) == pytest.approx([got[i] for i in some], abs=1e-9)
+
+
+def test_kernel_machine_never_holds_the_whole_matrix(data, monkeypatch):
+    """Working sets far smaller than the rows, and small blocks, reach the optimum of the whole matrix."""
+    x, y, _ = data
+    shapes, plain = [], S.kernel
+    monkeypatch.setattr(S, "kernel", lambda a, b, g: shapes.append((len(a), len(b))) or plain(a, b, g))
+    monkeypatch.setattr(S, "KERNEL_CELLS", 400)
+    v, times, b, gamma, _ = MF.run_alone(S.machine(x, y, np.ones(200, bool), 1.0, 0.1, 1e-7, added=20))
+    assert max(m * n for m, n in shapes) <= 400
+    s = np.where(y > 0, 1.0, -1.0)
+    k = plain(x, x, 0.1)
+    a, offset = S.dual(k, s, 1.0, tol=1e-9)
+    assert S.kernel_sum(x, v, times, gamma) + b == pytest.approx(k @ (a * s) + offset, abs=1e-5)
+
+
 # ---- attributions ----------------------------------------------------------------------------------------------
 
 def enumerated(f, x, z):
