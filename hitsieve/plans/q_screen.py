@@ -275,10 +275,11 @@ def heat_map(spark, d):
 
 # ---- streams ---------------------------------------------------------------------------------------------------
 
-def staged_files(spark, d, df=None, parts=3):
-    """Library files as a stream source sees them arrive."""
+def staged_files(spark, d, df=None, parts=3, key="doc_id"):
+    """Library files as a stream source sees them arrive: at least `parts`, and no fewer than the tasks that scan the rows."""
     path = scratch_path(spark, "arrivals")
-    (documents(spark, d) if df is None else df).repartition(parts, F.col("doc_id")).write.parquet(path)
+    rows = documents(spark, d) if df is None else df
+    rows.repartition(max(parts, rows.rdd.getNumPartitions()), F.col(key)).write.parquet(path)
     return path
 
 
@@ -295,8 +296,7 @@ def stream_scores(spark, d):
 count(*) FILTER (w IS NULL) AS predicted, count(w) AS skipped, count(*) FILTER (w = 'nan') AS skipped_nan,
 count(*) FILTER (w = 'text') AS skipped_text FROM s"""))
 def stream_counters(spark, d):
-    path, out, ck = scratch_path(spark, "rows"), scratch_path(spark, "counts"), scratch_path(spark, "ck")
-    messy(spark, d).repartition(3, F.col("vec_id")).write.parquet(path)
+    path, out, ck = staged_files(spark, d, messy(spark, d), key="vec_id"), scratch_path(spark, "counts"), scratch_path(spark, "ck")
     ST.count_stream(read_library_stream(spark, path, spark.read.parquet(path).schema), out, ck)
     t = ST.running_totals(spark.read.parquet(out))
     return t.select(*[n(c).alias(c) for c in t.columns])
