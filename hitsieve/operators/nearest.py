@@ -25,6 +25,9 @@ from hitsieve.session import cut_lineage
 
 BROADCAST_BYTES = 64 << 20
 MAX_PIVOTS = 128
+CELLS = 1 << 22  # distances, or coordinates of candidates, that a task holds at once
+BLOCK_BYTES = 8 << 20  # reference rows of a block
+BLOCKS = 32  # blocks that more rows than these hold make larger, up to `BLOCK_BYTES`, not more
 ROUNDING = 8 * np.finfo(np.float64).eps
 
 
@@ -47,8 +50,11 @@ class Metric:
 
     def distances(self, q: np.ndarray, r: np.ndarray) -> np.ndarray:
         if self.name == "euclidean":
-            d2 = (q * q).sum(1)[:, None] + (r * r).sum(1)[None, :] - 2.0 * (q @ r.T)
-            return np.sqrt(np.maximum(d2, 0.0))
+            d2 = q @ r.T  # in place: a matrix of a task's whole allowance is held once
+            d2 *= -2.0
+            d2 += (q * q).sum(1)[:, None]
+            d2 += (r * r).sum(1)[None, :]
+            return np.sqrt(np.maximum(d2, 0.0, out=d2), out=d2)
         both = (q @ r.T).astype(np.float64)
         union = q.sum(1)[:, None] + r.sum(1)[None, :] - both
         return 1.0 - both / np.where(union == 0, 1.0, union)
@@ -73,20 +79,20 @@ class Metric:
         if euclid:
             middle = r.mean(axis=0)
             q, r = q - middle, r - middle
-        step = max(1, (8 << 20) // max(len(r), 1))
+        step = max(1, CELLS // max(len(r), 1))
         for s in range(0, len(q), step):
             part = q[s:s + step]
             d = self.distances(part, r)
             if euclid:
                 square = d * d
-                kth = np.partition(square, few - 1, axis=1)[:, few - 1]
+                kth = square.min(axis=1) if few == 1 else np.partition(square, few - 1, axis=1)[:, few - 1]
                 slack = 2 * self.error(part, r) + ROUNDING * kth
                 number = (square <= (kth + slack)[:, None]).sum(axis=1)
             else:
                 number = np.full(len(part), few)
             for deep in np.unique(number):
                 rows = np.flatnonzero(number == deep)
-                chunk = max(1, (4 << 20) // max(1, deep * (self.width if euclid else 1)))
+                chunk = max(1, CELLS // 4 // max(1, deep * (self.width if euclid else 1)))
                 for i in range(0, len(rows), chunk):
                     self._nearest_of(out, s, d, part, rows[i:i + chunk], int(deep), r, copies, k)
         return out
@@ -138,10 +144,12 @@ def _broadcast_join(queries, refs, col, k, metric, out):
 
 def _block_join(queries, refs, col, id_col, k, metric, out, block_rows):
     spark = queries.sparkSession
-    block = block_rows or max(256, (32 << 20) // (8 * max(metric.width, 1)))
     vec = F.col(col)
     distinct = refs.groupBy(vec.alias("v")).agg(F.count("*").alias("copies"))
     total = distinct.count()
+    # rows go once to every block of the other side, so their copies grow with the number of blocks
+    most = max(256, BLOCK_BYTES // (8 * max(metric.width, 1)))
+    block = max(block_rows, min(most, -(-total // BLOCKS))) if block_rows else most
     n_pivots = min(MAX_PIVOTS, max(2, math.isqrt(max(1, total // block)) * 2))
     pivots = metric.matrix([r["v"] for r in distinct.orderBy(F.xxhash64("v"), F.col("v")).limit(n_pivots).collect()])
     if metric.name == "euclidean" and len(pivots):
@@ -186,7 +194,7 @@ def _block_join(queries, refs, col, id_col, k, metric, out, block_rows):
     n_blocks = F.element_at(F.create_map(*[F.lit(int(x)) for pair in zip(cells, blocks) for x in pair]), F.col("cell"))
     asked = queries.groupBy(vec.alias("v")).agg(F.min(id_col).alias("rep"))
     asked = cut_lineage(asked.select("v", "rep", visits("v").alias("cells")))
-    q_blocks = max(1, math.ceil(asked.count() / (4 * block)))
+    q_blocks = max(1, math.ceil(asked.count() / (2 * block)))
     left = (asked.select("v", "rep", F.explode("cells").alias("cell"))
             .withColumn("rb", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
             .withColumn("qb", F.pmod(F.xxhash64("v"), F.lit(q_blocks)).cast("int")))

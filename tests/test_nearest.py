@@ -76,3 +76,23 @@ def test_knn_far_from_the_origin(spark, way, offset):
     d = np.sort(np.sqrt(((qry[:, None] - ref[None]) ** 2).sum(2)), 1)[:, :3].mean(1)
     got = {r["id"]: r["knn_mean"] for r in NN.knn_mean_distance(make(qry), make(ref).select("x"), "x", "id", 3, 5, **way).collect()}
     np.testing.assert_allclose([got[i] for i in range(len(qry))], d, rtol=1e-12)
+
+
+def test_blocks_grow_instead_of_their_number(spark, monkeypatch):
+    """A row goes once to every block of the other side: with the least block size alone, copies grow with the square of the rows."""
+    monkeypatch.setattr(NN, "BLOCKS", 4)
+    rng = np.random.default_rng(2)
+    m = rng.normal(size=(400, 6))
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)], "id long, x array<double>")
+    found = NN.nearest_distances(df, df.select("x"), "x", "id", 2, NN.Metric("euclidean", 6), broadcast_bytes=0, block_rows=2)
+    want = np.sort(np.sqrt(((m[:, None] - m[None]) ** 2).sum(2)), 1)[:, :2]
+    for r in found.collect():
+        assert r["nearest"] == pytest.approx(want[r["id"]], abs=1e-9)
+    # few cells of few blocks: the pivots, and with them the cells, follow the block size
+    seen = []
+    plain = NN.Metric.smallest
+    q = rng.normal(size=(3, 6))
+    monkeypatch.setattr(NN, "CELLS", 800)
+    monkeypatch.setattr(NN.Metric, "distances", lambda self, a, b: seen.append(len(a) * len(b)) or np.sqrt(((a[:, None] - b[None]) ** 2).sum(2)))
+    plain(NN.Metric("euclidean", 6), q, m, np.ones(400, np.int64), 2)
+    assert max(seen) <= 800  # what a task holds at once does not grow with the references
