@@ -293,6 +293,19 @@ def test_kernel_machine_never_holds_the_whole_matrix(data, monkeypatch):
     assert S.kernel_sum(x, v, times, gamma) + b == pytest.approx(k @ (a * s) + offset, abs=1e-5)
 
 
+def test_kernel_machine_in_shards_beside_other_families(spark, data, monkeypatch):
+    """A barrier stage and plain lanes in one result, as the queries of several families unite them."""
+    x, y, _ = data
+    df = spark.createDataFrame([(i, r.tolist(), [float(t)], i % 3 - 1) for i, (r, t) in enumerate(zip(x, y))], "_row long, v array<double>, y array<double>, fold int").withColumn("f", array_to_vector("v")).cache()
+    jobs = [MF.Job("LR"), MF.Job("SVC"), MF.Job("RFC", {"n_estimators": 9})]
+    whole = {(r["job"], r["_row"]): r["p"] for r in MF.fit_many(df, "f", "y", jobs, "fold").collect()}
+    monkeypatch.setattr(MF, "KERNEL_CELLS", 800)
+    both = MF.fit_many(df, "f", "y", jobs, "fold")
+    parts = {(r["job"], r["_row"]): r["p"] for r in both.unionByName(both.where("false")).collect()}
+    assert parts.keys() == whole.keys() and len(parts) == 3 * 67
+    assert max(abs(parts[k] - whole[k]) for k in whole) < 5e-3
+
+
 # ---- attributions ----------------------------------------------------------------------------------------------
 
 def enumerated(f, x, z):
