@@ -200,3 +200,16 @@ def test_lookup_without_a_row_fails(spark):
     assert J.lookup_thresholds(q, t).first()["selected_threshold"] == 0.4
     with pytest.raises(Exception, match="no threshold row"):
         J.lookup_thresholds(q.withColumn("model", F.lit("other")), t).collect()
+
+
+def test_runs_are_hashed_in_batches(spark):
+    texts = [None, "", " \n\t ", "One", "a b a b a b a", "ΑΣ İstanbul\r\nΣΑΣ  straße\x0bx é", "\x00   z z z", "w" * 5000, " ".join(map(str, range(3000)))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for radius, n_bits in ((2, 2048), (0, 1000), (1, 7)):
+        out = X.with_fingerprint(df, radius=radius, n_bits=n_bits)
+        words = F.transform(X.tokens(F.col("text")), F.lower)
+        ref = df.select("id", X.set_bits(words, radius, n_bits).alias("ref"))
+        for r in out.join(ref, "id").collect():
+            assert r["bits"] == r["ref"], r["id"]
+    plan = out.where(F.size("bits") > 0)._jdf.queryExecution().executedPlan().toString()
+    assert "md5" not in plan and plan.count("ArrowEvalPython") == 1
