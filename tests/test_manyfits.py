@@ -358,3 +358,21 @@ def test_kernel_values_equal_all_subsets(spark, data):
         assert sum(r["value"] for r in some if r["_row"] == i) == pytest.approx(whole[i] - base, abs=1e-9)
     masks, weights = SH.coalitions(12, 300, 1)
     assert len({m.tobytes() for m in masks}) == len(masks) <= 300 and weights.sum() == pytest.approx(1.0)
+
+
+def test_tree_rows_are_dealt_over_the_slots(spark):
+    """Rows of one partition go to all slots; a chain of 60 features has more flags than a number holds."""
+    rng, d = np.random.default_rng(6), 60
+    inner = np.arange(2 * d + 1) % 2 == 0
+    inner[-1] = False
+    chain = T.Tree(np.where(inner, np.arange(2 * d + 1) // 2, -1), np.zeros(2 * d + 1), np.where(inner, np.arange(2 * d + 1) + 1, -1),
+                   np.where(inner, np.arange(2 * d + 1) + 2, -1), np.where(inner, 0.0, rng.random(2 * d + 1)))
+    x, z = rng.random((12, d)) - 0.05, rng.random((9, d)) - 0.1
+    blob = MF._packed("XGBC", MF._of_trees([chain]))
+    frame = lambda m: spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], "id long, v array<double>").coalesce(1)
+    out = SH.tree_attribution(frame(x), frame(z), "v", [f"x{i}" for i in range(d)], "id", blob)
+    assert out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    whole, base = chain.predict(x), chain.predict(z).mean()
+    sums = {r["id"]: r for r in out.groupBy("id").agg({"value": "sum", "base": "max"}).collect()}
+    for i in range(12):
+        assert sums[i]["sum(value)"] + sums[i]["max(base)"] == pytest.approx(whole[i], abs=1e-12) and sums[i]["max(base)"] == pytest.approx(base)
