@@ -394,3 +394,19 @@ def test_flags_are_summed_as_histograms_are():
 def test_a_library_of_labelled_fingerprints_is_one_shard():
     """20,598 labelled rows of 0.1 GB with 2,048 bits and 12 descriptors: two shards met up to seven times a round, a second each."""
     assert 20_598 * (2048 + 12) <= MF.SHARD_CELLS
+
+
+@pytest.mark.parametrize("random_cuts", [True, False])
+def test_rows_stay_in_the_order_of_their_open_nodes(data, monkeypatch, random_cuts):
+    """A feature's values of a node are neighbours at every level, so no level sorts the values of all tried features."""
+    x, y, _ = data
+    name, seen = "_random_cuts" if random_cuts else "_best_cuts", []
+    plain = getattr(T, name)
+
+    def watched(x_, slot, *more):
+        seen.append(bool((np.diff(slot) >= 0).all()))
+        return plain(x_, slot, *more)
+
+    monkeypatch.setattr(T, name, watched)
+    MF.run_alone(T.forest(x, y[None].astype(float), np.arange(len(x)), np.ones((1, len(x)), bool), [T.Forest(4, random_cuts=random_cuts)]))
+    assert len(seen) > 2 and all(seen)
