@@ -63,8 +63,8 @@ def feature_store(df: DataFrame, id_col: str, text: str, names: Sequence[str], n
     One projection over the scan, no shuffle.
     """
     rows = df.where(F.col(id_col).isNotNull() & F.col(text).isNotNull() & (F.length(F.trim(text)) > 0))
-    rows = with_descriptors(rows, names, text, keep_tokens=True)
-    rows = with_fingerprint(rows, text, n_bits=n_bits, tok="_tok").drop("_text", "_norm", "_tok")
+    rows = with_descriptors(rows, names, text)
+    rows = with_fingerprint(rows, text, n_bits=n_bits)
     filled, columns = fill_missing(rows.where(F.size("bits") > 0), names, policy)
     floats = {c: F.col(c).cast("float") for c in names}
     flags = {c: F.col(c).cast("boolean") for c in columns if c not in names}

@@ -6,7 +6,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from hitsieve.functions import scalar as S, text as X
-from hitsieve.operators import clean as C, domain as D, features as FE, joins as J
+from hitsieve.operators import clean as C, domain as D, features as FE, joins as J, screen as SC
 from hitsieve.schemas import MissingPolicy, Rule
 
 
@@ -171,6 +171,23 @@ def test_fragments_and_keys(spark):
     assert key[4] == min(runs) and len(set(key)) >= 4
 
 
+def test_keys_and_stored_fingerprints_are_hashed_in_batches(spark):
+    """A lambda of Spark is interpreted for each run of tokens, so no digest may stand in one."""
+    texts = [(1, "A1 b\tC22  d\n\u03a3e \u0130 \u00e9 77x"), (2, "one\r two"), (3, " \n "), (4, None), (5, "a b c"), (6, "a b c d a b c 1 ΑΣ ΣΑ b")]
+    df = spark.createDataFrame(texts, "id int, t string")
+    keyed = X.with_template_key(df, "t", "k")
+    tok = spark.createDataFrame(texts, "id int, t string").select("id", F.transform(X.tokens(F.col("t")), lambda w: F.regexp_replace(F.lower(w), "[0-9]+", "#")).alias("w"))
+    for (_, got), (_, words) in zip(sorted((r.id, r.k) for r in keyed.collect()), sorted((r.id, r.w) for r in tok.collect())):
+        runs = [" ".join(words[i:i + 3]) for i in range(max(1, len(words) - 2))]
+        assert got == (min(hashlib.md5(w.encode()).hexdigest() for w in runs) if words else "")
+    store = SC.feature_store(df, "id", "t", ["n_chars", "n_tokens"], 2048)
+    plain = X.with_fingerprint(df.withColumn("w", X.tokens(F.col("t"))), "t", tok="w")
+    want = {r.id: r.bits for r in plain.collect()}
+    assert {r.id: r.bits for r in store.collect()} == {i: want[i] for i in (1, 2, 5, 6)}
+    for out in (keyed, store):
+        assert "md5(" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_rules_and_catalogue(spark):
     df = spark.createDataFrame([(1.0,), (5.0,), (None,)], "a double")
     assert df.where(X.rule_filter([Rule("a", 2.0, 5.0)])).count() == 1
