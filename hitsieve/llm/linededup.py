@@ -113,8 +113,9 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
             .groupBy("_id", "_row").agg(F.collect_set("pos").alias("_gone")))
     gone = store(gone, "gone")
     rest = docs.drop("n_lines", "n_dropped", "kept_text")
+    # one plan for every size: a table small enough to be sent whole here would be shuffled with the texts later on
     joined = rest.withColumn("_hash", F.xxhash64(text_of())).join(
-        gone, (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_row")), "left")
+        gone.hint("merge"), (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_row")), "left")
     parts = F.split(text_of(), "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
     cut = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")

@@ -72,11 +72,42 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST,
     anything is ordered, and as many of their copies as fit are taken where the border falls among them. An empty table
     gives an empty one.
     """
-    spark = docs.sparkSession
-    rows = docs.select(row_hash(seed).alias("row"), "doc_id", "source", size_of(F.col("text")).alias("size"),
-                       quality_weight(F.col("text")).alias("quality"))
-    drawn = rows.withColumn("key", -F.log(uniform(F.col("row"))) / F.col("quality")).drop("quality")
-    drawn = store(drawn.withColumn("spot", (F.lit(float(SLOTS * SLOTS)) * (1 - F.exp(-F.col("key") / 4))).cast("int")), "drawn")
+    drawn, cut = cuts(docs, weights, most, seed)
+    joined = drawn.join(cut, F.col("source").eqNullSafe(F.col("_source")))
+    split, times = border_row("row", F.col("size") > 0), times_of("row", "key", "spot", F.col("size") > 0)
+    names = ["row", "doc_id", "source", "size", "source_size", "target"]
+    plain = joined.where(~split).select(*names, times.alias("times"))
+    # the row whose copies the border parts: so many with one more, the others without
+    border = joined.where(split).groupBy(*names, "epochs", "copies", "taken").count()
+    given = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")
+    parted = border.select(*names, "epochs", "taken", given).select(
+        *names, (F.col("epochs") + (F.col("_copy") <= F.col("taken")).cast("int")).cast("long").alias("times"))
+    return plain.unionByName(parted)
+
+
+def draws(docs: DataFrame, seed: int, row: str = "row", key: str = "key", spot: str = "spot") -> DataFrame:
+    """`docs` with each row's hash, its exponential key over its quality and the key's cell."""
+    drawn = docs.withColumn(row, row_hash(seed)).withColumn(key, -F.log(uniform(F.col(row))) / quality_weight(F.col("text")))
+    return drawn.withColumn(spot, (F.lit(float(SLOTS * SLOTS)) * (1 - F.exp(-F.col(key) / 4))).cast("int"))
+
+
+def border_row(row: str, sized: Column, of: str = "") -> Column:
+    """Whether a row joined with its source's cut (`of` stands before the cut's columns) is the one whose copies the border parts."""
+    return F.coalesce((F.col(row) == F.col(f"{of}_part_row")) & sized, F.lit(False))
+
+
+def times_of(row: str, key: str, spot: str, sized: Column, of: str = "") -> Column:
+    """How often a row joined with its source's cut is taken, unless the border parts its copies."""
+    border, place = F.col(f"{of}border"), F.struct(F.col(key).alias("key"), F.col(row).alias("row"))
+    below = (F.col(spot) < border) | ((F.col(spot) == border) & F.coalesce(place <= F.col(f"{of}last"), F.lit(False)))
+    more = F.when(sized & (F.col(f"{of}rest") > 0) & F.coalesce(below, F.lit(False)), 1).otherwise(0)
+    return (F.col(f"{of}epochs") + more).cast("long")
+
+
+def cuts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """The drawn rows without their texts, and a row for each source: its epochs, and where in the order of keys its rest ends."""
+    drawn = draws(docs.select("doc_id", "source", "text"), seed).withColumn("size", size_of(F.col("text")))
+    drawn = store(drawn.select("row", "doc_id", "source", "size", "key", "spot"), "drawn")
     sizes = drawn.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(sizes, weights, most).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     plan = store(plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "plan")
@@ -106,20 +137,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST,
     cut = cut.join(part, F.col("_source").eqNullSafe(F.col("_part_source")), "left").select("_source", "border", "last", "_part_row", "copies", "taken")
     cut = plan.join(cut, same, "left").select(F.col("source").alias("_source"), "source_size", "target", "epochs", "rest", "border", "last",
                                               "_part_row", "copies", "taken")
-    cut = store(cut, "cuts")
-    below = (F.col("spot") < F.col("border")) | (
-        (F.col("spot") == F.col("border")) & F.coalesce(F.struct("key", "row") <= F.col("last"), F.lit(False)))
-    split = F.coalesce((F.col("row") == F.col("_part_row")) & (F.col("size") > 0), F.lit(False))
-    joined = drawn.join(cut, same)
-    more = F.when((F.col("size") > 0) & (F.col("rest") > 0) & F.coalesce(below, F.lit(False)), 1).otherwise(0)
-    names = ["row", "doc_id", "source", "size", "source_size", "target"]
-    plain = joined.where(~split).select(*names, (F.col("epochs") + more).cast("long").alias("times"))
-    # the row whose copies the border parts: so many with one more, the others without
-    border = joined.where(split).groupBy(*names, "epochs", "copies", "taken").count()
-    given = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")
-    parted = border.select(*names, "epochs", "taken", given).select(
-        *names, (F.col("epochs") + (F.col("_copy") <= F.col("taken")).cast("int")).cast("long").alias("times"))
-    return plain.unionByName(parted)
+    return drawn, store(cut, "cuts")
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,25 +147,27 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document as often as the mix takes it; documents that it does not take go."""
-    times = mix(docs).groupBy(F.col("row").alias("__mix_row")).agg(F.min("times").alias("__mix_least"), F.max("times").alias("__mix_times"),
-                                                              F.sum("times").alias("__mix_sum"))
-    times = store(times.where("__mix_times > 0"), "times")
-    border = store(times.where("__mix_least < __mix_times"), "border")  # at most a row for each source
-    keyed = docs.withColumn("__mix_at", row_hash(SEED))
-    even = keyed.join(times.where("__mix_least = __mix_times"), F.col("__mix_at") == F.col("__mix_row"))
+    _, cut = cuts(docs)
+    sized = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    # the cuts are a row for each source, so a document learns where it is read how often it is taken
+    drawn = draws(docs, SEED, "__mix_at", "__mix_key", "__mix_spot").withColumn("__mix_sized", sized)
+    placed = drawn.join(F.broadcast(cut.select(F.struct("*").alias("__mix_cut"))), F.col("source").eqNullSafe(F.col("__mix_cut._source")))
+    split = border_row("__mix_at", F.col("__mix_sized"), "__mix_cut.")
+    times = times_of("__mix_at", "__mix_key", "__mix_spot", F.col("__mix_sized"), "__mix_cut.")
+    even = placed.where(~split).withColumn("__mix_times", times).where("__mix_times > 0").select(*docs.columns, "__mix_times")
     copies = F.explode(F.sequence(F.lit(1), F.col("__mix_times").cast("int")))
-    if border.isEmpty():
+    if cut.where("_part_row is not null").isEmpty():
         return even.withColumn("__mix_copy", copies).select(*docs.columns)
     # copies of one row that the border parts: numbered within each part of the table, then across its parts
-    odd = store(keyed.join(border, F.col("__mix_at") == F.col("__mix_row")).withColumns({"__mix_p": F.spark_partition_id(), "__mix_i": F.monotonically_increasing_id()}), "parted")
+    odd = placed.where(split).withColumns({"__mix_p": F.spark_partition_id(), "__mix_i": F.monotonically_increasing_id()})
+    odd = store(odd.select(*docs.columns, "__mix_at", "__mix_p", "__mix_i", F.col("__mix_cut.epochs").cast("long").alias("__mix_least"),
+                           F.col("__mix_cut.taken").alias("__mix_extra")), "parted")
     counts = odd.groupBy("__mix_at", "__mix_p").agg(F.count("*").alias("__mix_c"))
     upto = F.sum("__mix_c").over(Window.partitionBy("__mix_at").orderBy("__mix_p").rowsBetween(Window.unboundedPreceding, -1))
-    before = counts.select(F.col("__mix_at").alias("__mix_a"), F.col("__mix_p").alias("__mix_q"), F.coalesce(upto, F.lit(0)).alias("__mix_before"),
-                           F.sum("__mix_c").over(Window.partitionBy("__mix_at")).alias("__mix_all"))
+    before = counts.select(F.col("__mix_at").alias("__mix_a"), F.col("__mix_p").alias("__mix_q"), F.coalesce(upto, F.lit(0)).alias("__mix_before"))
     place = F.row_number().over(Window.partitionBy("__mix_at", "__mix_p").orderBy("__mix_i"))
     ranked = odd.withColumn("__mix_r", place).join(before, (F.col("__mix_at") == F.col("__mix_a")) & (F.col("__mix_p") == F.col("__mix_q")))
-    extra = F.col("__mix_sum") - F.col("__mix_least") * F.col("__mix_all")
-    parted = ranked.withColumn("__mix_times", F.col("__mix_least") + (F.col("__mix_r") + F.col("__mix_before") <= extra).cast("int")).where("__mix_times > 0")
+    parted = ranked.withColumn("__mix_times", F.col("__mix_least") + (F.col("__mix_r") + F.col("__mix_before") <= F.col("__mix_extra")).cast("int")).where("__mix_times > 0")
     every = even.select(*docs.columns, "__mix_times").unionByName(parted.select(*docs.columns, "__mix_times"))
     return every.withColumn("__mix_copy", copies).select(*docs.columns)
 

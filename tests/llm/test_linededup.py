@@ -54,3 +54,10 @@ def test_runs_hold_each_hash_once(spark):
     assert all(len(level) < linededup.FANOUT for level in runs.levels)
     assert {(r.n, r.top) for r in runs.totals().collect()} == {(6, 250 + k) for k in range(50)}
     runs.drop()
+
+
+def test_texts_meet_their_lost_lines_by_one_plan_at_every_size(spark):
+    docs = spark.createDataFrame([(i, "a line that is long enough to be taken out of most of its texts\nown %d" % i) for i in range(9)], "doc_id long, text string")
+    cut = linededup.drop_lines(docs)
+    assert "SortMergeJoin" in cut._jdf.queryExecution().executedPlan().toString()
+    assert sum(r.n_dropped for r in cut.collect()) == 8

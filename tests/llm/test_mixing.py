@@ -74,3 +74,19 @@ def test_copies_of_a_row_are_parted_at_the_border(spark):
     assert kept.columns == docs.columns
     found = collections.Counter(r.doc_id for r in kept.collect())
     assert found == +times and max(collections.Counter(r._copy for r in kept.collect()).values()) <= 3
+
+
+def test_the_stage_does_not_shuffle_texts(spark):
+    """A document learns from its source's cut how often it is taken, also where nothing is small enough to be sent unasked."""
+    rows = [(i, "word " * (i % 17 + 1), "big" if i % 3 else f"s{i % 7}", "own") for i in range(700)] + [(800, None, None, "own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, border string")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = mixing.mix_sources(spark, docs, None)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+        want = {r.doc_id: r.times for r in mixing.mix(docs).collect() if r.times}
+        assert collections.Counter(r.doc_id for r in kept.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
