@@ -9,9 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from hitsieve.llm.bpe import LEAF, VOCABULARY, Codec, encode_tree
+from hitsieve.llm.bpe import LEAF, VOCABULARY, Codec, codec, encode_tree
 from hitsieve.llm.common import in_blocks, store, table
-from hitsieve.llm.piecetable import MODEL, SPACE, lists, pieces
+from hitsieve.llm.piecetable import MODEL, SPACE, pieces
 
 SPAN = 16  # bits of a document's number that are its place in a bitmap; the bits above are the bitmap's span
 DENSE = 1 << SPAN - 4  # documents from which a bitmap is written bit by bit; with fewer it is a list of places
@@ -27,13 +27,19 @@ class PlainCodec(Codec):
         return self.coder.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype("<u4")
 
 
-class Pair:
+class Sizes:
+    """Byte lengths of both vocabularies' tokens: what links need, without any coder."""
+
+    def __init__(self, a: list[bytes], b: list[bytes]):
+        self.size_a, self.size_b = (np.array([len(p) for p in pieces], np.int64) for pieces in (a, b))
+
+
+class Pair(Sizes):
     """Both vocabularies: ids of a text, byte lengths, and the decimal ids with the sign that follows them."""
 
     def __init__(self, vocabulary: str, model: str):
         self.a, self.b = PlainCodec(vocabulary), pieces(model, WORDS)
-        self.size_a = np.array([len(p) for p in self.a.pieces], np.int64)
-        self.size_b = np.array([len(p) for p in self.b.raw], np.int64)
+        super().__init__(self.a.pieces, self.b.raw)
         if len(self.size_a) > 1 << 16:
             raise ValueError("a pair of ids must fit in 32 bits")
         words = [str(i) for i in range(max(len(self.size_a), len(self.size_b)))]
@@ -57,7 +63,7 @@ def pair(vocabulary: str = VOCABULARY, model: str = MODEL) -> Pair:
     return Pair(vocabulary, model)
 
 
-def linked(code: Pair, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def linked(code: Sizes, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Ends of both tokenizers' tokens in the joined bytes of some texts, and for each link its tokens' positions.
 
     Two tokens overlap in one stretch of bytes, which ends where one of them ends; so every end of either is one link.
@@ -82,13 +88,24 @@ def _aligned_slice(code: Pair, texts: list[str | None]) -> dict[str, pa.Array]:
     at_a, at_b = (np.concatenate(([0], np.cumsum(s))) for s in (size_a, size_b))
     texts_of = ["".join(words[x:y].tolist())[:-1] for x, y in zip(at_a[:-1] + at_b[:-1], at_a[1:] + at_b[1:])]
     before = np.concatenate(([0], np.cumsum(shared_a)))
-    return {"ids_a": lists([f[0] for f in found]), "ids_b": lists([f[1] for f in found]), "groups": pa.array(texts_of, pa.string()),
+    return {"ids_a": _short(a, at_a), "ids_b": _short(b, at_b), "groups": pa.array(texts_of, pa.string()),
             "n_a": pa.array(size_a), "n_b": pa.array(size_b), "n_groups": pa.array(before[at_a[1:]] - before[at_a[:-1]]),
             "n_links": pa.array(np.diff(np.searchsorted(link_a, at_a)))}
 
 
+def _short(ids: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Runs of ids as little-endian unsigned 16-bit integers."""
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((2 * at).astype(np.int32)), pa.py_buffer(ids.astype("<u2").tobytes())])
+
+
+def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Borders of the runs and the ids that `_short` wrote."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    return at // 2, np.frombuffer(column.buffers()[2] or b"", "<u2", int(at[-1]) // 2)
+
+
 ALIGNED = T.StructType([T.StructField(n, t) for n, t in (
-    ("ids_a", T.ArrayType(T.IntegerType())), ("ids_b", T.ArrayType(T.IntegerType())), ("groups", T.StringType()), ("n_a", T.LongType()),
+    ("ids_a", T.BinaryType()), ("ids_b", T.BinaryType()), ("groups", T.StringType()), ("n_a", T.LongType()),
     ("n_b", T.LongType()), ("n_groups", T.LongType()), ("n_links", T.LongType()))])
 
 
@@ -109,12 +126,14 @@ class _Align:
                 part, out = batch.slice(at, end - at), _aligned_slice(code, held)
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in self.names), *out.values()], [*self.names, *out])
                 at = end
+            del part, out
+            pa.default_memory_pool().release_unused()  # else a batch's buffers stay with the worker
 
 
 def aligned(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, model: str = MODEL) -> DataFrame:
     """Ids of both tokenizers and the groups between common ends, for every whole text, where it is read.
 
-    Adds `ids_a`, `ids_b`, `groups` (`a1,a2|b1;a3|b2,b3`), `n_a`, `n_b`, `n_groups` and `n_links` (overlapping
+    Adds `ids_a`, `ids_b` (little-endian unsigned 16-bit integers), `groups` (`a1,a2|b1;a3|b2,b3`), `n_a`, `n_b`, `n_groups` and `n_links` (overlapping
     occurrences) to the other columns of `docs`; columns of these names are replaced and the text itself is left out.
     Null and empty texts, and texts that either tokenizer changes, have no tokens. Repeated rows are aligned each; an
     empty table gives an empty one.
@@ -128,25 +147,27 @@ class _Bitmaps:
     """The documents of each pair of ids as compressed bitmaps, a part of a span at a time."""
 
     def __init__(self, vocabulary: str, model: str):
-        self.paths = vocabulary, model
+        self.sizes = Sizes(codec(vocabulary).pieces, pieces(model).raw)
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, held, links, span = pair(*self.paths), [], 0, -1
+        held, links, span = [], 0, -1
+        pair.cache_clear()  # a worker that has aligned texts before gives up both vocabularies
+        pieces.cache_clear()
         for batch in batches:
-            number, a, b = batch.column("_n").to_numpy(), batch.column("ids_a"), batch.column("ids_b")
-            at = [c.offsets.to_numpy() for c in (a, b)]
-            flat = [c.values.to_numpy(zero_copy_only=False) for c in (a, b)]
+            number = batch.column("_n").to_numpy()
+            at, flat = zip(*(_ids(batch.column(n)) for n in ("ids_a", "ids_b")))
             steps = np.flatnonzero(np.diff(number >> SPAN) | np.diff(at[0][1:] // SLICE)) + 1
             for start, end in zip([0, *steps], [*steps, len(number)]):
                 if number[start] >> SPAN != span or links >= LINKS:
                     yield from _written(held, span)
                     held, links, span = [], 0, int(number[start] >> SPAN)
                 ids_a, ids_b = (flat[k][at[k][start]:at[k][end]] for k in (0, 1))
-                _, _, link_a, link_b = linked(code, ids_a, ids_b)
+                _, _, link_a, link_b = linked(self.sizes, ids_a, ids_b)
                 row = np.repeat(np.arange(start, end), np.diff(at[0][start:end + 1]))[link_a]
                 place = (number[row] & (1 << SPAN) - 1).astype(np.uint64)
                 held.append(ids_a[link_a].astype(np.uint64) << np.uint64(32) | ids_b[link_b].astype(np.uint64) << np.uint64(16) | place)
                 links += len(place)
+            pa.default_memory_pool().release_unused()
         yield from _written(held, span)
 
 
