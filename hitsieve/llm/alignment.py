@@ -64,21 +64,25 @@ def pair(vocabulary: str = VOCABULARY, model: str = MODEL) -> Pair:
 
 
 def linked(code: Sizes, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ends of both tokenizers' tokens in the joined bytes of some texts, and for each link its tokens' positions.
+    """Whether each token's end is one of the other tokenizer's, in the joined bytes of some texts, and for each link its tokens' positions.
 
     Two tokens overlap in one stretch of bytes, which ends where one of them ends; so every end of either is one link.
     """
     ends_a, ends_b = np.cumsum(code.size_a[a]), np.cumsum(code.size_b[b])
-    ends = np.union1d(ends_a, ends_b)
-    return ends_a, ends_b, np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+    size = 1 + max(int(e[-1]) if len(e) else 0 for e in (ends_a, ends_b))
+    at_a, at_b = np.zeros(size, bool), np.zeros(size, bool)
+    at_a[ends_a], at_b[ends_b] = True, True
+    ends = np.flatnonzero(at_a | at_b)
+    # the ends before a link's own end are as many as the tokens before its token
+    link_a, link_b = (np.cumsum(at[ends]) - at[ends] for at in (at_a, at_b))
+    return at_b[ends_a], at_a[ends_b], link_a, link_b
 
 
 def _aligned_slice(code: Pair, texts: list[str | None]) -> dict[str, pa.Array]:
     found = code.ids(texts)
     size_a, size_b = (np.array([len(f[k]) for f in found], np.int64) for k in (0, 1))
     a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-    ends_a, ends_b, link_a, _ = linked(code, a, b)
-    shared_a, shared_b = np.isin(ends_a, ends_b, assume_unique=True), np.isin(ends_b, ends_a, assume_unique=True)
+    shared_a, shared_b, link_a, _ = linked(code, a, b)
     group_a, group_b = np.cumsum(shared_a) - shared_a, np.cumsum(shared_b) - shared_b
     groups = int(shared_a.sum())
     before_a, before_b = (np.concatenate(([0], np.cumsum(np.bincount(g, minlength=groups)))) for g in (group_a, group_b))

@@ -125,3 +125,25 @@ def test_a_pair_in_more_documents_than_a_list_holds(spark):
     assert len(got) == 7 and all(r["a"] == r["b"] and r["best"] for r in got)
     assert max(r["documents"] for r in scores) == 6000
     assert max(r["links"] for r in scores) == sum(1 + i % 7 for i in range(6000))
+
+
+def test_links_and_common_ends_without_sorting(plain):
+    code = A.pair()
+    for text in ("intentions of x", "é\U0001F600 \n\n  tokenizers, 12345", "the " * 300):
+        (a, b), = code.ids([text])
+        na, nb, groups, links = plain.document(text)
+        shared_a, shared_b, link_a, link_b = A.linked(code, a, b)
+        assert (len(a), len(b)) == (na, nb) and shared_a.sum() == shared_b.sum() == len(groups)
+        assert list(zip(a[link_a].tolist(), b[link_b].tolist())) == links
+    assert [len(x) for x in A.linked(code, a[:0], b[:0])] == [0, 0, 0, 0]
+
+
+def test_ids_between_stages_are_short(spark):
+    """Half the bytes of 32-bit ids; sliced and empty columns are read as written."""
+    column = A._short(np.array([1, 65535, 7], "<u4"), np.array([0, 2, 2, 3]))
+    assert [A._ids(column)[0].tolist(), A._ids(column)[1].tolist()] == [[0, 2, 2, 3], [1, 65535, 7]]
+    at, flat = A._ids(column.slice(1))
+    assert at.tolist() == [2, 2, 3] and flat[at[0]:at[-1]].tolist() == [7]
+    assert A._ids(column.slice(0, 0))[0].tolist() == [0]
+    row = A.aligned(spark.createDataFrame([("a b",)], "text string")).first()
+    assert len(row["ids_a"]) == 2 * row["n_a"] and len(row["ids_b"]) == 2 * row["n_b"]
