@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
@@ -147,6 +148,18 @@ def test_wide_feature_detection(spark):
     assert gather_bits(df, ["morgan_0", "morgan_1", "morgan_2"]).first()["bits"] == [0, 2]
 
 
+@pytest.mark.parametrize("space", [{"max_depth": ["deep"]}, {"n_estimators": ["many"]}])
+def test_a_failed_search_is_no_result(toy, space):
+    """Candidates that a family refuses end the search, in a task or before it."""
+    folds = toy.withColumn("fold", (F.col("id") % 3).cast("int"))
+    with pytest.raises((PySparkException, ValueError)):
+        ML.search(folds, "XGBC", "y", "fold", space=space)
+    with pytest.raises(ValueError, match="two folds"):
+        ML.search(folds.where("fold = 0"), "LR", "y", "fold", "grid")
+    found = ML.search(folds, "LR", "y", "fold", "grid", space={"C": [1.0], "max_iter": [20]})
+    assert found["best_score"] > 0.8 and found["cv_folds"] == 3 and found["n_iter"] == 1
+
+
 def test_queries_run_the_whole_job(spark, monkeypatch):
     """The registered queries give the operators their defaults: families, folds, seeds, searches, permutations."""
     seen = {}
