@@ -8,7 +8,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from hitsieve.operators import manyfits as MF, models as ML, shapley as SH, solvers as S, trees as T
+from hitsieve.plans import q_models as QM
 from hitsieve.session import scratch_path
+from conftest import SMALL
 
 
 @pytest.fixture(scope="module")
@@ -410,3 +412,21 @@ def test_rows_stay_in_the_order_of_their_open_nodes(data, monkeypatch, random_cu
     monkeypatch.setattr(T, name, watched)
     MF.run_alone(T.forest(x, y[None].astype(float), np.arange(len(x)), np.ones((1, len(x)), bool), [T.Forest(4, random_cuts=random_cuts)]))
     assert len(seen) > 2 and all(seen)
+
+
+def test_kernel_machine_is_taken_apart_for_coalitions():
+    """Means by products of kernels are those of mixed rows, for masks with and without their complement."""
+    rng, d = np.random.default_rng(9), 20
+    predict = MF.Predictor(MF._packed("SVC", {"vectors": rng.normal(size=(300, d)), "times": rng.normal(size=300), "offset": np.array(0.1),
+                                              "gamma": np.array(1 / d), "sigmoid": np.array([1.3, 0.2])}))
+    x, z = rng.normal(size=(7, d)), rng.normal(size=(9, d))
+    masks, _ = SH.coalitions(d, 300, 1)
+    for some in (masks, masks[:101]):
+        assert SH.coalition_means(predict, x, z, some) == pytest.approx(SH.coalition_means(lambda m: predict(m), x, z, some), abs=1e-12)
+
+
+def test_kernel_attribution_explains_every_external_row(spark):
+    """No sample of rows or background stands between the query and the operator."""
+    got = QM.kernel_attribution(spark, SMALL).groupBy("id").count()
+    want = {r["vec_id"] for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").where("vec_id % 5 = 0").collect()}
+    assert {r["id"] for r in got.collect()} == want and got.select("count").distinct().count() == 1
