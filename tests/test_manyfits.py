@@ -430,3 +430,24 @@ def test_kernel_attribution_explains_every_external_row(spark):
     got = QM.kernel_attribution(spark, SMALL).groupBy("id").count()
     want = {r["vec_id"] for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").where("vec_id % 5 = 0").collect()}
     assert {r["id"] for r in got.collect()} == want and got.select("count").distinct().count() == 1
+
+
+def test_trees_are_dealt_over_tasks_and_rows_meet_them_together(spark, monkeypatch):
+    """A forest's trees are parts that add up to the values by all of them in turn, and no task repeats a tree for some of its rows."""
+    rng = np.random.default_rng(13)
+    x = np.concatenate(((rng.random((300, 4)) > 0.5).astype(float), rng.normal(size=(300, 5))), 1)
+    y = (x[:, 5] + x[:, 0] > 0.5).astype(float)
+    trees, _ = MF.run_alone(T.forest(x, y[None], np.arange(300), np.ones((1, 300), bool), [T.Forest(40)]))
+    blob = MF._packed("RFC", MF._of_trees(trees[0]))
+    frame = lambda m: spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], "id long, v array<double>").repartition(5)
+    out = SH.tree_attribution(frame(x[:60]), frame(x[100:140]), "v", [f"x{i}" for i in range(9)], "id", blob)
+    want, base = SH.tree_values(trees[0], x[:60], x[100:140])
+    found = out.collect()
+    got = {(r["id"], r["feature"]): (r["value"], r["base"]) for r in found}
+    assert len(found) == len(got) == 540
+    for (i, name), (value, at) in got.items():
+        assert value == pytest.approx(want[i, int(name[1:])] / 40, abs=1e-12) and at == pytest.approx(base / 40, abs=1e-12)
+    parts = SH._TreeRows(blob, x[100:140], [[0, 1], [2]])
+    import pyarrow as pa
+    sent = pa.RecordBatch.from_pydict({"id": [0, 1], "_part": [1, 1], "_x": [x[0].tolist(), x[1].tolist()]})
+    assert next(iter(parts(iter([sent])))).column("_v")[0].as_py()[:9] == pytest.approx(SH.tree_values(trees[0][2:3], x[:2], x[100:140])[0][0] / 40)
