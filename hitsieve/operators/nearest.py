@@ -28,6 +28,8 @@ MAX_PIVOTS = 128
 CELLS = 1 << 22  # distances, or coordinates of candidates, that a task holds at once
 BLOCK_BYTES = 8 << 20  # reference rows of a block
 BLOCKS = 32  # blocks that more rows than these hold make larger, up to `BLOCK_BYTES`, not more
+GROUPS = 32  # scores of which the least one is looked at first
+OVER = 64  # groups that a query may look into, beyond those it has to, before its scores are in double precision
 ROUNDING = 8 * np.finfo(np.float64).eps
 
 
@@ -50,10 +52,9 @@ class Metric:
 
     def distances(self, q: np.ndarray, r: np.ndarray) -> np.ndarray:
         if self.name == "euclidean":
-            d2 = q @ r.T  # in place: a matrix of a task's whole allowance is held once
-            d2 *= -2.0
-            d2 += (q * q).sum(1)[:, None]
-            d2 += (r * r).sum(1)[None, :]
+            # norms go with the product, the rest is in place: a matrix of a task's whole allowance is held once
+            own, norms = (q * q).sum(1)[:, None], (r * r).sum(1)[:, None]
+            d2 = np.concatenate((-2.0 * q, own, np.ones_like(own)), 1) @ np.concatenate((r, np.ones_like(norms), norms), 1).T
             return np.sqrt(np.maximum(d2, 0.0, out=d2), out=d2)
         both = (q @ r.T).astype(np.float64)
         union = q.sum(1)[:, None] + r.sum(1)[None, :] - both
@@ -68,9 +69,11 @@ class Metric:
     def smallest(self, q: np.ndarray, r: np.ndarray, copies: np.ndarray, k: int) -> np.ndarray:
         """The k smallest distances per query (rows sorted, padded with inf), counting copies of a reference row.
 
-        Products of matrices lose digits where norms are large against distances. So both sides are centred on the
-        mean of the rows, every row within the error bound of the k-th is a candidate, however many there are, and
-        candidates are measured again from the differences.
+        Scores in single precision order the reference rows of a query within a bound on their error. The k-th of the least
+        scores of `GROUPS` rows each is no less than the k-th score, so only groups that reach it are looked into. Both sides
+        are centred on the mean of the rows, every row within the error bound of the k-th is a candidate, however many there
+        are, and candidates are measured again in double precision, from the differences. Where single precision leaves
+        too many candidates, as with few rows of large norms, scores are in double precision.
         """
         out = np.full((len(q), k), np.inf)
         if not len(r):
@@ -82,36 +85,58 @@ class Metric:
         step = max(1, CELLS // max(len(r), 1))
         for s in range(0, len(q), step):
             part = q[s:s + step]
-            d = self.distances(part, r)
-            if euclid:
-                square = d * d
-                kth = square.min(axis=1) if few == 1 else np.partition(square, few - 1, axis=1)[:, few - 1]
-                slack = 2 * self.error(part, r) + ROUNDING * kth
-                number = (square <= (kth + slack)[:, None]).sum(axis=1)
-            else:
-                number = np.full(len(part), few)
-            for deep in np.unique(number):
-                rows = np.flatnonzero(number == deep)
-                chunk = max(1, CELLS // 4 // max(1, deep * (self.width if euclid else 1)))
-                for i in range(0, len(rows), chunk):
-                    self._nearest_of(out, s, d, part, rows[i:i + chunk], int(deep), r, copies, k)
+            row, at = self._candidates(part, r, few, np.float32)
+            if row is None:
+                row, at = self._candidates(part, r, few, np.float64)
+            best = np.empty(len(row))
+            chunk = max(1, CELLS // 4 // self.width)
+            for i in range(0, len(row), chunk):
+                x, y = part[row[i:i + chunk]], r[at[i:i + chunk]]
+                if euclid:
+                    best[i:i + chunk] = np.sqrt(((x - y) ** 2).sum(1))
+                else:
+                    both = (x * y).sum(1, dtype=np.float64)
+                    union = x.sum(1, dtype=np.float64) + y.sum(1, dtype=np.float64) - both
+                    best[i:i + chunk] = 1.0 - both / np.where(union == 0, 1.0, union)
+            order = np.lexsort((best, row))
+            times = np.minimum(copies[at[order]], k)
+            row, best = np.repeat(row[order], times), np.repeat(best[order], times)
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            row, best, place = (v[place < k] for v in (row, best, place))
+            out[s + row, place] = best
         return out
 
-    def _nearest_of(self, out, begin, d, part, rows, deep, r, copies, k) -> None:
-        """Fills `out` for queries that all have `deep` candidates."""
-        d, part = d[rows], part[rows]
-        s = begin + rows
-        at = np.argpartition(d, deep - 1, axis=1)[:, :deep] if deep < len(r) else np.tile(np.arange(len(r)), (len(part), 1))
-        best = np.sqrt(((part[:, None, :] - r[at]) ** 2).sum(2)) if self.name == "euclidean" else np.take_along_axis(d, at, 1)
-        order = np.argsort(best, axis=1, kind="stable")
-        best, times = np.take_along_axis(best, order, 1), np.minimum(copies[np.take_along_axis(at, order, 1)], k)
-        if times.max() == 1:
-            m = min(k, best.shape[1])
-            out[s, :m] = best[:, :m]
+    def _candidates(self, q: np.ndarray, r: np.ndarray, few: int, kind: type) -> tuple[np.ndarray | None, np.ndarray | None]:
+        """(query, reference row) of every pair that may be among the `few` nearest by scores of this kind; None where they are too many."""
+        single, n, eps = kind is np.float32, len(r), np.finfo(kind).eps
+        if self.name == "euclidean":
+            error = self.error(q, r) * (eps / np.finfo(np.float64).eps)
+            if single and not error.max() < 1e25:
+                return None, None
+            score = self.distances(q.astype(kind), r.astype(kind))
         else:
-            for i, row in enumerate(s):
-                found = np.repeat(best[i], times[i])[:k]
-                out[row, :len(found)] = found
+            both = q.astype(kind) @ r.astype(kind).T
+            score = (q.sum(1)[:, None] + r.sum(1)).astype(kind)
+            score -= both
+            np.maximum(score, 1.0, out=score)
+            np.divide(both, score, out=score)
+            np.negative(score, out=score)
+        wide = n // GROUPS if n >= GROUPS * max(few, GROUPS) else n
+        deep, rest = n // wide, n % wide
+        grouped = score[:, :n - rest].reshape(len(q), deep, wide)
+        least = grouped.min(axis=1)
+        kth = least.min(axis=1) if few == 1 else np.partition(least, few - 1, axis=1)[:, few - 1]
+        kth = kth.astype(np.float64)
+        top = np.sqrt(kth ** 2 + 2 * error) * (1 + 8 * eps) if self.name == "euclidean" else kth + 16 * eps
+        i, g = np.nonzero(least <= top[:, None])
+        if single and len(i) > len(q) * (few + OVER):
+            return None, None
+        where, layer = np.nonzero(grouped[i, :, g] <= top[i][:, None])
+        row, at = i[where], layer * wide + g[where]
+        if rest:
+            i, j = np.nonzero(score[:, n - rest:] <= top[:, None])
+            row, at = np.concatenate((row, i)), np.concatenate((at, n - rest + j))
+        return row, at
 
 
 def _series(found: np.ndarray) -> pd.Series:

@@ -96,3 +96,27 @@ def test_blocks_grow_instead_of_their_number(spark, monkeypatch):
     monkeypatch.setattr(NN.Metric, "distances", lambda self, a, b: seen.append(len(a) * len(b)) or np.sqrt(((a[:, None] - b[None]) ** 2).sum(2)))
     plain(NN.Metric("euclidean", 6), q, m, np.ones(400, np.int64), 2)
     assert max(seen) <= 800  # what a task holds at once does not grow with the references
+
+
+def test_scores_are_in_single_precision_where_it_suffices(monkeypatch):
+    """Neighbours are ordered in single precision and measured in double; a row of large norm among near ones needs double for both."""
+    rng = np.random.default_rng(8)
+    plain, seen = NN.Metric.distances, []
+    monkeypatch.setattr(NN.Metric, "distances", lambda self, a, b: seen.append((a.dtype, b.dtype)) or plain(self, a, b))
+    q, m = rng.normal(size=(30, 8)), rng.normal(size=(3001, 8))
+    copies = rng.integers(1, 4, len(m))
+    for far, kinds in ((m, {np.float32}), (np.concatenate((m[:-1], m[:1] * 1e9)), {np.float32, np.float64})):
+        seen.clear()
+        for k in (1, 6):
+            got = NN.Metric("euclidean", 8).smallest(q + 5.0, far + 5.0, copies, k)
+            d = np.sqrt((((q + 5.0)[:, None] - (far + 5.0)[None]) ** 2).sum(2))
+            want = [np.repeat(row[at], copies[at])[:k] for row, at in zip(d, d.argsort(1))]
+            np.testing.assert_allclose(got, want, rtol=1e-6 if len(kinds) > 1 else 1e-12)
+        assert {np.dtype(x) for x in kinds} == {x for pair in seen for x in pair}
+    bits = (m > 0.3).astype(np.float32)
+    got = NN.Metric("jaccard", 8).smallest(bits[:20], bits, copies, 5)
+    both = bits[:20] @ bits.T
+    union = bits[:20].sum(1)[:, None] + bits.sum(1) - both
+    far = 1.0 - both / np.where(union == 0, 1.0, union)
+    want = [np.repeat(row[at], copies[at])[:5] for row, at in zip(far, far.argsort(1, kind="stable"))]
+    np.testing.assert_allclose(got, want, atol=1e-6)
